@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("near_dedup",)
+_MODULES = ("quality_rules", "near_dedup")
 
 
 def _gathered(name: str) -> dict:
