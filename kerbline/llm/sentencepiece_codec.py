@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,17 +38,24 @@ def load(path: str) -> "Codec":
 
 
 class _Memo(dict):
-    """chunk -> (ids as text joined by commas, ids as int32 bytes, decoded text), forgotten when full."""
+    """chunk -> (ids as text joined by commas, ids as int32 bytes, decoded text).
+
+    When full it becomes the old generation, from which what is still in use is taken over, so at
+    most twice MEMO chunks are held.
+    """
 
     def __init__(self, codec: "Codec", lead: str):
         super().__init__()
-        self.codec, self.lead = codec, lead
+        self.codec, self.lead, self.old = codec, lead, {}
 
     def __missing__(self, word: str):
-        ids = self.codec.encode_chunk(self.lead + word)
-        found = (",".join(map(str, ids)), b"".join(i.to_bytes(4, "little") for i in ids), self.codec.decode_ids(ids))
+        found = self.old.get(word)
+        if found is None:
+            ids = self.codec.encode_chunk(self.lead + word)
+            found = (",".join(map(str, ids)), array("i", ids).tobytes(), self.codec.decode_ids(ids))
         if len(word) <= 64:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
             self[word] = found
         return found
@@ -72,6 +80,7 @@ class Codec:
         if any(MARK in p.lstrip(MARK) or "\n" in p or (p.startswith(MARK * 2) and p.strip(MARK)) for p in self.score):
             raise ValueError("pieces of this model cross the places at which texts are cut")
         self.control = {i for i in range(size) if model.is_control(i)}
+        self.text = [None if i in self.byte_of else "" if i in self.control else p.replace(MARK, " ") for i, p in enumerate(self.piece)]
         self.longest = max(map(len, self.score))
         matcher = ahocorasick.Automaton()
         for p in {*self.score, *(c for p in self.score for c in p)}:
@@ -120,6 +129,8 @@ class Codec:
 
     def pieces_of(self, text: str) -> list[str]:
         """The pieces of a chunk by backtracking."""
+        if len(text) <= 64:
+            return self._pieces_of_word(text)
         blocks: dict[int, list[list[str]]] = {}
         failed = bytearray((len(text) >> 3) + 1)
         out: list[str] = []
@@ -149,6 +160,34 @@ class Codec:
                 i = tried.pop() - 1
         return out
 
+    def _pieces_of_word(self, text: str) -> list[str]:
+        """The same for a short chunk: all matches at once, the bit field in one integer."""
+        size = len(text)
+        here: list[list[str]] = [[] for _ in text]
+        for end, p in self.matcher.iter(text):
+            here[end - len(p) + 1].append(p)
+        out: list[str] = []
+        failed, at, last, fits = 0, 0, None, self.fits
+        while at < size:
+            matches = here[at]
+            if not matches and not failed >> at & 1:
+                matches = [text[at]]
+            while matches:
+                piece = matches.pop()  # what was tried once at a place fails there for good
+                end = at + len(piece)
+                if failed >> end & 1:
+                    continue
+                good = fits.get((last, piece))
+                if good if good is not None else self._may_follow(last, piece):
+                    out.append(piece)
+                    at, last = end, piece
+                    break
+            else:
+                failed |= 1 << at
+                at -= len(out.pop())
+                last = out[-1] if out else None
+        return out
+
     def _run(self, n: int) -> list[str]:
         """Pieces of n space marks: merged from the left, equal scores throughout."""
         if n not in self.runs:
@@ -175,7 +214,10 @@ class Codec:
         return self.runs[n]
 
     def ids_of(self, pieces: list[str]) -> list[int]:
-        out: list[int] = []
+        try:
+            return [self.number[p] for p in pieces]
+        except KeyError:
+            out: list[int] = []
         for p in pieces:
             i = self.number.get(p)
             if i is None:
@@ -198,7 +240,10 @@ class Codec:
 
     def decode_ids(self, ids: list[int]) -> str:
         """The text of some ids with every space mark as a space; ids that are no text give none."""
-        out, run = [], bytearray()
+        try:
+            return "".join([self.text[i] for i in ids])
+        except TypeError:  # a byte, which has no text of its own
+            out, run = [], bytearray()
         for i in ids:
             if i in self.byte_of:
                 run.append(self.byte_of[i])
