@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("decontaminate", "sentencepiece_codec", "quality_rules", "language_id", "toxicity", "near_dedup", "html_extract", "sharding", "secret_scan")
+_MODULES = ("decontaminate", "sentencepiece_codec", "quality_rules", "language_id", "license_scan", "toxicity", "near_dedup", "html_extract", "sharding", "secret_scan")
 
 
 def _gathered(name: str) -> dict:
