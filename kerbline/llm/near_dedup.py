@@ -27,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cluster import BLOOM_BITS, bit_columns, bit_set, components, cut, in_bit_set
@@ -191,14 +191,13 @@ def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each near-duplicate group stays, the one with the smallest id."""
-    columns = docs.columns
-    from pyspark.sql import Window
-
+    columns = [docs[f"`{c}`"] for c in docs.columns]
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
     once = Window.partitionBy("doc_id").orderBy("doc_id")
-    rows = rows.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select(*columns)
-    return rows.union(docs.where("doc_id IS NULL").select(*columns))
+    number = "_".join(["", "copy", *docs.columns])  # a name that no column has
+    rows = rows.withColumn(number, F.row_number().over(once)).where(F.col(f"`{number}`") == 1).drop(number)
+    return rows.union(docs.where(F.col("doc_id").isNull()).select(*columns))
 
 
 ORACLES = {

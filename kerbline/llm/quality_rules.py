@@ -139,7 +139,7 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the current policy keeps, with the columns of docs."""
     columns = docs.columns
-    out = measured(docs.select(F.struct(*columns).alias("_row"), "text"))
+    out = measured(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), "text"))
     failed = None
     for _, name, failure in RULES:
         if name in POLICIES[CURRENT]:

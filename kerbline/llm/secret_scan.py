@@ -148,7 +148,7 @@ def secret_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every row stays; secrets in its text are masked and n_chars follows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     columns, suspect = docs.columns, may_hold_secrets(text)
-    held = docs.where(suspect).select(F.struct(*columns).alias("_row"), "text", blob_of(F.col("text")).alias("blob"))
+    held = docs.where(suspect).select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), "text", blob_of(F.col("text")).alias("blob"))
     held = held.join(findings(docs), "blob", "left")
     masked = F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans")))
     row = {c: F.col(f"_row.`{c}`") for c in columns} | {"text": F.col("_masked")}
