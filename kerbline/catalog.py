@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from kerbline.plans import registry
+
+_MODULES: tuple[str, ...] = ("network_queries",)
+
+
+def _load() -> None:
+    for module in _MODULES:
+        import_module(f"kerbline.plans.{module}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    _load()
+    return dict(registry.ORACLES)
