@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOOM_BITS = 1 << 23
+from kerbline.operators.components import components
+from kerbline.plans.lineage import cut
 
+__all__ = ["bit_columns", "bit_set", "components", "cut", "in_bit_set", "small_batches"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the shared checkpoint folder, so that a lost executor costs no recomputation.
+BLOOM_BITS = 1 << 23
+BATCH_ROWS = 1000
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests, a
-    temporary folder takes its place.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python at most BATCH_ROWS at a time, unless the session sets its own number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def bit_set(keys: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
@@ -49,24 +46,3 @@ def bit_columns(column: str, bits: int = BLOOM_BITS):
 
 def in_bit_set(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-
-
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of the links (a, b), a component being named by its smallest node.
-
-    Alternating large-star and small-star rounds: each row only ever meets the smallest neighbour of
-    its node, so a node with very many neighbours costs a partial aggregation, not one large group.
-    """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    for _ in range(most_rounds):
-        both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = cut(large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

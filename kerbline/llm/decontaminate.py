@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut
+from .cluster import cut, small_batches
 from .wordhash import ALNUM, gram_hashes, text_buffers, words_of
 
 WINDOW, GRAM = 10, 5
@@ -116,6 +116,7 @@ def bit_set_of(prints: DataFrame) -> np.ndarray:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(documents, hits): doc_id, n_words and digest of every row; and for each distinct (doc_id, digest)
     with a hit, its hit word positions and item ids, as rows (doc_id, digest, n_hit, items)."""
+    small_batches(docs.sparkSession)
     side = window - gram
     named = benchmark.where("item_id IS NOT NULL").select("item_id", "text")
     items = fingerprints(named, "item_id", (), None, window, gram, items=True)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import small_batches
 from .sampling import bounded_sample, held_out
 from .wordhash import _LOWER, SEGMENT, text_buffers
 
@@ -71,6 +72,7 @@ def _has_letter(data: np.ndarray) -> bool:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     """Languages, landmarks' presence and the coefficients."""
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"))
     chosen, _ = bounded_sample(labelled, "lang", per_language)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")  # per_language ids a language at most

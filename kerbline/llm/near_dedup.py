@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import BLOOM_BITS, bit_columns, bit_set, components, cut, in_bit_set
+from .cluster import BLOOM_BITS, bit_columns, bit_set, components, cut, in_bit_set, small_batches
 from .wordhash import NON_SPACE, gram_hashes, mix, words_of
 
 WIDTH, THRESHOLD = 5, 85
@@ -46,6 +46,7 @@ def _shingle_sets(column, width):
 
 def sketches(docs: DataFrame, width: int = WIDTH, k: int = SMALL_K) -> DataFrame:
     """doc_id, n, h1, h2 (the set's 128-bit fingerprint) and sketch (its k smallest hashes, ascending)."""
+    small_batches(docs.sparkSession)
 
     def kernel(batches):
         for batch in batches:

@@ -26,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK, BLOCK, MEMO = "▁", 4096, 200_000
+from .cluster import small_batches
+
+MARK, BLOCK, MEMO = "▁", 4096, 50_000
 _models: dict[str, "Codec"] = {}
 
 
@@ -303,6 +305,7 @@ def codec_path() -> str:
 
 def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """key, n_tokens, ids_sha256 and decoded_sha256 of every row, with the ids themselves if asked for."""
+    small_batches(docs.sparkSession)
     path = path or codec_path()
 
     def kernel(batches):

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import small_batches
 from .sampling import bounded_sample, held_out
 from .wordhash import ALNUM, _LOWER, mix, text_buffers, words_of
 
@@ -106,6 +107,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[DataFr
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict:
+    small_batches(docs.sparkSession)
     texts, counts = _sampled(docs, labels, per_label)
 
     def count(batches):
