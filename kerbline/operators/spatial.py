@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kerbline import dims
 from kerbline.functions import geo
 from kerbline.functions.geo import num
+from kerbline.plans.lineage import cut
 
 
 def _cells(lo: Column, hi: Column, size: float) -> Column:
@@ -59,11 +60,11 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, limit: float, size:
 
 def nearest_anywhere(points: DataFrame, targets: DataFrame, key: str, first: float, rounds: int = 12) -> DataFrame:
     """The nearest target however far: points that find none within a distance try again at twice that."""
-    out, left, limit = None, points, first
+    out, left, limit = None, cut(points), first
     for _ in range(rounds):
-        found = nearest(left, targets, key, limit)
+        found = cut(nearest(left, targets, key, limit))
         out = found if out is None else out.unionByName(found)
-        left = left.join(found.select(key), key, "left_anti")
+        left = cut(left.join(found.select(key), key, "left_anti"))
         if left.isEmpty():
             break
         limit *= 2
