@@ -70,7 +70,7 @@ def costs(arcs: DataFrame, starts: DataFrame, tiles: DataFrame, budget: float |
     placed = least.join(home.withColumnsRenamed({"node": "u", "tile": "tile"}), "u").join(home.withColumnsRenamed({"node": "v", "tile": "to_tile"}), "v")
     placed = cut(placed.select("tile", "mode", "u", "v", "weight", "to_tile"))
     first = starts.groupBy("mode", "query", "node").agg(F.min("cost").alias("cost"))
-    state = first.join(home, "node").select("tile", "mode", "query", "node", "cost", F.lit(-1).cast("bigint").alias("prev"), F.lit(False).alias("settled"))
+    state = first.join(home, "node").select("tile", F.col("mode").alias("mode"), "query", "node", "cost", F.lit(-1).cast("bigint").alias("prev"), F.lit(False).alias("settled"))
     state = cut(state)
     for _ in range(most_rounds):
         busy = state.where(~F.col("settled")).select("tile", "mode", "query").distinct()

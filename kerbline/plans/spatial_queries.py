@@ -170,10 +170,7 @@ def hazard_upsert(spark, folder):
     return spatial.amend_or_insert(reports, marks)
 
 
-@query("near_duplicate_places", grid.sql(", r AS (SELECT id, lon + (id % 3) * 0.0003::DOUBLE AS lon, lat FROM node WHERE id < 400) SELECT a.id AS keep_id, b.id AS drop_id FROM r a JOIN r b ON a.id < b.id AND abs(a.lon - b.lon) < 0.0007 AND abs(a.lat - b.lat) < 0.0003"))
+@query("near_duplicate_places", grid.sql(", r AS (SELECT id, lon + (id % 3) * 0.0003::DOUBLE AS lon, lat FROM node) SELECT a.id AS keep_id, b.id AS drop_id FROM r a JOIN r b ON a.id < b.id AND abs(a.lon - b.lon) < 0.0007 AND abs(a.lat - b.lat) < 0.0003"))
 def near_duplicate_places(spark, folder):
-    r = grid.nodes(spark, folder).where("id < 400").select("id", (F.col("lon") + (F.col("id") % 3) * num(0.0003)).alias("lon"), "lat")
-    a = r.select(F.col("id").alias("keep_id"), F.col("lon").alias("alon"), F.col("lat").alias("alat"), F.floor(F.col("lon") / 0.0007).alias("c"))
-    a = a.withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
-    b = r.select(F.col("id").alias("drop_id"), F.col("lon").alias("blon"), F.col("lat").alias("blat"), F.floor(F.col("lon") / 0.0007).alias("c"))
-    return a.join(b, "c").where((F.col("keep_id") < F.col("drop_id")) & (F.abs(F.col("alon") - F.col("blon")) < 0.0007) & (F.abs(F.col("alat") - F.col("blat")) < 0.0003)).select("keep_id", "drop_id")
+    r = grid.nodes(spark, folder).select("id", (F.col("lon") + (F.col("id") % 3) * num(0.0003)).alias("lon"), "lat")
+    return spatial.near_pairs(r, 0.0007, 0.0003)
