@@ -8,7 +8,7 @@ relations as common table expressions for another engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbline.functions.geo import num
@@ -110,16 +110,19 @@ def blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fixes(spark: SparkSession, folder: str) -> DataFrame:
-    """Position fixes of rides: ride_id, t_s (seconds), seq, lon, lat, accuracy, along_m, cls."""
-    from pyspark.sql import Window
-
+    """Position fixes of rides, one ride for each user: east at walking pace with wander, some far jumps, gaps in
+    speed and heading, stretches off the route, and pauses."""
     e = table(spark, folder, "events")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    seq = F.row_number().over(order)
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint")
     cls = F.element_at(F.array(*map(F.lit, ("path", "separated", "buffered", "quiet_street", "busy_street"))), (F.col("event_id") % 5 + 1).cast("int"))
-    return e.select(F.col("user_id").alias("ride_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), seq.cast("bigint").alias("seq"), "event_id", "value", cls.alias("cls")).select(
-        "ride_id", (F.col("us") / 1000000).alias("t_s"), "seq", (num(-71.2) + (F.col("seq") * 17 % 50) * num(0.0001)).alias("lon"), (num(42.3) + (F.col("seq") * 7 % 30) * num(0.0001)).alias("lat"), (F.col("event_id") % 80).cast("double").alias("accuracy"),
-        (F.col("seq") * 20 - F.when(F.col("event_id") % 11 == 0, 15).otherwise(0) - F.when(F.col("seq") >= 60, 900).otherwise(0)).cast("double").alias("along_m"), "cls",
+    e = e.select(F.col("user_id").alias("ride_id"), seq.alias("seq"), "event_id", cls.alias("cls"))
+    n, q = F.col("event_id"), F.col("seq")
+    t = (q * 5 + n % 4 + F.floor(q / 40) * 900).cast("double")
+    return e.select(
+        "ride_id", "seq", t.alias("t_s"), F.timestamp_seconds(t + 1704067200).alias("ts"),
+        (num(-71.2) + q * num(0.0002) + (n * 17 % 7) * num(0.00001) + F.when(n % 37 == 0, num(0.01)).otherwise(num(0))).alias("lon"), (num(42.3) + (n * 7 % 5) * num(0.00002)).alias("lat"),
+        (n % 80).cast("double").alias("accuracy"), F.when(n % 3 != 0, num(2) + (n % 5) * num(0.5)).alias("speed"), F.when(n % 4 != 0, (n % 360).cast("double")).alias("heading"),
+        (q * 20 - F.when(n % 11 == 0, 15).otherwise(0) - F.when(q >= 20, 900).otherwise(0)).cast("double").alias("along_m"), (n * 13 % 60).cast("double").alias("off_m"), "cls", num(1500).alias("route_m"),
     )
 
 
@@ -140,9 +143,11 @@ facility AS (SELECT f AS facility_id, code, CASE WHEN across THEN x + 10 ELSE x
 town AS (SELECT n_nationkey::BIGINT AS town_id, n_name AS town, ((n_nationkey % 5) * 800 - 50)::DOUBLE AS x0, ((n_nationkey // 5) * 1000 - 50)::DOUBLE AS y0, n_nationkey % 2 = 0 AS holed FROM nation),
 block AS (SELECT c_nationkey::BIGINT * 10 + seg AS block_id, pop, ((c_nationkey % 5) * 800 - 30 + seg * 150)::DOUBLE AS x0, ((c_nationkey // 5) * 1000 + 20)::DOUBLE AS y0, ((c_nationkey % 5) * 800 - 30 + seg * 150 + 140)::DOUBLE AS x1, ((c_nationkey // 5) * 1000 + 720)::DOUBLE AS y1
   FROM (SELECT c_nationkey, list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment) - 1 AS seg, count(*) AS pop FROM customer GROUP BY 1, 2)),
-fix0 AS (SELECT user_id AS ride_id, epoch_us(ts) / 1000000.0::DOUBLE AS t_s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS seq, event_id, value FROM events),
-fix AS (SELECT ride_id, t_s, seq, -71.2::DOUBLE + (seq * 17 % 50) * 0.0001::DOUBLE AS lon, 42.3::DOUBLE + (seq * 7 % 30) * 0.0001::DOUBLE AS lat, (event_id % 80)::DOUBLE AS accuracy,
-  (seq * 20 - CASE WHEN event_id % 11 = 0 THEN 15 ELSE 0 END - CASE WHEN seq >= 60 THEN 900 ELSE 0 END)::DOUBLE AS along_m, (['path', 'separated', 'buffered', 'quiet_street', 'busy_street'])[event_id % 5 + 1] AS cls FROM fix0),
+fix0 AS (SELECT user_id AS ride_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS seq, event_id AS n FROM events),
+fix AS (SELECT ride_id, seq, (seq * 5 + n % 4 + seq // 40 * 900)::DOUBLE AS t_s, make_timestamp((1704067200 + seq * 5 + n % 4 + seq // 40 * 900)::BIGINT * 1000000) AS ts,
+  -71.2::DOUBLE + seq * 0.0002::DOUBLE + (n * 17 % 7) * 0.00001::DOUBLE + CASE WHEN n % 37 = 0 THEN 0.01::DOUBLE ELSE 0 END AS lon, 42.3::DOUBLE + (n * 7 % 5) * 0.00002::DOUBLE AS lat, (n % 80)::DOUBLE AS accuracy,
+  CASE WHEN n % 3 <> 0 THEN 2.0::DOUBLE + (n % 5) * 0.5::DOUBLE END AS speed, CASE WHEN n % 4 <> 0 THEN (n % 360)::DOUBLE END AS heading,
+  (seq * 20 - CASE WHEN n % 11 = 0 THEN 15 ELSE 0 END - CASE WHEN seq >= 20 THEN 900 ELSE 0 END)::DOUBLE AS along_m, (n * 13 % 60)::DOUBLE AS off_m, (['path', 'separated', 'buffered', 'quiet_street', 'busy_street'])[n % 5 + 1] AS cls FROM fix0),
 mult(cls, kids, older, solo) AS (VALUES ('path', 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), ('separated', 1.0, 1.0, 1.0), ('buffered', 2.0, 1.5, 1.1), ('lane', 3.0, 2.0, 1.3), ('quiet_street', 1.4, 1.2, 1.1), ('service', 2.0, 1.6, 1.3), ('sharrow', 6.0, 3.5, 2.0), ('moderate_street', 8.0, 4.0, 2.5), ('busy_street', 25.0, 12.0, 6.0)),
 safe AS (SELECT least(e.u, e.v) AS a, greatest(e.u, e.v) AS b, min(length) AS m FROM edge e JOIN mult USING (cls)
   WHERE CASE WHEN road_busy AND e.cls = 'lane' THEN 10 WHEN road_busy AND e.cls = 'buffered' THEN 6 ELSE kids END <= 2 GROUP BY 1, 2)
