@@ -16,12 +16,21 @@ from kerbline.functions import text
 from kerbline.functions.geo import compass_bearing, mean_lat_distance, num, turn_angle
 from kerbline.operators.weights import stress_mult
 
-BY_SEQ = Window.partitionBy("route_id").orderBy("seq")
-RUNNING = BY_SEQ.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = BY_SEQ.rowsBetween(Window.unboundedPreceding, -1)
 WALK_STRESS = 1.3
 
 
+def _by_seq():
+    return Window.partitionBy("route_id").orderBy("seq")
+
+
+def _running():
+    return _by_seq().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _before():
+    return _by_seq().rowsBetween(Window.unboundedPreceding, -1)
+
+
 def metres_text(m: Column) -> Column:
     return F.when(m < 1000, F.concat(text.half_up(m).cast("string"), F.lit(" m"))).otherwise(F.concat(F.format_string("%.1f", m / 1000), F.lit(" km")))
 
@@ -68,14 +77,14 @@ def grades(legs: DataFrame) -> DataFrame:
 
 def _runs(rows: DataFrame, changed: Column) -> DataFrame:
     """rows with `run`, counting up in each route wherever `changed` holds."""
-    return rows.withColumn("_new", F.when(changed, 1).otherwise(0)).withColumn("run", F.sum("_new").over(RUNNING)).drop("_new")
+    return rows.withColumn("_new", F.when(changed, 1).otherwise(0)).withColumn("run", F.sum("_new").over(_running())).drop("_new")
 
 
 def cautions(legs: DataFrame) -> DataFrame:
     """route_id, seq, name, cls, meters, lon, lat: stressful stretches of 15 m or more. Calm legs in between
     do not break a stretch of one name and class."""
     rows = legs.where(~F.col("walk") & F.col("cls").isin(*dims.CAUTION)).withColumn("name", F.when(F.col("name") == "", F.lit("unnamed")).otherwise(F.col("name")))
-    same = (F.lag("name").over(BY_SEQ) == F.col("name")) & (F.lag("cls").over(BY_SEQ) == F.col("cls"))
+    same = (F.lag("name").over(_by_seq()) == F.col("name")) & (F.lag("cls").over(_by_seq()) == F.col("cls"))
     per = _runs(rows, ~F.coalesce(same, F.lit(False))).groupBy("route_id", "run").agg(
         F.min("seq").alias("seq"), F.first("name").alias("name"), F.first("cls").alias("cls"), F.sum("length").alias("m"), F.min_by("alon", "seq").alias("lon"), F.min_by("alat", "seq").alias("lat"),
     )
@@ -86,7 +95,7 @@ def protected_runs(legs: DataFrame) -> DataFrame:
     """route_id, seq, name, meters: unbroken protected stretches, named by the street with most metres (the
     first of equals)."""
     safe = F.col("cls").isin(*dims.PROTECTED)
-    rows = _runs(legs.withColumn("safe", safe), F.coalesce(F.lag("safe").over(BY_SEQ), F.lit(False)) != F.col("safe")).where("safe")
+    rows = _runs(legs.withColumn("safe", safe), F.coalesce(F.lag("safe").over(_by_seq()), F.lit(False)) != F.col("safe")).where("safe")
     named = rows.groupBy("route_id", "run", "name").agg(F.sum("length").alias("m"), F.min("seq").alias("first"))
     best = F.max(F.when(F.col("name") != "", F.struct("m", (-F.col("first")).alias("f"), "name")))
     per = named.groupBy("route_id", "run").agg(F.sum("m").alias("meters"), F.min("first").alias("seq"), best.alias("b"))
@@ -102,15 +111,15 @@ def stress_figures(legs: DataFrame) -> DataFrame:
 def ribbon(legs: DataFrame) -> DataFrame:
     """Each leg with the shares of the route's length where it begins and ends, and whether a crossing is flagged."""
     total = F.sum("length").over(Window.partitionBy("route_id"))
-    to = F.sum("length").over(RUNNING)
+    to = F.sum("length").over(_running())
     return legs.select("route_id", "seq", "cls", F.col("length").alias("m"), "e0", "e1", (~F.col("walk") & (F.col("xpen") > dims.CROSSING_FLAG_M)).alias("crossing"), "walk", ((to - F.col("length")) / total).alias("x0"), (to / total).alias("x1"))
 
 
 def cues(legs: DataFrame) -> DataFrame:
     """route_id, seq, km, text: a row where the street's name or walking changes, and one for the arrival."""
     name = F.when(F.col("name") == "", F.lit("(unnamed path)")).otherwise(F.col("name"))
-    rows = legs.withColumn("name", name).withColumn("done", F.coalesce(F.sum("length").over(BEFORE), num(0)))
-    same = (F.lag("name").over(BY_SEQ) == F.col("name")) & (F.lag("walk").over(BY_SEQ) == F.col("walk"))
+    rows = legs.withColumn("name", name).withColumn("done", F.coalesce(F.sum("length").over(_before()), num(0)))
+    same = (F.lag("name").over(_by_seq()) == F.col("name")) & (F.lag("walk").over(_by_seq()) == F.col("walk"))
     said = F.when(F.col("walk"), F.concat(F.lit("🚶 walk the bike — "), "name")).otherwise(F.concat(F.col("name"), F.lit(" — "), F.regexp_replace("cls", "_", " ")))
     changed = rows.withColumn("same", F.coalesce(same, F.lit(False))).where(~F.col("same"))
     km = lambda m: text.half_up(m / 100) / 10
@@ -126,7 +135,7 @@ def turns(legs: DataFrame) -> DataFrame:
     """route_id, seq, at_m, text, voice before any merging: bends of 25 degrees or more and changes of name."""
     metres = mean_lat_distance(F.col("alon"), F.col("alat"), F.col("blon"), F.col("blat"))
     heading = compass_bearing(F.col("alon"), F.col("alat"), F.col("blon"), F.col("blat"))
-    rows = legs.withColumns({"_m": metres, "_to": heading}).withColumns({"at_m": F.coalesce(F.sum("_m").over(BEFORE), num(0)), "_from": F.lag("_to").over(BY_SEQ), "_was": F.lag("name").over(BY_SEQ)})
+    rows = legs.withColumns({"_m": metres, "_to": heading}).withColumns({"at_m": F.coalesce(F.sum("_m").over(_before()), num(0)), "_from": F.lag("_to").over(_by_seq()), "_was": F.lag("name").over(_by_seq())})
     word = text.turn_words(turn_angle(F.col("_from"), F.col("_to")))
     unnamed = F.lit("the side street")
     for cls, said in UNNAMED.items():
@@ -159,16 +168,16 @@ ALERT_WORDS = {"sharrow": "a shared lane", "moderate_street": "a moderate street
 
 def alert_events(legs: DataFrame) -> DataFrame:
     """route_id, at_m, ord, voice of every alert before thinning: crossings, stressful stretches of 30 m, walks."""
-    rows = legs.withColumn("at", F.coalesce(F.sum("length").over(BEFORE), num(0)))
+    rows = legs.withColumn("at", F.coalesce(F.sum("length").over(_before()), num(0)))
     tens = lambda m: (text.half_up(m / 10) * 10).cast("string")
     crossing = rows.where(~F.col("walk") & (F.col("xpen") > dims.CROSSING_FLAG_M)).select("route_id", F.col("at").alias("at_m"), F.col("seq").alias("ord"), F.lit("busy street crossing. gather up.").alias("voice"))
     word = F.lit(None).cast("string")
     for cls, said in ALERT_WORDS.items():
         word = F.when(F.col("cls") == cls, F.lit(said)).otherwise(word)
-    stretch = _runs(rows, ~F.coalesce(F.lag("cls").over(BY_SEQ) == F.col("cls"), F.lit(False))).withColumn("word", word).where("word IS NOT NULL")
+    stretch = _runs(rows, ~F.coalesce(F.lag("cls").over(_by_seq()) == F.col("cls"), F.lit(False))).withColumn("word", word).where("word IS NOT NULL")
     stretch = stretch.groupBy("route_id", "run").agg(F.min("at").alias("at_m"), F.max("seq").alias("ord"), F.sum("length").alias("m"), F.first("word").alias("word")).where(F.col("m") >= STRETCH_M)
     stretch = stretch.select("route_id", "at_m", (F.col("ord") + 0.5).alias("ord"), F.concat(F.lit("entering "), "word", F.lit(" for "), tens(F.col("m")), F.lit(" meters. ride carefully.")).alias("voice"))
-    on_foot = _runs(rows, F.coalesce(F.lag("walk").over(BY_SEQ), F.lit(False)) != F.col("walk")).where("walk").groupBy("route_id", "run").agg(F.min("at").alias("at_m"), F.max(F.col("at") + F.col("length")).alias("to_m"), F.max("seq").alias("ord"), F.sum("length").alias("m"))
+    on_foot = _runs(rows, F.coalesce(F.lag("walk").over(_by_seq()), F.lit(False)) != F.col("walk")).where("walk").groupBy("route_id", "run").agg(F.min("at").alias("at_m"), F.max(F.col("at") + F.col("length")).alias("to_m"), F.max("seq").alias("ord"), F.sum("length").alias("m"))
     ends = legs.groupBy("route_id").agg(F.max("seq").alias("last"))
     hop = on_foot.select("route_id", "at_m", (F.col("ord") + 0.6).alias("ord"), F.concat(F.lit("hop off and walk the bike for about "), tens(F.col("m")), F.lit(" meters.")).alias("voice"))
     again = on_foot.join(ends, "route_id").where("ord < last").select("route_id", F.col("to_m").alias("at_m"), (F.col("ord") + 0.7).alias("ord"), F.lit("you can ride again.").alias("voice"))

@@ -144,7 +144,7 @@ def rerank(spark, folder):
 # searches
 
 
-def tiles_of(spark, folder: str, side: int = 10) -> DataFrame:
+def tiles_of(spark, folder: str, side: int = 40) -> DataFrame:
     """node, tile: squares of side x side nodes."""
     return grid.nodes(spark, folder).select(F.col("id").alias("node"), (F.floor(F.col("cy") / side) * 1000 + F.floor(F.col("cx") / side)).cast("bigint").alias("tile"))
 

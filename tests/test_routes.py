@@ -107,7 +107,7 @@ def dijkstra(graph, start):
 def test_options_against_dijkstra(spark):
     edges = weighed(spark, FOLDER).persist()
     od = route_queries._trips(spark, FOLDER)
-    legs = trips.options(edges, grid.nodes(spark, FOLDER), od, tiles_of(spark, FOLDER), "young_kids").persist()
+    legs = trips.options(edges, grid.nodes(spark, FOLDER), od, tiles_of(spark, FOLDER, side=10), "young_kids").persist()
     rows = edges.select("u", "v", "length", "crash_factor", "xpen", "stress_mult").collect()
     prices = {"direct": graph_of((r["u"], r["v"], r["length"]) for r in rows), "safest": graph_of((r["u"], r["v"], r["length"] * r["stress_mult"] * r["crash_factor"] + r["xpen"]) for r in rows)}
     ends = {r["trip"]: (r["source"], r["target"]) for r in od.collect()}
