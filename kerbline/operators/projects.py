@@ -86,6 +86,49 @@ def scored(rows: DataFrame, measures: dict[str, tuple[str, float]], digits: int
     return both.withColumn("score", F.round(total, digits)).drop(*(f"_top_{n}" for n in measures))
 
 
+def measured(rows: DataFrame) -> DataFrame:
+    """rows with sv (metres joined for each metre built) and cr (crashes a km, or the crash factor where not counted)."""
+    sv = F.col("join_m") / F.greatest(F.col("length_m"), num(25))
+    per_km = F.col("crashes") / F.greatest(F.col("length_m"), num(50)) * 1000
+    return rows.withColumns({"sv": sv, "cr": F.when(F.col("crashes_known"), per_km).otherwise(F.col("crash_pressure"))})
+
+
+def accessibility(members: DataFrame, arcs: DataFrame, base: DataFrame, people: DataFrame) -> DataFrame:
+    """street, cls, run, saved (resident-metres) and gaining (residents) of every candidate, if it were built.
+
+    members: street, cls, run, u, v, length. arcs: u, v, weight, one each. base: node and its cost to the
+    nearest destination now. people: id, pop. Building only lowers costs, so for each candidate only
+    the nodes that get cheaper are searched, from its own streets outwards; all candidates share each round.
+    """
+    far, budget = dims.ACCESS_BUDGET_M * dims.CLAMP, dims.ACCESS_BUDGET_M
+    cand = F.struct("street", "cls", "run").alias("cand")
+    base = cut(base.select("node", F.least("cost", num(far)).alias("now")))
+    arcs = cut(arcs.select(F.col("u").alias("x"), F.col("v").alias("node"), "weight"))
+    ways = members.select(cand, F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"), "length").select("cand", F.col("e.u").alias("x"), F.col("e.v").alias("node"), "length")
+    built = cut(ways.groupBy("cand", "x", "node").agg(F.min("length").alias("weight")).join(arcs.select("x", "node"), ["x", "node"], "left_semi").select("cand", "x", "node", "weight"))
+
+    def cheaper(offers: DataFrame) -> DataFrame:
+        best = offers.groupBy("cand", "node").agg(F.min("cost").alias("cost"))
+        return best.join(base, "node", "left").where(F.col("cost") < F.coalesce("now", num(far))).select("cand", "node", "cost")
+
+    def outwards(front: DataFrame) -> DataFrame:
+        near = front.join(arcs, "node").select("cand", F.col("x").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"))
+        own = front.join(built, ["cand", "node"]).select("cand", F.col("x").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"))
+        return cheaper(near.union(own))
+
+    front = known = cut(cheaper(built.join(base, "node").select("cand", F.col("x").alias("node"), (F.col("now") + F.col("weight")).alias("cost"))))
+    while not front.isEmpty():
+        step = outwards(front)
+        step = step.union(outwards(step))
+        best = known.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False))).groupBy("cand", "node").agg(F.min(F.struct("cost", (~F.col("old")).alias("fresh"))).alias("b"))
+        best = cut(best.select("cand", "node", "b.cost", "b.fresh"))
+        front, known = best.where("fresh").select("cand", "node", "cost"), best.select("cand", "node", "cost")
+    gain = known.join(people.select(F.col("id").alias("node"), "pop"), "node").join(base, "node", "left").withColumn("now", F.coalesce("now", num(far)))
+    crossing = F.when((F.col("now") >= budget) & (F.col("cost") < budget), F.col("pop")).otherwise(num(0))
+    per = gain.groupBy("cand").agg(F.sum(F.col("pop") * (F.col("now") - F.col("cost"))).alias("saved"), F.sum(crossing).alias("gaining"))
+    return per.select("cand.street", "cand.cls", "cand.run", "saved", "gaining")
+
+
 def slice_for_map(rows: DataFrame, measures: list[str], limit: int) -> DataFrame:
     """limit // 8 leaders of each measure, every spot fix, and the best of the rest up to the limit."""
     quota = limit // (2 * len(measures))

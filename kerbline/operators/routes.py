@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kerbline import dims
 from kerbline.functions import text
-from kerbline.functions.geo import compass_bearing, mean_lat_distance, num, turn_angle
+from kerbline.functions.geo import M_LAT, M_LON, compass_bearing, mean_lat_distance, num, turn_angle
 from kerbline.operators.weights import stress_mult
 
 WALK_STRESS = 1.3
@@ -224,6 +224,20 @@ def ridden(points: DataFrame, up_to: Column) -> DataFrame:
     return p.select("route_id", "idx", mixed("_plon", "lon").alias("lon"), mixed("_plat", "lat").alias("lat"))
 
 
+def snapped(fixes: DataFrame, points: DataFrame) -> DataFrame:
+    """route_id, seq, idx, off_m, along_m: the nearest segment of its own route for every fix, the first of equals."""
+    order = Window.partitionBy("route_id").orderBy("idx")
+    segments = points.withColumns({"blon": F.lead("lon").over(order), "blat": F.lead("lat").over(order)}).where("blon IS NOT NULL").select("route_id", "idx", F.col("lon").alias("alon"), F.col("lat").alias("alat"), "blon", "blat", "cum_m")
+    kx = F.cos(F.radians("lat")) * M_LON
+    ax, ay = (F.col("lon") - F.col("alon")) * kx, (F.col("lat") - F.col("alat")) * M_LAT
+    bx, by = (F.col("blon") - F.col("alon")) * kx, (F.col("blat") - F.col("alat")) * M_LAT
+    long2 = bx * bx + by * by
+    t = F.when(long2 > 0, F.greatest(num(0), F.least(num(1), (ax * bx + ay * by) / F.nullif(long2, num(0))))).otherwise(num(0))
+    off = F.sqrt(F.pow(ax - t * bx, num(2)) + F.pow(ay - t * by, num(2)))
+    near = fixes.select("route_id", "seq", "lon", "lat").join(segments, "route_id").groupBy("route_id", "seq").agg(F.min(F.struct(off.alias("off_m"), "idx", (F.col("cum_m") + t * F.sqrt(long2)).alias("along_m"))).alias("b"))
+    return near.select("route_id", "seq", "b.idx", "b.off_m", "b.along_m")
+
+
 def gpx(points: DataFrame, name: Column, creator: str) -> DataFrame:
     """route_id, gpx: one document for each track."""
     rows = points.groupBy("route_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "lon", "lat"))), lambda p: F.concat(F.lit('      <trkpt lat="'), p["lat"].cast("string"), F.lit('" lon="'), p["lon"].cast("string"), F.lit('"/>'))), "\n").alias("points"))

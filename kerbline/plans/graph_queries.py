@@ -107,13 +107,15 @@ def alternatives(spark, folder):
     return _kept(spark, folder).select("street", "cls", "run", F.when(F.col("join_m") > 0, F.count("*").over(w)).otherwise(1).alias("alternatives"))
 
 
-_SCORE = f"""{_SEV}, tops AS (SELECT max(join_m) AS j, max(length_m) AS l, max(crashes) AS c FROM kept),
-scored AS (SELECT kept.*, round(CASE WHEN j > 0 THEN ln(1 + join_m) / ln(1 + j) ELSE 0 END * 0.4::DOUBLE + CASE WHEN l > 0 THEN ln(1 + length_m) / ln(1 + l) ELSE 0 END * 0.3::DOUBLE + CASE WHEN c > 0 THEN ln(1 + crashes) / ln(1 + c) ELSE 0 END * 0.15::DOUBLE, 4) AS score FROM kept, tops),
+_NORM = "CASE WHEN {1} > 0 THEN ln(1 + {0}) / ln(1 + {1}) ELSE 0 END"
+_SCORE = f"""{_SEV}, kept2 AS (SELECT *, join_m / greatest(length_m, 25) AS sv, crashes / greatest(length_m, 50) * 1000 AS cr FROM kept), tops AS (SELECT max(sv) AS j, max(cr) AS c FROM kept2),
+scored AS (SELECT kept2.*, round({_NORM.format('sv', 'j')} * 0.4::DOUBLE + {_NORM.format('cr', 'c')} * 0.15::DOUBLE, 4) AS score FROM kept2, tops),
 numb AS (SELECT *, 'c' || lpad(row_number() OVER (ORDER BY street, cls, run)::VARCHAR, 5, '0') AS cid FROM scored)"""
 
 
 def _scored(spark, folder: str) -> DataFrame:
-    rows = projects.scored(_kept(spark, folder), {"severance": ("join_m", dims.W_SEVERANCE), "access": ("length_m", dims.W_ACCESS), "crash": ("crashes", dims.W_CRASH)})
+    """Candidates scored where access has not been measured."""
+    rows = projects.scored(projects.measured(_kept(spark, folder)), {"severance": ("sv", dims.W_SEVERANCE), "crash": ("cr", dims.W_CRASH)})
     return projects.numbered(rows, [F.col("street"), F.col("cls"), F.col("run")], "_n").withColumn("cid", F.concat(F.lit("c"), F.lpad(F.col("_n").cast("string"), 5, "0"))).drop("_n")
 
 
@@ -128,15 +130,15 @@ def priorities_csv(spark, folder):
     return ranked.select("rank", "cid", "street", "cls", "kind", F.format_string("%.4f", "score").alias("score"), F.round("length_m", 1).alias("length_m"), "join_m")
 
 
-@query("priority_slice", grid.sql(f""", {_SCORE}, lead_ AS (SELECT cid FROM (SELECT cid, row_number() OVER (ORDER BY join_m DESC, cid) AS r FROM numb WHERE join_m > 0) WHERE r <= 20 UNION SELECT cid FROM (SELECT cid, row_number() OVER (ORDER BY crashes DESC, cid) AS r FROM numb WHERE crashes > 0) WHERE r <= 20 UNION SELECT cid FROM numb WHERE kind = 'spot_fix'),
+@query("priority_slice", grid.sql(f""", {_SCORE}, lead_ AS (SELECT cid FROM (SELECT cid, row_number() OVER (ORDER BY sv DESC, cid) AS r FROM numb WHERE sv > 0) WHERE r <= 20 UNION SELECT cid FROM (SELECT cid, row_number() OVER (ORDER BY cr DESC, cid) AS r FROM numb WHERE cr > 0) WHERE r <= 20 UNION SELECT cid FROM numb WHERE kind = 'spot_fix'),
 rest AS (SELECT cid FROM (SELECT cid, row_number() OVER (ORDER BY score DESC, cid) AS r FROM numb WHERE cid NOT IN (SELECT cid FROM lead_)) WHERE r <= greatest(0, 80 - (SELECT count(*) FROM lead_))) SELECT cid, score FROM numb WHERE cid IN (SELECT cid FROM lead_ UNION ALL SELECT cid FROM rest)""", recursive=True))
 def priority_slice(spark, folder):
-    return projects.slice_for_map(cut(_scored(spark, folder)), ["join_m", "crashes"], 80).select("cid", "score")
+    return projects.slice_for_map(cut(_scored(spark, folder)), ["sv", "cr"], 80).select("cid", "score")
 
 
-@query("rerank", grid.sql(f", {_SCORE}, r AS (SELECT cid, kind, round((2 * CASE WHEN j > 0 THEN ln(1 + join_m) / ln(1 + j) ELSE 0 END + CASE WHEN c > 0 THEN ln(1 + crashes) / ln(1 + c) ELSE 0 END) / 3, 3) AS client_score, street, cls, least(big, small) AS g1, greatest(big, small) AS g2 FROM numb, tops WHERE join_m > 0) SELECT cid, client_score FROM (SELECT *, row_number() OVER (PARTITION BY street, cls, g1, g2 ORDER BY client_score DESC, cid) AS rn FROM r) WHERE rn = 1", recursive=True))
+@query("rerank", grid.sql(f", {_SCORE}, r AS (SELECT cid, kind, round((2 * CASE WHEN j > 0 THEN ln(1 + sv) / ln(1 + j) ELSE 0 END + CASE WHEN c > 0 THEN ln(1 + cr) / ln(1 + c) ELSE 0 END) / 3, 3) AS client_score, street, cls, least(big, small) AS g1, greatest(big, small) AS g2 FROM numb, tops WHERE join_m > 0) SELECT cid, client_score FROM (SELECT *, row_number() OVER (PARTITION BY street, cls, g1, g2 ORDER BY client_score DESC, cid) AS rn FROM r) WHERE rn = 1", recursive=True))
 def rerank(spark, folder):
-    rows = projects.scored(cut(_scored(spark, folder)).drop("score"), {"severance": ("join_m", 2 / 3), "crash": ("crashes", 1 / 3)}, digits=3)
+    rows = projects.scored(cut(_scored(spark, folder)).drop("score"), {"severance": ("sv", 2 / 3), "crash": ("cr", 1 / 3)}, digits=3)
     w = Window.partitionBy("street", "cls", F.least("big", "small"), F.greatest("big", "small")).orderBy(F.desc("score"), "cid")
     return rows.where("join_m > 0").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("cid", F.col("score").alias("client_score"))
 
@@ -248,6 +250,41 @@ def coverage_cells(spark, folder):
     return per.select("col", "row", F.round("p", 2).alias("residents"), F.round(F.col("s") * 100 / F.col("p"), 2).alias("served_pct"), F.when(share >= 0.8, "good").when(share >= 0.4, "some").otherwise("poor").alias("band"))
 
 
+_GAIN = f"""{_SCORE}, {_BASE[len(_WEIGHED) + 2:]}, {_POP}, own0 AS (SELECT b.street, b.cls, r.run, b.u, b.v, b.length FROM bad b JOIN run r ON r.street = b.street AND r.cls = b.cls AND r.id = b.u JOIN kept k ON k.street = b.street AND k.cls = b.cls AND k.run = r.run),
+own AS (SELECT street, cls, run, u, v, min(length) AS weight FROM (SELECT * FROM own0 UNION ALL SELECT street, cls, run, v, u, length FROM own0) GROUP BY 1, 2, 3, 4, 5),
+imp(street, cls, run, node, d) USING KEY (street, cls, run, node) AS (SELECT o.street, o.cls, o.run, o.u, min(o.weight + b.d) FROM own o JOIN base b ON b.node = o.v LEFT JOIN base n ON n.node = o.u WHERE b.d < 10000 AND o.weight + b.d < least(coalesce(n.d, 10000), 10000) GROUP BY 1, 2, 3, 4
+  UNION SELECT x.street, x.cls, x.run, x.node, min(x.d) FROM (SELECT i.street, i.cls, i.run, a.u AS node, i.d + least(a.weight, coalesce(o.weight, a.weight)) AS d FROM imp i JOIN arc a ON a.v = i.node LEFT JOIN own o ON o.street = i.street AND o.cls = i.cls AND o.run = i.run AND o.u = a.u AND o.v = a.v) x
+    LEFT JOIN base b ON b.node = x.node LEFT JOIN recurring.imp r ON r.street = x.street AND r.cls = x.cls AND r.run = x.run AND r.node = x.node WHERE x.d < least(coalesce(b.d, 10000), 10000) AND (r.d IS NULL OR x.d < r.d) GROUP BY 1, 2, 3, 4),
+gain AS (SELECT i.street, i.cls, i.run, sum(pop * (least(coalesce(b.d, 10000), 10000) - i.d)) AS saved, coalesce(sum(pop) FILTER (least(coalesce(b.d, 10000), 10000) >= 2500 AND i.d < 2500), 0) AS gaining FROM imp i JOIN people p ON p.id = i.node LEFT JOIN base b ON b.node = i.node GROUP BY 1, 2, 3),
+full0 AS (SELECT n.*, coalesce(saved, 0) AS saved, coalesce(gaining, 0) AS gaining FROM numb n LEFT JOIN gain g ON g.street = n.street AND g.cls = n.cls AND g.run = n.run), tops2 AS (SELECT max(saved) AS a, max(gaining) AS v FROM full0)"""
+
+
+def _gained(spark, folder: str) -> DataFrame:
+    """Candidates with what building each would save residents, and how many would gain a safe way."""
+    rows, members = _candidates(spark, folder)
+    kept = cut(_kept(spark, folder))
+    streets = members.join(kept.select("street", "cls", "run"), ["street", "cls", "run"], "left_semi").select("street", "cls", "run", "u", "v", "length")
+    least = arcs(spark, folder).groupBy("u", "v").agg(F.min("weight").alias("weight"))
+    pop = cut(spatial.share_population(grid.nodes(spark, folder), grid.blocks(spark, folder)))
+    gain = projects.accessibility(streets, least, access_costs(spark, folder), pop)
+    out = projects.measured(kept).join(gain, ["street", "cls", "run"], "left")
+    return out.withColumns({"saved": F.coalesce("saved", num(0)), "gaining": F.coalesce("gaining", num(0))})
+
+
+@query("project_access", grid.sql(f", {_GAIN} SELECT street, cls, run, round(saved, 1) AS saved, round(gaining, 2) AS gaining FROM full0", recursive=True))
+def project_access(spark, folder):
+    return _gained(spark, folder).select("street", "cls", "run", F.round("saved", 1).alias("saved"), F.round("gaining", 2).alias("gaining"))
+
+
+@query("project_ranking", grid.sql(f", {_GAIN} SELECT cid, round({_NORM.format('sv', 'j')} * 0.4::DOUBLE + {_NORM.format('saved', 'a')} * 0.3::DOUBLE + {_NORM.format('cr', 'c')} * 0.15::DOUBLE + {_NORM.format('gaining', 'v')} * 0.15::DOUBLE, 3) AS score FROM full0, tops, tops2", recursive=True))
+def project_ranking(spark, folder):
+    """Every candidate's composite score over all four measures."""
+    measures = {"severance": ("sv", dims.W_SEVERANCE), "access": ("saved", dims.W_ACCESS), "crash": ("cr", dims.W_CRASH), "coverage": ("gaining", dims.W_COVERAGE)}
+    rows = projects.scored(cut(_gained(spark, folder)), measures, digits=3)
+    numbered = projects.numbered(rows, [F.col("street"), F.col("cls"), F.col("run")], "_n")
+    return numbered.select(F.concat(F.lit("c"), F.lpad(F.col("_n").cast("string"), 5, "0")).alias("cid"), "score")
+
+
 # towns
 
 

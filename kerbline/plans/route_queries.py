@@ -150,6 +150,17 @@ def gpx_points(spark, folder):
     return docs.select("route_id", (F.size(F.split("gpx", "<trkpt ")) - 1).cast("bigint").alias("n_points"))
 
 
+@query("track_snap", grid.sql(f""", {_LEG}, {_TRACK}, sg AS (SELECT route_id, idx, lon AS alon, lat AS alat, lead(lon) OVER o AS blon, lead(lat) OVER o AS blat, cum_m FROM track WINDOW o AS (PARTITION BY route_id ORDER BY idx)),
+fx AS (SELECT route_id, seq, (alon + blon) / 2 + (seq % 5) * 0.0001::DOUBLE AS lon, (alat + blat) / 2 + (seq % 3) * 0.0001::DOUBLE AS lat FROM leg),
+v AS (SELECT f.route_id, f.seq, s.idx, s.cum_m, (f.lon - alon) * cos(radians(f.lat)) * 111320 AS ax, (f.lat - alat) * 110540 AS ay, (blon - alon) * cos(radians(f.lat)) * 111320 AS bx, (blat - alat) * 110540 AS b_y FROM fx f JOIN sg s ON s.route_id = f.route_id AND blon IS NOT NULL),
+t AS (SELECT *, greatest(0, least(1, (ax * bx + ay * b_y) / (bx * bx + b_y * b_y))) AS t FROM v), d AS (SELECT *, sqrt(pow(ax - t * bx, 2) + pow(ay - t * b_y, 2)) AS off_m FROM t)
+SELECT route_id, seq, round(off_m, 3) AS off_m, round(cum_m + t * sqrt(bx * bx + b_y * b_y), 2) AS along_m FROM (SELECT *, row_number() OVER (PARTITION BY route_id, seq ORDER BY off_m, idx) AS rn FROM d) WHERE rn = 1"""))
+def track_snap(spark, folder):
+    rows = legs(spark, folder)
+    fixes = rows.select("route_id", "seq", ((F.col("alon") + F.col("blon")) / 2 + (F.col("seq") % 5) * num(0.0001)).alias("lon"), ((F.col("alat") + F.col("blat")) / 2 + (F.col("seq") % 3) * num(0.0001)).alias("lat"))
+    return routes.snapped(fixes, routes.track(rows)).select("route_id", "seq", F.round("off_m", 3).alias("off_m"), F.round("along_m", 2).alias("along_m"))
+
+
 @query("route_labels", grid.sql(f", {_LEG}, l AS (SELECT route_id, arg_min(name, seq) AS a, arg_max(name, seq) AS b FROM leg WHERE name <> '' GROUP BY 1) SELECT route_id, CASE WHEN a = b THEN a ELSE a || ' → ' || b END AS label FROM l"))
 def route_labels(spark, folder):
     return routes.labels(legs(spark, folder))
