@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kerbline.functions.geo import num
-from kerbline.functions.text import half_up, html_escape, safety_grade
+from kerbline.functions.text import half_up, html_escape, one_decimal, safety_grade
 from kerbline.operators.weights import lookup
 from kerbline import dims
 
@@ -38,7 +38,7 @@ def project_sentence(name: Column, cls: Column, kind: Column, length_m: Column,
     place = F.lit("") if towns is None else F.when(F.coalesce(towns, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(" ("), towns, F.lit(")")))
     metres = F.format_string("%.0f m", F.bround(length_m))
     what = F.when(kind == "spot_fix", F.concat(F.lit("a spot fix on "), name, place, F.lit(" — "), metres, F.lit(" of it, today "), today)).otherwise(F.concat(metres, F.lit(" of "), name, place, F.lit(" — today "), today))
-    joins = F.when(join_m > 0, F.concat(F.lit("unlocks "), F.format_string("%.1f", join_m / 1000), F.lit(" km of kid-safe streets")))
+    joins = F.when(join_m > 0, F.concat(F.lit("unlocks "), one_decimal(join_m / 1000, ties_up=False), F.lit(" km of kid-safe streets")))
     history = F.when(crashes > 0, F.concat(crashes.cast("string"), F.lit(" bike crash"), F.when(crashes == 1, F.lit("")).otherwise(F.lit("es")), F.lit(" since 2021")))
     if pressure is not None:
         history = F.when(crashes.isNull() & (pressure > 0), F.lit("recorded bike crashes nearby")).otherwise(history)
@@ -59,15 +59,15 @@ def street_card(name: Column, cls: Column, crashes: Column) -> Column:
 
 def town_sentence(safe_km: Column, pocket_km: Column, pockets: Column, connected_km: Column, budget_km: float) -> Column:
     start = F.lit(f"Measured as a {budget_km:g} km ride that avoids traffic a child shouldn't be in. ")
-    km = lambda c: F.format_string("%.1f km", c)
+    km = lambda c: F.concat(one_decimal(c), F.lit(" km"))
     split = F.concat(F.lit("The streets they can use don't join up: "), km(pocket_km), F.lit(" of them sit in "), pockets.cast("string"), F.lit(" pockets with no safe way out."))
     joined = F.concat(F.lit("Most of the safe network here does join up — "), km(connected_km), F.lit(" of it — so the gaps are specific: "), km(pocket_km), F.lit(" stranded in "), pockets.cast("string"), F.lit(" pockets, and the crossings between them."))
     return F.concat(start, F.when(safe_km <= 0, F.lit("Almost no street here is one a child can ride away from.")).when(pocket_km / safe_km >= 0.3, split).otherwise(joined))
 
 
 def ride_sentence(day: Column, meters: Column, moving_s: Column, protected: Column, quiet: Column) -> Column:
-    speed = F.when(moving_s > 0, F.format_string("%.1f", meters / moving_s * 3.6)).otherwise(F.lit("0"))
-    return F.concat(F.lit("🚲 Family bike ride, "), day, F.lit(": "), F.format_string("%.1f", meters / 1000), F.lit(" km in "), half_up(moving_s / 60).cast("string"), F.lit(" min ("), speed, F.lit(" km/h), "), protected.cast("string"), F.lit("% on protected paths + "), quiet.cast("string"), F.lit("% quiet streets."))
+    speed = F.when(moving_s > 0, one_decimal(meters / moving_s * 3.6)).otherwise(F.lit("0"))
+    return F.concat(F.lit("🚲 Family bike ride, "), day, F.lit(": "), one_decimal(meters / 1000), F.lit(" km in "), half_up(moving_s / 60).cast("string"), F.lit(" min ("), speed, F.lit(" km/h), "), protected.cast("string"), F.lit("% on protected paths + "), quiet.cast("string"), F.lit("% quiet streets."))
 
 
 def report_sentence(label: Column, note: Column, lat: Column, lon: Column) -> Column:

@@ -35,6 +35,19 @@ def half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5)).cast("bigint")
 
 
+def one_decimal(x: Column, ties_up: bool = True) -> Column:
+    """A number of 0 or more with one decimal, rounded by its exact binary value as C and JavaScript do (1.65 is
+    a little less than that, so 1.6). Of true ties, as 0.25, up, or to even."""
+    a, b = x * 8, x * 2
+    s = a + b
+    lost = (a - (s - (s - a))) + (b - (s - a))  # what rounding took from ten times x
+    low = F.floor(s)
+    tie = (low + 1 if ties_up else low + low % 2).cast("bigint")
+    at_half = F.when(lost > 0, low + 1).when(lost < 0, low).otherwise(tie)
+    n = F.when(s - low > 0.5, low + 1).when(s - low < 0.5, low).otherwise(at_half).cast("bigint")
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def guide_metres(m: Column) -> Column:
     return F.when(m < 15, F.lit(0)).when(m < 100, half_up(m / 10) * 10).when(m < 500, half_up(m / 50) * 50).otherwise(half_up(m / 100) * 100).cast("bigint")
 

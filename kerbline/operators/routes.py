@@ -32,7 +32,7 @@ def _before():
 
 
 def metres_text(m: Column) -> Column:
-    return F.when(m < 1000, F.concat(text.half_up(m).cast("string"), F.lit(" m"))).otherwise(F.concat(F.format_string("%.1f", m / 1000), F.lit(" km")))
+    return F.when(m < 1000, F.concat(text.half_up(m).cast("string"), F.lit(" m"))).otherwise(F.concat(text.one_decimal(m / 1000), F.lit(" km")))
 
 
 def _sum_if(condition: Column, value: Column) -> Column:
@@ -71,7 +71,7 @@ def grades(legs: DataFrame) -> DataFrame:
     )
     mean = F.when(F.col("t") > 0, F.col("c") / F.col("t")).otherwise(num(1))
     calm = F.when(F.col("s") < 30, F.lit("no busy/moderate streets")).otherwise(F.concat(metres_text(F.col("s")), F.lit(" on busy/moderate streets")))
-    reason = F.concat(F.lit("avg kid-stress "), F.format_string("%.1f", mean), F.lit("× per meter — "), _share(F.col("p"), F.col("t")).cast("string"), F.lit("% protected, "), calm)
+    reason = F.concat(F.lit("avg kid-stress "), text.one_decimal(mean), F.lit("× per meter — "), _share(F.col("p"), F.col("t")).cast("string"), F.lit("% protected, "), calm)
     return s.select("route_id", text.safety_grade(mean).alias("grade"), reason.alias("reason"))
 
 

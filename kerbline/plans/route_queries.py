@@ -38,7 +38,9 @@ def legs(spark, folder: str) -> DataFrame:
 
 
 _M = "floor({} + 0.5)::BIGINT"
-_FMT = "CASE WHEN {0} < 1000 THEN floor({0} + 0.5)::BIGINT || ' m' ELSE format('{{:.1f}}', {0} / 1000) || ' km' END"
+#: One decimal; true ties (odd quarters) go up.
+_ONE = "format('{{:.1f}}', {0} + CASE WHEN {0} * 4 = floor({0} * 4) AND floor({0} * 4)::BIGINT % 2 = 1 THEN 0.01::DOUBLE ELSE 0 END)"
+_FMT = "CASE WHEN {0} < 1000 THEN floor({0} + 0.5)::BIGINT || ' m' ELSE " + _ONE.format("({0} / 1000)").replace("{:.1f}", "{{:.1f}}") + " || ' km' END"
 _SUM = """s AS (SELECT route_id, sum(length) AS t, coalesce(sum(length) FILTER (walk), 0) AS w, sum(climb) AS c, coalesce(sum(length) FILTER (NOT walk AND cls IN ('path', 'separated', 'buffered')), 0) AS p, coalesce(sum(length) FILTER (NOT walk AND cls IN ('quiet_street', 'service')), 0) AS q FROM leg GROUP BY 1)"""
 
 
@@ -53,7 +55,7 @@ def route_class_metres(spark, folder):
 
 
 @query("route_grades", grid.sql(f""", {_LEG}, g AS (SELECT route_id, sum(length) AS t, sum(length * CASE WHEN walk THEN 1.3 ELSE stress_mult END * crash_factor + xpen) / sum(length) AS mean, coalesce(sum(length) FILTER (NOT walk AND cls IN ('sharrow', 'moderate_street', 'busy_street')), 0) AS s, coalesce(sum(length) FILTER (cls IN ('path', 'separated', 'buffered')), 0) AS p FROM leg GROUP BY 1)
-SELECT route_id, CASE WHEN mean <= 1.6 THEN 'A' WHEN mean <= 2.4 THEN 'B' WHEN mean <= 4 THEN 'C' WHEN mean <= 8 THEN 'D' ELSE 'F' END AS grade, 'avg kid-stress ' || format('{{:.1f}}', mean) || '× per meter — ' || floor(100 * p / t + 0.5)::BIGINT || '% protected, ' || CASE WHEN s < 30 THEN 'no busy/moderate streets' ELSE ({_FMT.format('s')}) || ' on busy/moderate streets' END AS reason FROM g"""))
+SELECT route_id, CASE WHEN mean <= 1.6 THEN 'A' WHEN mean <= 2.4 THEN 'B' WHEN mean <= 4 THEN 'C' WHEN mean <= 8 THEN 'D' ELSE 'F' END AS grade, 'avg kid-stress ' || {_ONE.format('mean')} || '× per meter — ' || floor(100 * p / t + 0.5)::BIGINT || '% protected, ' || CASE WHEN s < 30 THEN 'no busy/moderate streets' ELSE ({_FMT.format('s')}) || ' on busy/moderate streets' END AS reason FROM g"""))
 def route_grades(spark, folder):
     return routes.grades(legs(spark, folder))
 
