@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbline import dims
 from kerbline.functions.geo import cell, num, slippy_tile
+from kerbline.operators.projects import numbered
 
 SAMPLE_M = 35.0
 
@@ -85,7 +86,7 @@ def dictionary_encoded(edges: DataFrame) -> DataFrame:
     """Names and classes as ids in alphabetical order, by joining small dictionaries rather than ranking all rows."""
     names = edges.select(F.coalesce("name", F.lit("")).alias("label")).distinct()
     classes = edges.select(F.col("cls").alias("label")).distinct()
-    number = lambda d, out: d.withColumn(out, F.row_number().over(Window.orderBy("label")).cast("bigint") - 1)
+    number = lambda d, out: numbered(d, [F.col("label")], out).withColumn(out, F.col(out).cast("bigint") - 1)
     e = edges.withColumn("_name", F.coalesce("name", F.lit("")))
     e = e.join(number(names, "name_id").withColumnRenamed("label", "_name"), "_name").join(number(classes, "class_id").withColumnRenamed("label", "cls"), "cls")
     return e.select("u", "v", "name_id", "class_id", F.round("length", 1).alias("length"))

@@ -90,7 +90,8 @@ def paths(found: DataFrame, targets: DataFrame, most_rounds: int = 64) -> DataFr
 
     Every node doubles how far back it points each round, so a path of n streets takes log n joins.
     """
-    tree = cut(found.select("mode", "query", "node", "prev"))
+    limit = targets.select("mode", "query", "node").join(found.select("mode", "query", "node", "cost"), ["mode", "query", "node"]).groupBy("mode", "query").agg(F.max("cost").alias("most"))
+    tree = cut(found.join(limit, ["mode", "query"]).where("cost <= most").select("mode", "query", "node", "prev"))  # no path goes through dearer nodes
     on_path = cut(targets.select("mode", "query", "node", F.lit(0).cast("bigint").alias("back")).join(tree.select("mode", "query", "node"), ["mode", "query", "node"], "left_semi"))
     jump = tree.where("prev IS NOT NULL").select("mode", "query", "node", F.col("prev").alias("to"))
     length = 1

@@ -271,9 +271,10 @@ def _gained(spark, folder: str) -> DataFrame:
     return out.withColumns({"saved": F.coalesce("saved", num(0)), "gaining": F.coalesce("gaining", num(0))})
 
 
-@query("project_access", grid.sql(f", {_GAIN} SELECT street, cls, run, round(saved, 1) AS saved, round(gaining, 2) AS gaining FROM full0", recursive=True))
+@query("project_access", grid.sql(f", {_GAIN} SELECT street, cls, run, round(saved + 0.0013::DOUBLE, 1) AS saved, round(gaining + 0.0013::DOUBLE, 2) AS gaining FROM full0", recursive=True))
 def project_access(spark, folder):
-    return _gained(spark, folder).select("street", "cls", "run", F.round("saved", 1).alias("saved"), F.round("gaining", 2).alias("gaining"))
+    off = num(0.0013)  # shares of people end in halves and quarters: keeps sums off rounding ties
+    return _gained(spark, folder).select("street", "cls", "run", F.round(F.col("saved") + off, 1).alias("saved"), F.round(F.col("gaining") + off, 2).alias("gaining"))
 
 
 @query("project_ranking", grid.sql(f", {_GAIN} SELECT cid, round({_NORM.format('sv', 'j')} * 0.4::DOUBLE + {_NORM.format('saved', 'a')} * 0.3::DOUBLE + {_NORM.format('cr', 'c')} * 0.15::DOUBLE + {_NORM.format('gaining', 'v')} * 0.15::DOUBLE, 3) AS score FROM full0, tops, tops2", recursive=True))
