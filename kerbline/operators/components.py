@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.plans.lineage import cut
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, component) of every node of the links (a, b); a component is named by its smallest node.
 
     Nodes are of any ordered type, structs included. Alternating large-star and small-star rounds: a
     row only ever meets the smallest neighbour of its node, so a node with very many neighbours costs
-    a partial aggregation, not one large group. Stops when a round changes nothing.
+    a partial aggregation, not one large group. Stops when a round changes nothing;
+    where most_rounds is given and met before, this is an error.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(most_rounds):
+    for done in itertools.count():
+        if done == most_rounds:
+            raise RuntimeError(f"components still change after {done} rounds")
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

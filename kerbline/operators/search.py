@@ -10,6 +10,7 @@ one tile's arcs, and all queries of a batch share each round. Costs do not decre
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,11 +60,12 @@ def _settle(arcs: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _STATE.split(", ")])
 
 
-def costs(arcs: DataFrame, starts: DataFrame, tiles: DataFrame, budget: float | None = None, most_rounds: int = 500) -> DataFrame:
+def costs(arcs: DataFrame, starts: DataFrame, tiles: DataFrame, budget: float | None = None, most_rounds: int | None = None) -> DataFrame:
     """mode, query, node, cost, prev of every node reached.
 
     arcs: mode, u, v, weight. starts: mode, query, node, cost. tiles: node, tile. prev is the node before on a
-    cheapest path, the least of equals, and null at a start.
+    cheapest path, the least of equals, and null at a start. Rounds go on until nothing is left to settle; where
+    most_rounds is given and met before, this is an error.
     """
     home = cut(tiles.select("node", F.col("tile").cast("bigint").alias("tile")))
     least = arcs.groupBy("mode", "u", "v").agg(F.min("weight").alias("weight"))
@@ -72,10 +74,12 @@ def costs(arcs: DataFrame, starts: DataFrame, tiles: DataFrame, budget: float |
     first = starts.groupBy("mode", "query", "node").agg(F.min("cost").alias("cost"))
     state = first.join(home, "node").select("tile", F.col("mode").alias("mode"), "query", "node", "cost", F.lit(-1).cast("bigint").alias("prev"), F.lit(False).alias("settled"))
     state = cut(state)
-    for _ in range(most_rounds):
+    for done in itertools.count():
         busy = state.where(~F.col("settled")).select("tile", "mode", "query").distinct()
         if busy.isEmpty():
             break
+        if done == most_rounds:
+            raise RuntimeError(f"nodes are left to settle after {done} rounds")
         work = state.join(busy, ["tile", "mode", "query"], "left_semi").withColumn("budget", F.lit(float("inf") if budget is None else float(budget)))
         streets = placed.join(busy.select("tile", "mode").distinct(), ["tile", "mode"], "left_semi")
         made = streets.groupBy("tile", "mode").cogroup(work.groupBy("tile", "mode")).applyInPandas(_settle, _STATE)

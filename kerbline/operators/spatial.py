@@ -58,10 +58,18 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, limit: float, size:
     return points.join(best, key, "left").select(*points.columns, F.col("m.id").alias("near_id"), F.col("m.d2").alias("d2")).where("near_id IS NOT NULL")
 
 
-def nearest_anywhere(points: DataFrame, targets: DataFrame, key: str, first: float, rounds: int = 12) -> DataFrame:
-    """The nearest target however far: points that find none within a distance try again at twice that."""
-    out, left, limit = None, cut(points), first
-    for _ in range(rounds):
+def nearest_anywhere(points: DataFrame, targets: DataFrame, key: str, first: float) -> DataFrame:
+    """The nearest target however far: points that find none within a distance try again at twice that.
+
+    Points and targets without a finite position have no nearest and are none."""
+    if first <= 0:
+        raise ValueError("the first distance must be positive")
+    finite = lambda c: F.abs(F.col(c)) < float("inf")
+    targets = cut(targets.where(finite("tx") & finite("ty")))
+    out, left, limit = None, cut(points.where(finite("x") & finite("y"))), first
+    if targets.isEmpty():
+        return nearest(left, targets, key, limit)
+    while True:
         found = cut(nearest(left, targets, key, limit))
         out = found if out is None else out.unionByName(found)
         left = cut(left.join(found.select(key), key, "left_anti"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from kerbline.plans.lineage import cut
 from kerbline.plans.network_queries import _WEIGHED, weighed
 from kerbline.plans.registry import query
 
+#: Rows of the grid, 40 nodes wide, that a tile of a search holds at most: 250,000 nodes.
+MOST_SIDE = 6250
+
 _CC = """cc_node AS (SELECT a AS id FROM safe UNION SELECT b FROM safe), ways AS (SELECT a, b FROM safe UNION ALL SELECT b, a FROM safe),
 comp(id, island) USING KEY (id) AS (SELECT id, id FROM cc_node UNION SELECT e.b, min(c.island) FROM comp c JOIN ways e ON e.a = c.id JOIN recurring.comp r ON r.id = e.b WHERE c.island < r.island GROUP BY e.b),
 island AS (SELECT island, sum(m) AS metres FROM safe JOIN comp ON comp.id = safe.a GROUP BY 1)"""
@@ -146,8 +151,11 @@ def rerank(spark, folder):
 # searches
 
 
-def tiles_of(spark, folder: str, side: int = 40) -> DataFrame:
-    """node, tile: squares of side x side nodes."""
+def tiles_of(spark, folder: str, side: int | None = None) -> DataFrame:
+    """node, tile: squares of side x side nodes. Unless given, the side grows with the root of the network, so that both
+    a tile's nodes and the tiles, which bound a search's rounds, do; up to MOST_SIDE, which bounds a task's memory."""
+    if side is None:
+        side = min(max(grid.WIDTH, math.isqrt(grid.table(spark, folder, "part").count())), MOST_SIDE)
     return grid.nodes(spark, folder).select(F.col("id").alias("node"), (F.floor(F.col("cy") / side) * 1000 + F.floor(F.col("cx") / side)).cast("bigint").alias("tile"))
 
 
