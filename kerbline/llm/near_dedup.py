@@ -30,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.operators.projects import numbered
+
 from .cluster import BLOOM_BITS, bit_columns, bit_set, components, cut, in_bit_set, small_batches
 from .wordhash import NON_SPACE, gram_hashes, mix, words_of
 
 WIDTH, THRESHOLD = 5, 85
+STAGE_THRESHOLD = 80  # the pipeline's; THRESHOLD is the contract of op7 alone
 SMALL_K, LARGE_K, LONG_LIST = 40, 512, 16
 
 
@@ -191,13 +194,26 @@ def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate group stays, the one with the smallest id."""
+    """Pipeline stage: one document of each near-duplicate group stays, the one with the smallest id.
+
+    Groups are of texts, linked from STAGE_THRESHOLD on. Rows of one id and different texts are different documents."""
     columns = [docs[f"`{c}`"] for c in docs.columns]
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    once = Window.partitionBy("doc_id").orderBy("doc_id")
-    number = "_".join(["", "copy", *docs.columns])  # a name that no column has
-    rows = rows.withColumn(number, F.row_number().over(once)).where(F.col(f"`{number}`") == 1).drop(number)
+    text = F.col("text").cast("string")
+    number, same = ("_".join(["", name, *docs.columns]) for name in ("copy", "text"))  # names that no column has
+    named = docs.where("doc_id IS NOT NULL").withColumn(same, F.unhex(F.sha2(F.coalesce(F.concat(F.lit("t"), text), F.lit("")), 256)))
+    shared = named.groupBy("doc_id").agg(F.min(same).alias("lo"), F.max(same).alias("hi")).where("lo < hi")
+    if shared.isEmpty():
+        kept = near_duplicates(docs, threshold=STAGE_THRESHOLD).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+        rows = named.join(kept, named["doc_id"] == kept["kept_id"], "left_semi")
+    else:  # every id and text gets a number of its own, in the order of ids
+        keys = numbered(named.select("doc_id", F.col(same).alias("same")).distinct(), [F.col("doc_id"), F.col("same")], "n")
+        keys = cut(keys.select(F.col("doc_id").alias("key_id"), "same", F.col("n").cast("bigint").alias("n")))
+        texts = named.select(F.col("doc_id").alias("key_id"), F.col(same).alias("same"), text.alias("text")).join(keys, ["key_id", "same"]).select(F.col("n").alias("doc_id"), "text")
+        kept = near_duplicates(texts, threshold=STAGE_THRESHOLD).where("kept").select(F.col("doc_id").alias("n")).distinct()
+        kept = keys.join(kept, "n").select("key_id", "same")
+        rows = named.join(kept, (named["doc_id"] == kept["key_id"]) & (named[same] == kept["same"]), "left_semi")
+    once = Window.partitionBy("doc_id", same).orderBy("doc_id")
+    rows = rows.withColumn(number, F.row_number().over(once)).where(F.col(f"`{number}`") == 1).drop(number, same)
     return rows.union(docs.where(F.col("doc_id").isNull()).select(*columns))
 
 
