@@ -5,11 +5,12 @@
 2. A class keeps the k smallest hashes. Inverted lists of the retained values give overlaps. A
    class enters only the lists of its rarest values: two sketches that overlap in c values share one
    of the first k - c + 1 of each in any common order.
-3. A list that is long at k = 40 holds common passages or large groups. Its members are sketched
-   again at k = 512, which for most documents is the whole set, and listed again; so no list is cut.
-4. In each list every member is compared with the list's most central member. Linked members form
-   components; then only pairs across components are generated, with bounds from sizes, positions
-   and the union sketch, until no list holds an unchecked pair that could be a link.
+3. A list that is long at k = 40 holds common passages or large groups. Its members are listed again by their
+   whole sets, where sizes and positions bound the overlap exactly; so no list is cut.
+4. Pairs of one list are compared where it is short. In a long list every member is compared with the most central
+   member and two drawn ones. Linked members form components; the rest is held against more drawn
+   members as long as that joins many, then all pairs across components that sizes and positions allow are compared.
+   Of the lists that hold both members of a pair, the rarest makes the pair (up to EARLY rarer ones are looked at).
 5. Every link is confirmed on full shingle sets.
 
 Links are 100 * |A and B| >= threshold * |A or B|. A pair at exactly the threshold is missed with a chance
@@ -23,6 +24,7 @@ kept); an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -37,7 +39,7 @@ from .wordhash import NON_SPACE, gram_hashes, mix, words_of
 
 WIDTH, THRESHOLD = 5, 85
 STAGE_THRESHOLD = 80  # the pipeline's; THRESHOLD is the contract of op7 alone
-SMALL_K, LARGE_K, LONG_LIST = 40, 512, 16
+SMALL_K, LONG_LIST, EARLY, ENOUGH = 40, 16, 32, 16
 
 
 def _shingle_sets(column, width):
@@ -87,64 +89,100 @@ def shingle_sets(docs: DataFrame, wanted: np.ndarray, width: int = WIDTH) -> Dat
     return named.select("doc_id", "text", *bit_columns("doc_id", BLOOM_BITS)).mapInArrow(kernel, "doc_id long, shingles array<long>")
 
 
-def least_overlap(n, k: int, threshold: int):
-    """Values that two sketches of linked sets share at least, given one set's size."""
+def least_overlap(n, k: int | None, threshold: int):
+    """Values that two sketches of linked sets share at least, given one set's size; k is None for whole sets."""
+    exact = F.ceil(n * threshold / 100)
+    if k is None:
+        return exact.cast("int")
     t = threshold / 100
     sure = max(1, math.floor(t * k - 6 * math.sqrt(t * (1 - t) * k)))
-    return F.when(n < t * k, F.ceil(n * threshold / 100)).otherwise(F.lit(sure)).cast("int")
+    return F.when(n < t * k, exact).otherwise(F.lit(sure)).cast("int")
 
 
-def prefix_lists(sets: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Inverted lists over the rarest values of sketches: rows (value, doc, n, rest, short, whole, central, leader, size).
+def prefix_rows(sets: DataFrame, k: int | None, threshold: int) -> DataFrame:
+    """Inverted lists over the rarest values of sketches: rows (value, doc, n, rest, short, whole, central, early).
 
     rest: values of the doc's sketch after this one in rare-first order. short: the value also lies in
-    the shorter prefix that is enough for the smaller set of a pair. whole: the sketch is exact.
+    the shorter prefix that is enough for the smaller set of a pair. whole: the sketch is exact. early: the
+    doc's first values in the same order, up to EARLY of whole sets and a quarter as many of sketches, before this one.
     """
+    early = EARLY if k is None else EARLY // 4
     flat = sets.select("doc", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
-    shared = flat.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    shared = cut(flat.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
     per_doc = flat.join(shared, "value").groupBy("doc", "n", "kept").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
-    whole = F.col("n") < threshold / 100 * k
+    whole = F.lit(True) if k is None else F.col("n") < threshold / 100 * k
     alone = F.col("kept") - F.size("common")
+    long_prefix = F.col("kept") - least_overlap(F.col("n"), k, threshold) + 1 - alone
     per_doc = per_doc.select(
-        "doc", "n", whole.alias("whole"), (F.size("common") / F.col("kept")).alias("central"), "common", alone.alias("alone"), "kept",
-        (F.col("kept") - least_overlap(F.col("n"), k, threshold) + 1 - alone).alias("long_prefix"),
-        F.when(whole, F.col("n") - F.ceil(F.col("n") * 2 * threshold / (100 + threshold)) + 1 - alone).otherwise(F.col("kept") - least_overlap(F.col("n"), k, threshold) + 1 - alone).alias("short_prefix"),
+        "doc", "n", whole.alias("whole"), (F.size("common") / F.col("kept")).alias("central"), F.col("common.value").alias("common"), long_prefix.alias("long_prefix"),
+        F.when(whole, F.col("n") - F.ceil(F.col("n") * 2 * threshold / (100 + threshold)) + 1 - alone).otherwise(long_prefix).alias("short_prefix"),
     )
-    rows = per_doc.where("long_prefix > 0").select("doc", "n", "whole", "central", "kept", "alone", "short_prefix", F.posexplode(F.expr("slice(common, 1, long_prefix)")).alias("i", "c"))
-    rows = rows.select(F.col("c.value").alias("value"), "doc", "n", "whole", "central", (F.col("kept") - F.col("alone") - F.col("i") - 1).alias("rest"), (F.col("i") < F.col("short_prefix")).alias("short"))
-    rows = cut(rows)
-    heads = rows.groupBy("value").agg(F.count("*").alias("size"), F.max(F.struct("central", (-F.col("doc")).alias("less"))).alias("head")).where("size > 1")
-    return cut(rows.join(heads.select("value", "size", (-F.col("head.less")).alias("leader")), "value"))
+    rows = per_doc.where("long_prefix > 0").select("doc", "n", "whole", "central", "short_prefix", F.size("common").alias("listed"), F.slice("common", 1, early).alias("first"), F.posexplode(F.expr("slice(common, 1, long_prefix)")).alias("i", "value"))
+    return cut(rows.select("value", "doc", "n", "whole", "central", (F.col("listed") - F.col("i") - 1).alias("rest"), (F.col("i") < F.col("short_prefix")).alias("short"), F.slice("first", 1, F.least("i", F.lit(early))).alias("early")))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) that are links on their full sets."""
-    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * threshold).select("a", "b")
+def long_lists(rows: DataFrame, long_list: int) -> DataFrame:
+    """value and leaders of the lists with more than long_list members: the most central member and two drawn by hash."""
+    draw = F.struct(F.xxhash64("value", "doc").alias("draw"), "doc")
+    heads = rows.groupBy("value").agg(F.count("*").alias("size"), F.max(F.struct("central", (-F.col("doc")).alias("less"))).alias("head"), F.min(draw).alias("lo"), F.max(draw).alias("hi"))
+    return cut(heads.where(F.col("size") > long_list).select("value", F.array(-F.col("head.less"), F.col("lo.doc"), F.col("hi.doc")).alias("leaders")))
 
 
-def _star_pairs(lists: DataFrame, threshold: int) -> DataFrame:
-    return lists.where("doc <> leader").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
+def _possible(x, y, threshold: int):
+    """Whether sizes and positions let x and y, members of one list with (n, doc) of x below y's, be a link, and no earlier list has both."""
+    t = threshold
+    sizes = x["short"] & (x["n"] * 100 >= y["n"] * t)
+    places = ~x["whole"] | ~y["whole"] | ((1 + F.least(x["rest"], y["rest"])) * (100 + t) >= t * (x["n"] + y["n"]))
+    return sizes & places & ~F.arrays_overlap(x["early"], y["early"])
 
 
-def _cross_pairs(lists: DataFrame, named: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of one list in different components that sizes and positions still allow."""
-    rows = lists.join(named.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = rows.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
-    rows = rows.join(mixed, "value")
-    a = rows.where("short").select("value", *(F.col(c).alias(f"{c}_a") for c in ("doc", "n", "rest", "whole", "component")))
-    b = rows.select("value", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "rest", "whole", "component")))
-    t = threshold
-    return (
-        a.join(b, "value")
-        .where((F.col("component_a") != F.col("component_b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_a") < F.col("doc_b")))))
-        .where(F.col("n_a") * 100 >= F.col("n_b") * t)
-        .where(~F.col("whole_a") | ~F.col("whole_b") | ((1 + F.least("rest_a", "rest_b")) * (100 + t) >= t * (F.col("n_a") + F.col("n_b"))))
-        .select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
-    )
+def _list_pairs(rows: DataFrame, longs: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) within the lists that are not long, so at most long_list of them for each row."""
+    held = rows.join(longs.select("value"), "value", "left_anti").groupBy("value").agg(F.sort_array(F.collect_list(F.struct("n", "doc", "rest", "short", "whole", "early"))).alias("m"))
+
+    def later(x, i):
+        rest = F.filter(F.slice("m", i + 2, F.size("m")), lambda y: _possible(x, y, threshold))
+        return F.transform(rest, lambda y: F.struct(F.least(x["doc"], y["doc"]).alias("a"), F.greatest(x["doc"], y["doc"]).alias("b")))
+
+    return held.where(F.size("m") > 1).select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.*")
+
+
+def _star_pairs(rows: DataFrame, longs: DataFrame) -> DataFrame:
+    """Pairs of the members of long lists with their lists' leaders."""
+    each = rows.select("value", "doc").join(longs, "value").select("doc", F.explode("leaders").alias("leader"))
+    return each.where("doc <> leader").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
+
+
+def _placed(rows: DataFrame, named: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows of long lists that hold several components, with `minor` where a row is not of its list's largest
+    component; the number of rows, and of pairs that a comparison of the minor ones with all would make."""
+    rows = rows.join(named.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    sizes = rows.groupBy("value", "component").agg(F.count("*").alias("held"))
+    major = cut(sizes.groupBy("value").agg(F.sum("held").alias("size"), F.max(F.struct("held", "component")).alias("top")).where(F.col("size") > F.col("top.held")))
+    rows = rows.join(major.select("value", F.col("top.component").alias("major")), "value").withColumn("minor", F.col("component") != F.col("major")).drop("major")
+    n, pairs = major.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum((F.col("size") - F.col("top.held")) * F.col("size")), F.lit(0))).first()
+    return rows, n, pairs
+
+
+def _drawn_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of minor rows with members of their lists, of other components, drawn by hash anew each turn."""
+    draw = F.struct(F.xxhash64("value", "doc", F.lit(turn)).alias("draw"), "doc", "component")
+    heads = cut(rows.groupBy("value").agg(F.min(draw).alias("lo"), F.max(draw).alias("hi"), F.min(F.when(~F.col("minor"), draw)).alias("main")).select("value", F.array("lo", "hi", "main").alias("leaders")))
+    each = rows.where("minor").select("value", "doc", "component").join(heads, "value").select("doc", "component", F.explode("leaders").alias("l"))
+    return each.where(F.col("component") != F.col("l.component")).select(F.least("doc", F.col("l.doc")).alias("a"), F.greatest("doc", F.col("l.doc")).alias("b"))
+
+
+def _cross_pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of one list and different components that sizes and positions still allow. Two rows of a list's
+    largest component never meet."""
+    names = ("doc", "n", "rest", "short", "whole", "early", "component", "minor")
+    a, b = (rows.select("value", *(F.col(c).alias(f"{c}_{side}") for c in names)) for side in "ab")
+    x, y = ({c: F.col(f"{c}_{side}") for c in names} for side in "ab")
+    below = (x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["doc"] < y["doc"]))
+    fit = F.when(below, _possible(x, y, threshold)).otherwise(_possible(y, x, threshold))
+    once = ~y["minor"] | (x["doc"] < y["doc"])
+    met = a.where("minor_a").join(b, (a["value"] == b["value"]) & (x["component"] != y["component"]) & once & fit)
+    return met.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
 
 
 def _estimate(pairs: DataFrame, sketch: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -155,33 +193,71 @@ def _estimate(pairs: DataFrame, sketch: DataFrame, k: int, threshold: int) -> Da
     return both.where((F.col("na") * 100 >= F.col("nb") * threshold) & (F.col("nb") * 100 >= F.col("na") * threshold) & (overlap >= F.least(least_overlap(F.col("na"), k, threshold), least_overlap(F.col("nb"), k, threshold)))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, small_k: int = SMALL_K, large_k: int = LARGE_K, long_list: int = LONG_LIST) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) that are links on their full sets."""
+    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * threshold).select("a", "b")
+
+
+def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links."""
+    ends = links
+    for side in "ab":
+        ends = ends.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    ends = cut(ends)
+    onto = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    loose = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(joined.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    return cut(joined.union(loose).join(onto, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+
+
+def _across(rows: DataFrame, joined: DataFrame, tested: DataFrame, first: DataFrame, sets: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Components after the links across components of long lists.
+
+    As long as the pairs left are many for the rows and become fewer, minor rows are held against a few drawn
+    members, which leaves most of a linked group in one component; then all pairs left are compared.
+    """
+    before = None
+    for turn in itertools.count():
+        mixed, n, pairs = _placed(rows, joined)
+        if not n:
+            return joined
+        last = pairs <= ENOUGH * n or before is not None and pairs > 0.9 * before
+        found = _cross_pairs(mixed, threshold) if last else _drawn_pairs(mixed, turn)
+        fresh = cut(_estimate(found.distinct().join(tested, ["a", "b"], "left_anti"), first, k, threshold))
+        links = cut(_confirmed(fresh, sets, threshold))
+        if not links.isEmpty():
+            joined = _merged(joined, links)
+        if last:
+            return joined
+        tested, before = cut(tested.union(fresh)), pairs
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, k: int = SMALL_K, long_list: int = LONG_LIST) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
-    rows = cut(sketches(docs, width, small_k))
+    rows = cut(sketches(docs, width, k))
     classes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"))
     named = classes.where("doc IS NOT NULL")
     kept_rows = rows.where("n > 0").select(F.col("doc_id").alias("doc"), "h1", "h2", "sketch")
-    first = kept_rows.join(named, ["doc", "h1", "h2"]).select("doc", "n", "sketch")
-    lists = prefix_lists(first, small_k, threshold)
-    members = lists.select("doc").distinct()
+    first = cut(kept_rows.join(named, ["doc", "h1", "h2"]).select("doc", "n", "sketch"))
+    lists = prefix_rows(first, k, threshold)
+    longs = long_lists(lists, long_list)
+    likely = cut(_estimate(_list_pairs(lists, longs, threshold).distinct(), first, k, threshold))
+    again = cut(lists.select("value", "doc").join(longs.select("value"), "value", "left_semi").select("doc").distinct())
+    members = likely.select(F.explode(F.array("a", "b")).alias("doc")).union(again).distinct()
     sets = shingle_sets(docs, bit_set(members, "doc"), width)
     sets = cut(sets.withColumnRenamed("doc_id", "doc").join(members, "doc", "left_semi").groupBy("doc").agg(F.max("shingles").alias("shingles")))
-    again = sets.join(lists.where(F.col("size") > long_list).select("doc").distinct(), "doc", "left_semi")
-    longer = prefix_lists(again.select("doc", F.size("shingles").alias("n"), F.slice("shingles", 1, large_k).alias("sketch")), large_k, threshold)
-    short = lists.where(F.col("size") <= long_list)
-    sketch = sets.select("doc", F.size("shingles").alias("n"), F.slice("shingles", 1, small_k).alias("sketch"))
-    star = cut(_estimate(_star_pairs(short, threshold).union(_star_pairs(longer, threshold)).distinct(), sketch, small_k, threshold))
-    joined = cut(components(_confirmed(star, sets, threshold)))
-    cross = _cross_pairs(short, joined, threshold).union(_cross_pairs(longer, joined, threshold)).distinct().join(star, ["a", "b"], "left_anti")
-    more = cut(_confirmed(_estimate(cross, sketch, small_k, threshold), sets, threshold))
-    if not more.isEmpty():
-        over = joined.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        ends = more.join(over, "a", "left").withColumn("ca", F.coalesce("ca", "a"))
-        ends = ends.join(joined.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").withColumn("cb", F.coalesce("cb", "b"))
-        merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        loose = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(joined.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
-        onto = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        joined = cut(joined.union(loose).join(onto, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+    if longs.isEmpty():
+        joined = cut(components(_confirmed(likely, sets, threshold)))
+    else:
+        wholes = prefix_rows(sets.join(again, "doc", "left_semi").select("doc", F.size("shingles").alias("n"), F.col("shingles").alias("sketch")), None, threshold)
+        longer = long_lists(wholes, long_list)
+        more = _list_pairs(wholes, longer, threshold).union(_star_pairs(wholes, longer)).distinct()
+        likely = cut(likely.union(_estimate(more, first, k, threshold)).distinct())
+        joined = cut(components(_confirmed(likely, sets, threshold)))
+        joined = _across(wholes.join(longer.select("value"), "value", "left_semi"), joined, likely, first, sets, k, threshold)
     found = classes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("h1", "h2", F.coalesce("component", "doc").alias("component"))
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     out = rows.where("n > 0").join(found, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).union(alone)
