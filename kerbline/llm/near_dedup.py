@@ -8,7 +8,7 @@
 3. A list that is long at k = 40 holds common passages or large groups. Its members are listed again by their
    whole sets, where sizes and positions bound the overlap exactly; so no list is cut.
 4. Pairs of one list are compared where it is short. In a long list every member is compared with the most central
-   member and two drawn ones. Linked members form components; the rest is held against more drawn
+   member. Linked members form components; the rest is held against drawn
    members as long as that joins many, then all pairs across components that sizes and positions allow are compared.
    Of the lists that hold both members of a pair, the rarest makes the pair (up to EARLY rarer ones are looked at).
 5. Every link is confirmed on full shingle sets.
@@ -122,10 +122,9 @@ def prefix_rows(sets: DataFrame, k: int | None, threshold: int) -> DataFrame:
 
 
 def long_lists(rows: DataFrame, long_list: int) -> DataFrame:
-    """value and leaders of the lists with more than long_list members: the most central member and two drawn by hash."""
-    draw = F.struct(F.xxhash64("value", "doc").alias("draw"), "doc")
-    heads = rows.groupBy("value").agg(F.count("*").alias("size"), F.max(F.struct("central", (-F.col("doc")).alias("less"))).alias("head"), F.min(draw).alias("lo"), F.max(draw).alias("hi"))
-    return cut(heads.where(F.col("size") > long_list).select("value", F.array(-F.col("head.less"), F.col("lo.doc"), F.col("hi.doc")).alias("leaders")))
+    """value and leader (the most central member) of the lists with more than long_list members."""
+    heads = rows.groupBy("value").agg(F.count("*").alias("size"), F.max(F.struct("central", (-F.col("doc")).alias("less"))).alias("head"))
+    return cut(heads.where(F.col("size") > long_list).select("value", (-F.col("head.less")).alias("leader")))
 
 
 def _possible(x, y, threshold: int):
@@ -149,7 +148,7 @@ def _list_pairs(rows: DataFrame, longs: DataFrame, threshold: int) -> DataFrame:
 
 def _star_pairs(rows: DataFrame, longs: DataFrame) -> DataFrame:
     """Pairs of the members of long lists with their lists' leaders."""
-    each = rows.select("value", "doc").join(longs, "value").select("doc", F.explode("leaders").alias("leader"))
+    each = rows.select("value", "doc").join(longs, "value")
     return each.where("doc <> leader").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
 
 
