@@ -93,8 +93,14 @@ def measured(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"sv": sv, "cr": F.when(F.col("crashes_known"), per_km).otherwise(F.col("crash_pressure"))})
 
 
+def millionths(value: Column) -> Column:
+    """A figure as a whole number of millionths, whose sums are exact in any order."""
+    return F.round(value * 1e6).cast("bigint")
+
+
 def accessibility(members: DataFrame, arcs: DataFrame, base: DataFrame, people: DataFrame) -> DataFrame:
-    """street, cls, run, saved (resident-metres) and gaining (residents) of every candidate, if it were built.
+    """street, cls, run, saved (resident-metres) and gaining (residents) of every candidate, if it were built; both also
+    as whole numbers (saved_e12, gaining_e6), summed exactly from millionths of residents and metres.
 
     members: street, cls, run, u, v, length. arcs: u, v, weight, one each. base: node and its cost to the
     nearest destination now. people: id, pop. Building only lowers costs, so for each candidate only
@@ -123,10 +129,12 @@ def accessibility(members: DataFrame, arcs: DataFrame, base: DataFrame, people:
         best = known.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False))).groupBy("cand", "node").agg(F.min(F.struct("cost", (~F.col("old")).alias("fresh"))).alias("b"))
         best = cut(best.select("cand", "node", "b.cost", "b.fresh"))
         front, known = best.where("fresh").select("cand", "node", "cost"), best.select("cand", "node", "cost")
-    gain = known.join(people.select(F.col("id").alias("node"), "pop"), "node").join(base, "node", "left").withColumn("now", F.coalesce("now", num(far)))
-    crossing = F.when((F.col("now") >= budget) & (F.col("cost") < budget), F.col("pop")).otherwise(num(0))
-    per = gain.groupBy("cand").agg(F.sum(F.col("pop") * (F.col("now") - F.col("cost"))).alias("saved"), F.sum(crossing).alias("gaining"))
-    return per.select("cand.street", "cand.cls", "cand.run", "saved", "gaining")
+    gain = known.join(people.select(F.col("id").alias("node"), millionths(F.col("pop")).alias("people")), "node").join(base, "node", "left").withColumn("now", F.coalesce("now", num(far)))
+    crossing = F.when((F.col("now") >= budget) & (F.col("cost") < budget), F.col("people")).otherwise(0)
+    drop = millionths(F.col("now") - F.col("cost"))
+    whole = lambda c: c.cast("decimal(19,0)")
+    per = gain.groupBy("cand").agg(F.sum(whole(F.col("people")) * whole(drop)).cast("decimal(38,0)").alias("saved_e12"), F.sum(crossing).alias("gaining_e6"))
+    return per.select("cand.street", "cand.cls", "cand.run", (F.col("saved_e12").cast("double") / 1e12).alias("saved"), (F.col("gaining_e6") / 1e6).alias("gaining"), "saved_e12", "gaining_e6")
 
 
 def slice_for_map(rows: DataFrame, measures: list[str], limit: int) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Every node belongs to one tile. In a round each tile settles, for every query that reached it, all it
 can reach inside the tile with a heap, from its arcs and the costs known so far; offers to nodes of other
-tiles are shuffled, the smallest for each query and node, and those that improve start the next round.
+tiles are shuffled and start the next round, in which only the tiles and queries that got offers take part.
 So a query needs as many rounds as tiles it crosses, not as many as streets; no task ever holds more than
-one tile's arcs, and all queries of a batch share each round. Costs do not decrease along an arc.
+one tile's arcs and a bounded share of its queries, and all queries of a batch share each round. Costs do not decrease
+along an arc. A network that fits one tile is settled in one round.
 """
 
 from __future__ import annotations
@@ -18,33 +19,41 @@ from pyspark.sql import functions as F
 
 from kerbline.plans.lineage import cut
 
-_STATE = "tile long, mode string, query long, node long, cost double, prev long, settled boolean"
+_STATE = "tile long, mode string, bucket int, query long, node long, cost double, prev long, role int"
+_COLUMNS = [c.split()[0] for c in _STATE.split(", ")]
+#: Roles of rows: an offered cost, a settled one, and the price (cost, as a factor) of the street node - prev for one query.
+OFFER, SETTLED, PRICE = 0, 1, 2
+#: Queries that a task settles in a tile at most, on average; more are dealt out by hash.
+QUERIES = 8
 
 
 def _settle(arcs: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-    """One tile and mode: old costs and new offers in; all costs, and offers to other tiles, out."""
+    """One tile, mode and bucket of queries: settled costs and offers in; all costs, and offers to other tiles, out."""
+    if state.empty:
+        return pd.DataFrame({c: [] for c in _COLUMNS})
     out_of: dict[int, list] = {}
     for u, v, w, home in zip(arcs["u"].tolist(), arcs["v"].tolist(), arcs["weight"].tolist(), arcs["to_tile"].tolist()):
         out_of.setdefault(u, []).append((v, w, home))
-    if state.empty:
-        return pd.DataFrame({c.split()[0]: [] for c in _STATE.split(", ")})
-    tile, mode = state["tile"].iloc[0], state["mode"].iloc[0]
+    tile, mode, bucket = state["tile"].iloc[0], state["mode"].iloc[0], state["bucket"].iloc[0]
     rows = []
     for query, part in state.groupby("query", sort=True):
-        best, prev, heap, offers = {}, {}, [], {}
+        best, prev, heap, offers, prices = {}, {}, [], {}, {}
         limit = float(part["budget"].iloc[0])
-        for node, cost, before, settled in zip(part["node"].tolist(), part["cost"].tolist(), part["prev"].tolist(), part["settled"].tolist()):
-            if node not in best or (cost, before) < (best[node], prev[node]):
+        part = part.sort_values("role", ascending=False)  # prices, settled costs, then offers
+        for node, cost, before, role in zip(part["node"].tolist(), part["cost"].tolist(), part["prev"].tolist(), part["role"].tolist()):
+            if role == PRICE:
+                prices[node, before] = cost
+            elif node not in best or (cost, before) < (best[node], prev[node]):
+                if role == OFFER and (node not in best or cost < best[node]):
+                    heap.append((cost, node))
                 best[node], prev[node] = cost, before
-            if not settled:
-                heap.append((cost, node))
         heapq.heapify(heap)
         while heap:
             cost, u = heapq.heappop(heap)
             if cost > best[u]:
                 continue
             for v, w, home in out_of.get(u, ()):
-                total = cost + w
+                total = cost + (w * prices.get((u, v), 1.0) if prices else w)
                 if total > limit:
                     continue
                 if home != tile:
@@ -55,15 +64,16 @@ def _settle(arcs: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
                     heapq.heappush(heap, (total, v))
                 elif total == best[v] and u < prev[v]:
                     prev[v] = u
-        rows += [(tile, mode, query, n, c, prev[n], True) for n, c in best.items()]
-        rows += [(home, mode, query, v, c, u, False) for v, (c, u, home) in offers.items()]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in _STATE.split(", ")])
+        rows += [(tile, mode, bucket, query, n, c, prev[n], SETTLED) for n, c in best.items()]
+        rows += [(home, mode, bucket, query, v, c, u, OFFER) for v, (c, u, home) in offers.items()]
+    return pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def costs(arcs: DataFrame, starts: DataFrame, tiles: DataFrame, budget: float | None = None, most_rounds: int | None = None) -> DataFrame:
+def costs(arcs: DataFrame, starts: DataFrame, tiles: DataFrame, budget: float | None = None, most_rounds: int | None = None, prices: DataFrame | None = None) -> DataFrame:
     """mode, query, node, cost, prev of every node reached.
 
-    arcs: mode, u, v, weight. starts: mode, query, node, cost. tiles: node, tile. prev is the node before on a
+    arcs: mode, u, v, weight. starts: mode, query, node, cost. tiles: node, tile. prices: mode, query, u, v, factor of
+    streets that cost one query more or less than the others. prev is the node before on a
     cheapest path, the least of equals, and null at a start. Rounds go on until nothing is left to settle; where
     most_rounds is given and met before, this is an error.
     """
@@ -71,25 +81,33 @@ def costs(arcs: DataFrame, starts: DataFrame, tiles: DataFrame, budget: float |
     least = arcs.groupBy("mode", "u", "v").agg(F.min("weight").alias("weight"))
     placed = least.join(home.withColumnsRenamed({"node": "u", "tile": "tile"}), "u").join(home.withColumnsRenamed({"node": "v", "tile": "to_tile"}), "v")
     placed = cut(placed.select("tile", "mode", "u", "v", "weight", "to_tile"))
+    asked = starts.groupBy("mode").agg(F.count_distinct("query").alias("n")).agg(F.max("n")).first()[0] or 0
+    dealt = F.pmod(F.xxhash64("query"), F.lit(-(-asked // QUERIES) or 1)).cast("int").alias("bucket")
     first = starts.groupBy("mode", "query", "node").agg(F.min("cost").alias("cost"))
-    state = first.join(home, "node").select("tile", F.col("mode").alias("mode"), "query", "node", "cost", F.lit(-1).cast("bigint").alias("prev"), F.lit(False).alias("settled"))
-    state = cut(state)
+    front = cut(first.join(home, "node").select("tile", "mode", dealt, "query", "node", "cost", F.lit(-1).cast("bigint").alias("prev"), F.lit(OFFER).alias("role")))
+    known = front.limit(0)
+    if prices is not None:
+        own = prices.join(home.withColumnRenamed("node", "u"), "u")
+        prices = cut(own.select("tile", "mode", dealt, "query", F.col("u").alias("node"), F.col("factor").alias("cost"), F.col("v").alias("prev"), F.lit(PRICE).alias("role")))
+    key = ["tile", "mode", "bucket"]
     for done in itertools.count():
-        busy = state.where(~F.col("settled")).select("tile", "mode", "query").distinct()
-        if busy.isEmpty():
+        if front.isEmpty():
             break
         if done == most_rounds:
             raise RuntimeError(f"nodes are left to settle after {done} rounds")
-        work = state.join(busy, ["tile", "mode", "query"], "left_semi").withColumn("budget", F.lit(float("inf") if budget is None else float(budget)))
-        streets = placed.join(busy.select("tile", "mode").distinct(), ["tile", "mode"], "left_semi")
-        made = streets.groupBy("tile", "mode").cogroup(work.groupBy("tile", "mode")).applyInPandas(_settle, _STATE)
-        rest = state.join(busy, ["tile", "mode", "query"], "left_anti")
-        both = rest.unionByName(made).groupBy("tile", "mode", "query", "node").agg(F.min(F.struct("cost", (~F.col("settled")).alias("fresh"), "prev")).alias("b"))
-        state = cut(both.select("tile", "mode", "query", "node", "b.cost", "b.prev", (~F.col("b.fresh")).alias("settled")))
-    return state.select("mode", "query", "node", "cost", F.when(F.col("prev") >= 0, F.col("prev")).alias("prev"))
-
-
-def paths(found: DataFrame, targets: DataFrame, most_rounds: int = 64) -> DataFrame:
+        busy = front.select(*key, "query").distinct()
+        again = known if prices is None else known.unionByName(prices)
+        work = front.unionByName(again.join(busy, [*key, "query"], "left_semi")).withColumn("budget", F.lit(float("inf") if budget is None else float(budget)))
+        streets = placed.join(front.select(*(F.col(c).alias(c) for c in key)).distinct(), ["tile", "mode"]).select(*(F.col(c).alias(c) for c in (*key, "u", "v", "weight", "to_tile")))
+        made = cut(streets.groupBy(*key).cogroup(work.groupBy(*key)).applyInPandas(_settle, _STATE))
+        rest = known.join(busy, [*key, "query"], "left_anti")
+        known = made.where(F.col("role") == SETTLED)
+        known = known if done == 0 else cut(rest.unionByName(known))
+        front = made.where(F.col("role") == OFFER)
+    return known.select("mode", "query", "node", "cost", F.when(F.col("prev") >= 0, F.col("prev")).alias("prev"))
+
+
+def paths(found: DataFrame, targets: DataFrame) -> DataFrame:
     """mode, query, seq (0 at the start), node: the nodes of the cheapest path to each target (mode, query, node).
 
     Every node doubles how far back it points each round, so a path of n streets takes log n joins.
@@ -99,7 +117,7 @@ def paths(found: DataFrame, targets: DataFrame, most_rounds: int = 64) -> DataFr
     on_path = cut(targets.select("mode", "query", "node", F.lit(0).cast("bigint").alias("back")).join(tree.select("mode", "query", "node"), ["mode", "query", "node"], "left_semi"))
     jump = tree.where("prev IS NOT NULL").select("mode", "query", "node", F.col("prev").alias("to"))
     length = 1
-    for _ in range(most_rounds):
+    while True:
         further = on_path.join(jump, ["mode", "query", "node"]).select("mode", "query", F.col("to").alias("node"), (F.col("back") + length).alias("back"))
         fresh = cut(further)
         if fresh.isEmpty():

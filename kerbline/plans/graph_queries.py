@@ -19,6 +19,8 @@ from kerbline.plans.registry import query
 
 #: Rows of the grid, 40 nodes wide, that a tile of a search holds at most: 250,000 nodes.
 MOST_SIDE = 6250
+#: A network of at most so many nodes is one tile, which a task settles at once.
+ONE_TILE = 50_000
 
 _CC = """cc_node AS (SELECT a AS id FROM safe UNION SELECT b FROM safe), ways AS (SELECT a, b FROM safe UNION ALL SELECT b, a FROM safe),
 comp(id, island) USING KEY (id) AS (SELECT id, id FROM cc_node UNION SELECT e.b, min(c.island) FROM comp c JOIN ways e ON e.a = c.id JOIN recurring.comp r ON r.id = e.b WHERE c.island < r.island GROUP BY e.b),
@@ -155,7 +157,8 @@ def tiles_of(spark, folder: str, side: int | None = None) -> DataFrame:
     """node, tile: squares of side x side nodes. Unless given, the side grows with the root of the network, so that both
     a tile's nodes and the tiles, which bound a search's rounds, do; up to MOST_SIDE, which bounds a task's memory."""
     if side is None:
-        side = min(max(grid.WIDTH, math.isqrt(grid.table(spark, folder, "part").count())), MOST_SIDE)
+        nodes = grid.table(spark, folder, "part").count()
+        side = MOST_SIDE if nodes <= ONE_TILE else min(max(grid.WIDTH, math.isqrt(nodes)), MOST_SIDE)
     return grid.nodes(spark, folder).select(F.col("id").alias("node"), (F.floor(F.col("cy") / side) * 1000 + F.floor(F.col("cx") / side)).cast("bigint").alias("tile"))
 
 
@@ -181,6 +184,13 @@ def shortest_path_cost(spark, folder):
     return _from_starts(spark, folder).select("query", "node", F.round("cost", 3).alias("cost"))
 
 
+@query("shortest_path_small_tiles", grid.sql(f", {_SP} SELECT q AS query, node, round(d, 3) AS cost FROM sp", recursive=True))
+def shortest_path_small_tiles(spark, folder):
+    """The same costs by many rounds of exchange between tiles of 10 x 10 nodes."""
+    found = search.costs(arcs(spark, folder), _starts(spark, folder), tiles_of(spark, folder, 10))
+    return found.select("query", "node", F.round("cost", 3).alias("cost"))
+
+
 _REACH = f"{_SP}, out_ AS (SELECT q, w.u, w.v, w.k, w.length FROM sp JOIN w ON w.u = sp.node WHERE sp.d + w.weight <= 1500)"
 
 
@@ -200,10 +210,10 @@ def reach_summary(spark, folder):
     return _reach(spark, folder).groupBy("query").agg(F.sum("length").alias("m")).join(F.broadcast(total), F.lit(True)).select("query", F.round(F.col("m") / 1000, 3).alias("km"), F.round(F.col("m") * 100 / F.col("total"), 3).alias("pct"))
 
 
-@query("nearest_reachable", grid.sql(f", {_SP}, target AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS ord, (s_suppkey * 17) % (SELECT count(*) FROM node) AS node FROM supplier WHERE s_suppkey % 5 = 0) SELECT q AS query, min_by(ord, (d, ord)) AS target, round(min(d), 3) AS cost FROM sp JOIN target USING (node) GROUP BY 1".replace("min_by(ord, (d, ord))", "arg_min(ord, {'d': d, 'o': ord})"), recursive=True))
+@query("nearest_reachable", grid.sql(f", {_SP}, target AS (SELECT s_suppkey::BIGINT AS ord, (s_suppkey * 17) % (SELECT count(*) FROM node) AS node FROM supplier) SELECT q AS query, min_by(ord, (d, ord)) AS target, round(min(d), 3) AS cost FROM sp JOIN target USING (node) GROUP BY 1".replace("min_by(ord, (d, ord))", "arg_min(ord, {'d': d, 'o': ord})"), recursive=True))
 def nearest_reachable(spark, folder):
     total = grid.table(spark, folder, "part").count()
-    targets = grid.table(spark, folder, "supplier").where("s_suppkey % 5 = 0").select((F.col("s_suppkey") / 5).cast("bigint").alias("ord"), (F.col("s_suppkey") * 17 % total).alias("node"))
+    targets = grid.table(spark, folder, "supplier").select(F.col("s_suppkey").cast("bigint").alias("ord"), (F.col("s_suppkey") * 17 % total).alias("node"))
     return _from_starts(spark, folder).join(targets, "node").groupBy("query").agg(F.min(F.struct("cost", "ord")).alias("b")).select("query", F.col("b.ord").alias("target"), F.round("b.cost", 3).alias("cost"))
 
 
@@ -250,12 +260,14 @@ def stranded(spark, folder):
     return _people_costs(spark, folder).agg(F.sum("pop").alias("t"), F.sum(F.when(out, F.col("pop")).otherwise(num(0))).alias("s")).select(F.round("t", 1).alias("residents"), F.round("s", 1).alias("stranded"), F.round(F.col("s") * 100 / F.col("t"), 1).alias("pct"))
 
 
-@query("coverage_cells", grid.sql(f", {_BASE}, {_POP}, c AS (SELECT floor((lon + 71.2001::DOUBLE) / 0.005)::BIGINT AS col, floor((lat - 42.2999::DOUBLE) / 0.005)::BIGINT AS row, pop, coalesce(d, 10000) AS d FROM people p JOIN node n ON n.id = p.id LEFT JOIN base b ON b.node = p.id) SELECT col, row, round(sum(pop), 2) AS residents, round(100 * coalesce(sum(pop) FILTER (d < 2500), 0) / sum(pop), 2) AS served_pct, CASE WHEN coalesce(sum(pop) FILTER (d < 2500), 0) / sum(pop) >= 0.8 THEN 'good' WHEN coalesce(sum(pop) FILTER (d < 2500), 0) / sum(pop) >= 0.4 THEN 'some' ELSE 'poor' END AS band FROM c GROUP BY 1, 2 HAVING sum(pop) > 0", recursive=True))
+@query("coverage_cells", grid.sql(f", {_BASE}, {_POP}, c AS (SELECT round((lon + 71.2::DOUBLE) * 1000000)::BIGINT // 5000 AS col, round((lat - 42.3::DOUBLE) * 1000000)::BIGINT // 5000 AS row, round(pop * 1000000)::BIGINT AS pop, coalesce(d, 10000) AS d FROM people p JOIN node n ON n.id = p.id LEFT JOIN base b ON b.node = p.id), cell AS (SELECT col, row, sum(pop)::BIGINT AS p, coalesce(sum(pop) FILTER (d < 2500), 0)::BIGINT AS s FROM c GROUP BY 1, 2) SELECT col, row, ((p + 5000) // 10000) / 100.0::DOUBLE AS residents, ((20000 * s + p) // (2 * p)) / 100.0::DOUBLE AS served_pct, CASE WHEN 10 * s >= 8 * p THEN 'good' WHEN 10 * s >= 4 * p THEN 'some' ELSE 'poor' END AS band FROM cell WHERE p > 0", recursive=True))
 def coverage_cells(spark, folder):
-    at = grid.nodes(spark, folder).select("id", F.floor((F.col("lon") + 71.2001) / 0.005).alias("col"), F.floor((F.col("lat") - 42.2999) / 0.005).alias("row"))
-    per = _people_costs(spark, folder).join(at, "id").groupBy("col", "row").agg(F.sum("pop").alias("p"), F.sum(F.when(F.col("cost") < dims.ACCESS_BUDGET_M, F.col("pop")).otherwise(num(0))).alias("s")).where("p > 0")
-    share = F.col("s") / F.col("p")
-    return per.select("col", "row", F.round("p", 2).alias("residents"), F.round(F.col("s") * 100 / F.col("p"), 2).alias("served_pct"), F.when(share >= 0.8, "good").when(share >= 0.4, "some").otherwise("poor").alias("band"))
+    """Residents and their share with a safe way by cell: whole millionths, so sums and roundings are exact."""
+    at = grid.nodes(spark, folder).select("id", F.expr("cast(round((lon + 71.2D) * 1000000) as bigint) div 5000").alias("col"), F.expr("cast(round((lat - 42.3D) * 1000000) as bigint) div 5000").alias("row"))
+    people = projects.millionths(F.col("pop"))
+    per = _people_costs(spark, folder).join(at, "id").groupBy("col", "row").agg(F.sum(people).alias("p"), F.sum(F.when(F.col("cost") < dims.ACCESS_BUDGET_M, people).otherwise(0)).alias("s")).where("p > 0")
+    band = F.when(F.col("s") * 10 >= F.col("p") * 8, "good").when(F.col("s") * 10 >= F.col("p") * 4, "some").otherwise("poor")
+    return per.select("col", "row", (F.expr("(p + 5000) div 10000") / 100).alias("residents"), (F.expr("(20000 * s + p) div (2 * p)") / 100).alias("served_pct"), band.alias("band"))
 
 
 _GAIN = f"""{_SCORE}, {_BASE[len(_WEIGHED) + 2:]}, {_POP}, own0 AS (SELECT b.street, b.cls, r.run, b.u, b.v, b.length FROM bad b JOIN run r ON r.street = b.street AND r.cls = b.cls AND r.id = b.u JOIN kept k ON k.street = b.street AND k.cls = b.cls AND k.run = r.run),
@@ -263,8 +275,8 @@ own AS (SELECT street, cls, run, u, v, min(length) AS weight FROM (SELECT * FROM
 imp(street, cls, run, node, d) USING KEY (street, cls, run, node) AS (SELECT o.street, o.cls, o.run, o.u, min(o.weight + b.d) FROM own o JOIN base b ON b.node = o.v LEFT JOIN base n ON n.node = o.u WHERE b.d < 10000 AND o.weight + b.d < least(coalesce(n.d, 10000), 10000) GROUP BY 1, 2, 3, 4
   UNION SELECT x.street, x.cls, x.run, x.node, min(x.d) FROM (SELECT i.street, i.cls, i.run, a.u AS node, i.d + least(a.weight, coalesce(o.weight, a.weight)) AS d FROM imp i JOIN arc a ON a.v = i.node LEFT JOIN own o ON o.street = i.street AND o.cls = i.cls AND o.run = i.run AND o.u = a.u AND o.v = a.v) x
     LEFT JOIN base b ON b.node = x.node LEFT JOIN recurring.imp r ON r.street = x.street AND r.cls = x.cls AND r.run = x.run AND r.node = x.node WHERE x.d < least(coalesce(b.d, 10000), 10000) AND (r.d IS NULL OR x.d < r.d) GROUP BY 1, 2, 3, 4),
-gain AS (SELECT i.street, i.cls, i.run, sum(pop * (least(coalesce(b.d, 10000), 10000) - i.d)) AS saved, coalesce(sum(pop) FILTER (least(coalesce(b.d, 10000), 10000) >= 2500 AND i.d < 2500), 0) AS gaining FROM imp i JOIN people p ON p.id = i.node LEFT JOIN base b ON b.node = i.node GROUP BY 1, 2, 3),
-full0 AS (SELECT n.*, coalesce(saved, 0) AS saved, coalesce(gaining, 0) AS gaining FROM numb n LEFT JOIN gain g ON g.street = n.street AND g.cls = n.cls AND g.run = n.run), tops2 AS (SELECT max(saved) AS a, max(gaining) AS v FROM full0)"""
+gain AS (SELECT i.street, i.cls, i.run, sum(round(pop * 1000000)::HUGEINT * round((least(coalesce(b.d, 10000), 10000) - i.d) * 1000000)::HUGEINT)::HUGEINT AS saved_e12, coalesce(sum(round(pop * 1000000)::BIGINT) FILTER (least(coalesce(b.d, 10000), 10000) >= 2500 AND i.d < 2500), 0)::BIGINT AS gaining_e6 FROM imp i JOIN people p ON p.id = i.node LEFT JOIN base b ON b.node = i.node GROUP BY 1, 2, 3),
+full0 AS (SELECT n.*, coalesce(saved_e12, 0)::HUGEINT AS saved_e12, coalesce(gaining_e6, 0)::BIGINT AS gaining_e6, coalesce(saved_e12, 0)::DOUBLE / 1e12 AS saved, coalesce(gaining_e6, 0)::DOUBLE / 1e6 AS gaining FROM numb n LEFT JOIN gain g ON g.street = n.street AND g.cls = n.cls AND g.run = n.run), tops2 AS (SELECT max(saved) AS a, max(gaining) AS v FROM full0)"""
 
 
 def _gained(spark, folder: str) -> DataFrame:
@@ -276,13 +288,12 @@ def _gained(spark, folder: str) -> DataFrame:
     pop = cut(spatial.share_population(grid.nodes(spark, folder), grid.blocks(spark, folder)))
     gain = projects.accessibility(streets, least, access_costs(spark, folder), pop)
     out = projects.measured(kept).join(gain, ["street", "cls", "run"], "left")
-    return out.withColumns({"saved": F.coalesce("saved", num(0)), "gaining": F.coalesce("gaining", num(0))})
+    return out.withColumns({"saved": F.coalesce("saved", num(0)), "gaining": F.coalesce("gaining", num(0)), "saved_e12": F.coalesce("saved_e12", F.lit(0).cast("decimal(38,0)")), "gaining_e6": F.coalesce("gaining_e6", F.lit(0))})
 
 
-@query("project_access", grid.sql(f", {_GAIN} SELECT street, cls, run, round(saved + 0.0013::DOUBLE, 1) AS saved, round(gaining + 0.0013::DOUBLE, 2) AS gaining FROM full0", recursive=True))
+@query("project_access", grid.sql(f", {_GAIN} SELECT street, cls, run, ((saved_e12 + 50000000000) // 100000000000)::BIGINT / 10.0::DOUBLE AS saved, ((gaining_e6 + 5000) // 10000) / 100.0::DOUBLE AS gaining FROM full0", recursive=True))
 def project_access(spark, folder):
-    off = num(0.0013)  # shares of people end in halves and quarters: keeps sums off rounding ties
-    return _gained(spark, folder).select("street", "cls", "run", F.round(F.col("saved") + off, 1).alias("saved"), F.round(F.col("gaining") + off, 2).alias("gaining"))
+    return _gained(spark, folder).select("street", "cls", "run", (F.expr("(saved_e12 + 50000000000) div 100000000000") / 10).alias("saved"), (F.expr("(gaining_e6 + 5000) div 10000") / 100).alias("gaining"))
 
 
 @query("project_ranking", grid.sql(f", {_GAIN} SELECT cid, round({_NORM.format('sv', 'j')} * 0.4::DOUBLE + {_NORM.format('saved', 'a')} * 0.3::DOUBLE + {_NORM.format('cr', 'c')} * 0.15::DOUBLE + {_NORM.format('gaining', 'v')} * 0.15::DOUBLE, 3) AS score FROM full0, tops, tops2", recursive=True))

@@ -172,13 +172,13 @@ def route_labels(spark, folder):
 
 
 def _trips(spark, folder: str) -> DataFrame:
-    """trip, source, target: a few pairs of nodes for each town."""
+    """trip, source, target: a pair of nodes for each nation."""
     n = grid.table(spark, folder, "part").count()
     key = F.col("n_nationkey").cast("bigint")
-    return grid.table(spark, folder, "nation").where("n_regionkey = 0").select(key.alias("trip"), (key * 83 % n).alias("source"), ((key * 131 + 57) % n).alias("target")).where("source <> target")
+    return grid.table(spark, folder, "nation").select(key.alias("trip"), (key * 83 % n).alias("source"), ((key * 131 + 57) % n).alias("target")).where("source <> target")
 
 
-_OD = "od AS (SELECT n_nationkey::BIGINT AS trip, (n_nationkey * 83) % (SELECT count(*) FROM node) AS source, (n_nationkey * 131 + 57) % (SELECT count(*) FROM node) AS target FROM nation WHERE n_regionkey = 0)"
+_OD = "od AS (SELECT n_nationkey::BIGINT AS trip, (n_nationkey * 83) % (SELECT count(*) FROM node) AS source, (n_nationkey * 131 + 57) % (SELECT count(*) FROM node) AS target FROM nation)"
 _ODARC = f"""{_WEIGHED}, {_OD}, arc AS (SELECT 'safest' AS option, u, v, min(weight) AS weight FROM w GROUP BY 2, 3 UNION ALL SELECT 'balanced', u, v, min(length * CASE WHEN road_busy AND cls = 'lane' THEN 5.0 WHEN road_busy AND cls = 'buffered' THEN 3.0 ELSE (SELECT older FROM mult WHERE mult.cls = w.cls) END * crash_factor + xpen * 0.6::DOUBLE) FROM w GROUP BY 2, 3 UNION ALL SELECT 'direct', u, v, min(length) FROM w GROUP BY 2, 3),
 find(option, trip, node, d) USING KEY (option, trip, node) AS (SELECT option, trip, source, 0.0::DOUBLE FROM od, (VALUES ('safest'), ('balanced'), ('direct')) o(option) WHERE source <> target UNION SELECT s.option, s.trip, a.v, min(s.d + a.weight) FROM find s JOIN arc a ON a.option = s.option AND a.u = s.node LEFT JOIN recurring.find r ON r.option = s.option AND r.trip = s.trip AND r.node = a.v WHERE r.d IS NULL OR s.d + a.weight < r.d GROUP BY 1, 2, 3)"""
 
