@@ -1,14 +1,14 @@
 """Toxicity by maximum-scoring segments.
 
-Token scores are log-odds between toxic and clean labelled documents with an informative Dirichlet
-prior (the pooled frequencies); only clearly toxic features score, every other word costs a little. A
-word is seen as itself and by its first 3 to 6 bytes, so inflected forms share their stem's score. A
-linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a text, the toxic passages. The best
-segment's score becomes an extreme-value statistic E = K n exp(-lambda S) over the text's n words, with
-lambda and K from the clean documents, and a logistic curve over ln E gives the score.
+Token scores are log-odds between toxic and clean labelled documents with an informative Dirichlet prior (the pooled
+frequencies); those under SURE standard errors from 0 count as 0. A word is seen as itself and by its first 3 to 6 bytes,
+so inflected forms share their stem's score; it scores its most telling feature's log-odds, positive or negative, less
+COST, the log-odds of a passage's going on. A linear scan (Ruzzo and Tompa)
+finds all maximal-scoring segments of a text, the toxic passages. The best segment's score becomes an
+extreme-value statistic E = K n exp(-lambda S) over the text's n words, with lambda from the scores of clean tokens and K
+from the best segments of clean documents, and a logistic curve over ln E gives the score.
 
-The model is fitted on at most PER_LABEL labelled rows of each label (a documented bound). Every
-whole text is scanned.
+The model is fitted on at most PER_LABEL labelled rows of each label (a documented bound). Every whole text is scanned.
 
 Defined cases: a null or empty text has no words and gets the score of no passage; a repeated row
 gets the same answer; without labelled rows of both labels every score is 0; null labels and null ids
@@ -18,6 +18,7 @@ are not learned from; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from .cluster import small_batches
 from .sampling import bounded_sample, held_out
 from .wordhash import ALNUM, _LOWER, mix, text_buffers, words_of
 
-PER_LABEL, PRIOR, LEAST_Z, LEAST_ODDS, COST = 6000, 0.1, 3.5, 1.2, 0.1
+PER_LABEL, PRIOR, SURE, COST, BIN = 6000, 0.1, 3.0, 1.0, 0.02
 STEMS = (3, 4, 5, 6)
 
 
@@ -53,40 +54,42 @@ class Scorer:
         self.table = np.zeros(1 << 18, bool)
         self.table[(self.keys >> np.uint64(46)).astype(np.int64)] = True
 
-    def scores(self, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words that score, and their scores: the highest of their features."""
-        best: dict[int, float] = {}
+    def scores(self, features: list[np.ndarray]) -> np.ndarray:
+        """Every word's log-odds: of its features the one farthest from 0."""
+        out = np.zeros(len(features[0]))
         for f in features:
             at = np.flatnonzero(self.table[(f >> np.uint64(46)).astype(np.int64)])
             if not len(at) or not len(self.keys):
                 continue
             where = np.minimum(np.searchsorted(self.keys, f[at]), len(self.keys) - 1)
-            good = self.keys[where] == f[at]
-            for i, s in zip(at[good].tolist(), self.odds[where[good]].tolist()):
-                best[i] = max(s, best.get(i, s))
-        at = np.array(sorted(best), np.int64)
-        return at, np.array([best[i] for i in at.tolist()])
-
-
-def segments(at: list[int], scores: list[float], cost: float = COST) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first word, word after the last, score), where the words `at` have the
-    given positive scores and every other word costs `cost`. One pass; each word joins a segment once."""
-    found: list[list[float]] = []  # first, after, sum before the segment, sum at its end
-    total, here = 0.0, 0
-    for i, s in zip(at, scores):
-        total -= cost * (i - here)
-        new = [i, i + 1, total, total + s]
-        total, here = total + s, i + 1
+            odds = np.where(self.keys[where] == f[at], self.odds[where], 0.0)
+            out[at] = np.where(np.abs(odds) > np.abs(out[at]), odds, out[at])
+        return out
+
+
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments (first word, word after the last, score) of words with these scores.
+
+    Only runs of positive words are visited. Each candidate links to the nearest earlier one whose left sum is
+    smaller; a search that passes others follows these links, so the scan is linear."""
+    good = scores > 0
+    if not good.any():
+        return []
+    sums = np.concatenate(([0.0], np.cumsum(scores)))
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], good, [False])).astype(np.int8)))
+    firsts, afters = edges[::2], edges[1::2]
+    found: list[tuple[int, int, float, float, int]] = []  # first, after, sum before the segment, sum at its end, link
+    for first, after, left, right in zip(firsts.tolist(), afters.tolist(), sums[firsts].tolist(), sums[afters].tolist()):
         while True:
             j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+            while j >= 0 and found[j][2] >= left:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= right:
+                found.append((first, after, left, right, j))
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
+            first, left = found[j][0], found[j][2]
             del found[j:]
-    return [(int(a), int(b), e - s) for a, b, s, e in found]
+    return [(a, b, right - left) for a, b, left, right, _ in found]
 
 
 def _documents(column: pa.Array):
@@ -129,38 +132,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict:
     pooled = (F.col("y1") + F.col("y0")) * PRIOR
     a1, a0 = pooled * (n1 / (n1 + n0)), pooled * (n0 / (n1 + n0))
     odds = F.log((F.col("y1") + a1) / (n1 * (1 + PRIOR))) - F.log((F.col("y0") + a0) / (n0 * (1 + PRIOR)))
-    z = odds / F.sqrt(1 / (F.col("y1") + a1) + 1 / (F.col("y0") + a0))
-    clear = tally.select("feature", odds.alias("odds"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).select("feature", "odds").toPandas()
+    error = F.sqrt(1 / (F.col("y1") + a1) + 1 / (F.col("y0") + a0))
+    clear = tally.select("feature", odds.alias("odds"), (F.abs(odds) / error).alias("z")).where(F.col("z") >= SURE).select("feature", "odds").toPandas()
     scorer = Scorer(clear["feature"].to_numpy(np.int64).view(np.uint64), clear["odds"].to_numpy(float))
     model = {"fitted": True, "scorer": scorer}
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def measure(batches):
         for batch in batches:
-            n, best, hits, sums = [], [], [], []
+            n, best = [], []
             for words, features in _documents(batch.column(1)):
-                at, s = shared.value.scores(features)
-                found = segments(at.tolist(), s.tolist())
                 n.append(words)
-                best.append(max((x[2] for x in found), default=0.0))
-                hits.append(len(at))
-                sums.append(float(s.mean()) if len(s) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int32()), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64())], ["toxic", "n", "best", "hits", "mean"])
-
-    rows = once.select("doc_id", "text", "toxic").mapInArrow(measure, "toxic int, n long, best double, hits long, mean double").toPandas()  # 2 * per_label rows at most
-    clean = rows[rows["toxic"] == 0]
-    words = max(1, int(clean["n"].sum()))
-    p = (clean["hits"].sum() + 0.5) / (words + 1)
-    height = float(np.average(clean["mean"], weights=clean["hits"])) if clean["hits"].sum() else float(scorer.odds.mean()) if len(scorer.odds) else 1.0
-    lo, hi = 0.0, 50.0
-    while p * height >= (1 - p) * COST:  # then no positive root: hold the drift negative
-        p /= 2
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if p * np.exp(mid * height) + (1 - p) * np.exp(-mid * COST) < 1 else (lo, mid)
-    model["lambda"] = lo
-    above = (clean["best"] >= height).mean() + 0.5 / (len(clean) + 1)
-    model["k"] = float(above / max(1.0, clean["n"].mean()) * np.exp(lo * height))
+                best.append(_best(shared.value, features))
+            yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int32()), pa.array(n, pa.int64()), pa.array(best, pa.float64())], ["toxic", "n", "best"])
+
+    rows = once.select("doc_id", "text", "toxic").mapInArrow(measure, "toxic int, n long, best double").toPandas()  # 2 * per_label rows at most
+
+    def spread(batches):
+        for batch in batches:
+            each = [shared.value.scores(features) - COST for _, features in _documents(batch.column(1))]
+            bins, n = np.unique(np.rint(np.concatenate([np.zeros(0), *each]) / BIN).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n)], ["bin", "n"])
+
+    tokens = once.where("toxic = 0").select("doc_id", "text").mapInArrow(spread, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # a row for each score, in steps of BIN
+    model |= _extremes(tokens["bin"].to_numpy(float) * BIN, tokens["n"].to_numpy(float), rows[rows["toxic"] == 0])
+    shared.destroy()
     x = _statistic(model, rows["n"].to_numpy(float), rows["best"].to_numpy(float))
     y = rows["toxic"].to_numpy(float)
     weight = np.where(y == 1, counts.get(1, 0) / max(1, y.sum()), counts.get(0, 0) / max(1, (1 - y).sum()))
@@ -168,6 +164,25 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict:
     return model
 
 
+def _best(scorer: Scorer, features: list[np.ndarray]) -> float:
+    return max((x[2] for x in segments(scorer.scores(features) - COST)), default=0.0)
+
+
+def _extremes(scores: np.ndarray, counts: np.ndarray, clean: pd.DataFrame) -> dict:
+    """lambda and K of the law P(best segment > s) = 1 - exp(-K n exp(-lambda s)) of clean texts: lambda is the positive
+    root of the mean of exp(lambda score) = 1 over clean tokens, K has the law's median at that of the clean documents."""
+    p = counts / max(1.0, counts.sum())
+    over = lambda x: float(p @ np.exp(np.minimum(x * scores, 600))) - 1
+    lo, hi = 0.0, 20.0
+    if over(hi) > 0:
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if over(mid) < 0 else (lo, mid)
+    lam = max(hi, 0.05)
+    n, best = np.maximum(1, clean["n"].to_numpy(float)), clean["best"].to_numpy(float)
+    return {"lambda": lam, "k": float(np.exp(np.median(lam * best - np.log(n)) + np.log(np.log(2))))}
+
+
 def _statistic(model: dict, n: np.ndarray, best: np.ndarray) -> np.ndarray:
     return np.clip(np.log(model["k"]) + np.log(np.maximum(n, 1)) - model["lambda"] * best, -40, 40)
 
@@ -196,8 +211,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             n, best, passages = [], [], []
             for words, features in _documents(batch.column(1)):
-                at, s = m["scorer"].scores(features) if m["fitted"] else ([], [])
-                found = segments(list(at), list(s)) if len(at) else []
+                found = segments(m["scorer"].scores(features) - COST) if m["fitted"] else []
                 n.append(words)
                 best.append(max((x[2] for x in found), default=0.0))
                 passages.append([{"first": a, "stop": b, "segment": v} for a, b, v in found])
