@@ -155,3 +155,37 @@ def state_plane_sql(lon: str, lat: str) -> tuple[str, str]:
     r = f"({LCC_AF!r} * pow({t}, {LCC_N!r}))"
     theta = f"(radians({lon} - ({_LON0!r})) * {LCC_N!r})"
     return f"({r} * sin({theta}) + {_FE!r})", f"({LCC_R0!r} - {r} * cos({theta}) + {_FN!r})"
+
+
+def chord_bearing(line: Column, x: Column, y: Column, chord: float = 6.0) -> Column:
+    """Bearing (0 to 180, from the x axis) of a polyline, an array of (x, y), about its point nearest to (x, y): that of
+    the chord from `chord` before it to `chord` after it along the line; null for a line without length."""
+    legs = F.transform(F.slice(line, 1, F.size(line) - 1), lambda a, i: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), F.get(line, i + 1)["x"].alias("bx"), F.get(line, i + 1)["y"].alias("by")))
+    long = F.filter(F.transform(legs, lambda s: s.withField("m", F.hypot(s["bx"] - s["ax"], s["by"] - s["ay"]))), lambda s: s["m"] > 0)
+
+    def let(value, body):
+        return F.transform(F.array(value), body)[0]
+
+    def placed(s):
+        starts = F.transform(s, lambda leg, i: F.aggregate(F.slice(s, 1, i), F.lit(0.0), lambda t, o: t + o["m"]))
+        return F.zip_with(s, starts, lambda leg, at: leg.withField("at", at))
+
+    def along(s):
+        def foot(leg):
+            t = ((x - leg["ax"]) * (leg["bx"] - leg["ax"]) + (y - leg["ay"]) * (leg["by"] - leg["ay"])) / (leg["m"] * leg["m"])
+            t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+            dx, dy = leg["ax"] + t * (leg["bx"] - leg["ax"]) - x, leg["ay"] + t * (leg["by"] - leg["ay"]) - y
+            return F.struct((dx * dx + dy * dy).alias("d2"), (leg["at"] + t * leg["m"]).alias("along"))
+
+        return F.array_min(F.transform(s, foot))["along"]
+
+    def point(s, at):
+        leg = F.element_at(F.filter(s, lambda leg, i: (leg["at"] <= at) | (i == 0)), -1)
+        return let(leg, lambda leg: let(F.least(F.lit(1.0), (at - leg["at"]) / leg["m"]), lambda t: F.struct((leg["ax"] + t * (leg["bx"] - leg["ax"])).alias("x"), (leg["ay"] + t * (leg["by"] - leg["ay"])).alias("y"))))
+
+    def bearing(s):
+        whole = F.element_at(s, -1)["at"] + F.element_at(s, -1)["m"]
+        ends = let(along(s), lambda d: F.struct(point(s, F.greatest(F.lit(0.0), d - chord)).alias("a"), point(s, F.least(whole, d + chord)).alias("b")))
+        return let(ends, lambda e: F.pmod(F.degrees(F.atan2(e["b"]["y"] - e["a"]["y"], e["b"]["x"] - e["a"]["x"])), F.lit(180.0)))
+
+    return F.when(F.size(long) > 0, let(placed(long), bearing))

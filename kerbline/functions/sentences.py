@@ -32,17 +32,30 @@ def words_for(key: Column, words: dict[str, str], otherwise: Column | None = Non
     return out
 
 
-def project_sentence(name: Column, cls: Column, kind: Column, length_m: Column, join_m: Column, crashes: Column, towns: Column | None = None, pressure: Column | None = None) -> Column:
-    """Where and what a project is, what it joins, and its crash history; crashes are null where not measured."""
+def project_sentence(name: Column, cls: Column, kind: Column, length_m: Column, join_m: Column, crashes: Column, towns: Column | None = None, pressure: Column | None = None, joins_region: Column | None = None, larger_m: Column | None = None, opened: Column | None = None, gaining: Column | None = None, headcount: bool = True) -> Column:
+    """Where and what a project is, what it joins, what that opens, and its crash history; crashes are null where not
+    measured. larger_m is the larger island's length, opened the destinations on the smaller one, gaining the
+    residents (or, without headcount, homes) that gain a safe way; opened and gaining are null where access is not measured."""
+    # The wording.
     today = words_for(cls, TODAY, F.regexp_replace(cls, "_", " "))
     place = F.lit("") if towns is None else F.when(F.coalesce(towns, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(" ("), towns, F.lit(")")))
     metres = F.format_string("%.0f m", F.bround(length_m))
     what = F.when(kind == "spot_fix", F.concat(F.lit("a spot fix on "), name, place, F.lit(" — "), metres, F.lit(" of it, today "), today)).otherwise(F.concat(metres, F.lit(" of "), name, place, F.lit(" — today "), today))
-    joins = F.when(join_m > 0, F.concat(F.lit("unlocks "), one_decimal(join_m / 1000, ties_up=False), F.lit(" km of kid-safe streets")))
+    km = lambda m: F.concat(one_decimal(m / 1000, ties_up=False), F.lit(" km"))
+    joins = F.concat(F.lit("unlocks "), km(join_m), F.lit(" of kid-safe streets"))
+    if larger_m is not None:
+        joins = F.when(larger_m.isNotNull(), F.concat(F.lit("connects "), km(join_m), F.lit(" of kid-safe streets to a "), km(larger_m), F.lit(" network"))).otherwise(joins)
+    if joins_region is not None:
+        joins = F.when(joins_region, F.concat(F.lit("connects "), km(join_m), F.lit(" of kid-safe streets to the region-wide network"))).otherwise(joins)
+    reach = []
+    if opened is not None:
+        reach.append(F.when(opened > 0, F.concat(F.lit("opens a network with "), opened.cast("string"), F.when(opened == 1, F.lit(" school, playground or library")).otherwise(F.lit(" schools, playgrounds and libraries")), F.lit(" on it"))))
+    if gaining is not None:
+        reach.append(F.when(gaining > 0, F.concat(F.lit("about "), F.format_number(F.bround(gaining), 0), F.lit(" residents gain a safe route")) if headcount else F.lit("more homes gain a safe route")))
     history = F.when(crashes > 0, F.concat(crashes.cast("string"), F.lit(" bike crash"), F.when(crashes == 1, F.lit("")).otherwise(F.lit("es")), F.lit(" since 2021")))
     if pressure is not None:
         history = F.when(crashes.isNull() & (pressure > 0), F.lit("recorded bike crashes nearby")).otherwise(history)
-    return F.concat_ws("; ", what, joins, history)
+    return F.concat_ws("; ", what, F.when(join_m > 0, joins), *reach, history)
 
 
 def class_grade(cls: Column) -> Column:
@@ -58,6 +71,7 @@ def street_card(name: Column, cls: Column, crashes: Column) -> Column:
 
 
 def town_sentence(safe_km: Column, pocket_km: Column, pockets: Column, connected_km: Column, budget_km: float) -> Column:
+    # The wording.
     start = F.lit(f"Measured as a {budget_km:g} km ride that avoids traffic a child shouldn't be in. ")
     km = lambda c: F.concat(one_decimal(c), F.lit(" km"))
     split = F.concat(F.lit("The streets they can use don't join up: "), km(pocket_km), F.lit(" of them sit in "), pockets.cast("string"), F.lit(" pockets with no safe way out."))
@@ -66,11 +80,13 @@ def town_sentence(safe_km: Column, pocket_km: Column, pockets: Column, connected
 
 
 def ride_sentence(day: Column, meters: Column, moving_s: Column, protected: Column, quiet: Column) -> Column:
+    # The wording.
     speed = F.when(moving_s > 0, one_decimal(meters / moving_s * 3.6)).otherwise(F.lit("0"))
     return F.concat(F.lit("🚲 Family bike ride, "), day, F.lit(": "), one_decimal(meters / 1000), F.lit(" km in "), half_up(moving_s / 60).cast("string"), F.lit(" min ("), speed, F.lit(" km/h), "), protected.cast("string"), F.lit("% on protected paths + "), quiet.cast("string"), F.lit("% quiet streets."))
 
 
 def report_sentence(label: Column, note: Column, lat: Column, lon: Column) -> Column:
+    # The wording.
     said = F.when(F.trim(F.coalesce(note, F.lit(""))) == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.trim(note), F.lit(".")))
     return F.concat(F.lit("Bike hazard report: "), label, F.lit("."), said, F.lit(" Location: "), F.format_string("%.6f,%.6f", lat, lon), F.lit("."))
 

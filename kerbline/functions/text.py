@@ -114,3 +114,10 @@ def sunset_minutes(day_of_year: Column, lat: Column, lon: Column) -> Column:
 
 def safety_grade(stress: Column) -> Column:
     return F.when(stress <= 1.6, "A").when(stress <= 2.4, "B").when(stress <= 4, "C").when(stress <= 8, "D").otherwise("F")
+
+
+def place_label(name: Column, house: Column, road: Column, neighbourhood: Column, suburb: Column, city: Column, display: Column) -> Column:
+    """What a place is called: its name, else house and road, else the smallest area, else the first part of the
+    long form; null if there is nothing."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(some(name), some(F.concat_ws(" ", house, road)), some(neighbourhood), some(suburb), some(city), some(F.split(display, ",")[0]))
