@@ -16,8 +16,8 @@ from kerbline.streaming import rides
 
 _D = "sqrt(pow(({0}.lon - {1}.lon) * cos(radians(({0}.lat + {1}.lat) / 2)) * 111320, 2) + pow(({0}.lat - {1}.lat) * 110540, 2))"
 #: The same rules one fix after another: plausibility, the recorder's two ways of measuring, smoothed speed.
-_STATE = f"""st(ride_id, seq, lon, lat, strange, ok, t_s, started, base, top, banked, gained, alon, alat, at_s, speed, mlon, mlat, fix_t) AS (
-  SELECT ride_id, seq, lon, lat, 0, true, t_s, true, CAST(NULL AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, lon, lat, t_s, coalesce(speed, 0.0::DOUBLE), lon, lat, t_s FROM fix WHERE seq = 1
+_STATE = f"""st(ride_id, seq, lon, lat, strange, ok, t_s, started, base, top, banked, gained, alon, alat, at_s, speed, mlon, mlat, fix_t, head) AS (
+  SELECT ride_id, seq, lon, lat, 0, true, t_s, true, CAST(NULL AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, lon, lat, t_s, coalesce(speed, 0.0::DOUBLE), lon, lat, t_s, CASE WHEN coalesce(speed, 0) > 0.7 THEN heading END FROM fix WHERE seq = 1
   UNION ALL SELECT ride_id, seq, CASE WHEN ok THEN nlon ELSE lon END, CASE WHEN ok THEN nlat ELSE lat END, strange, ok, t_s, true,
     CASE WHEN ok AND on_route AND (base IS NULL OR along < base - 50) THEN along ELSE base END,
     CASE WHEN ok AND on_route AND (base IS NULL OR along < base - 50 OR along > top) THEN along ELSE top END,
@@ -25,16 +25,17 @@ _STATE = f"""st(ride_id, seq, lon, lat, strange, ok, t_s, started, base, top, ba
     CASE WHEN NOT ok THEN 0 WHEN on_route AND base IS NOT NULL AND along >= base - 50 AND along > top THEN along - top WHEN NOT on_route AND t_s - at_s >= 10 AND span >= 12 THEN span ELSE 0 END,
     CASE WHEN ok AND NOT on_route AND t_s - at_s >= 10 THEN nlon ELSE alon END, CASE WHEN ok AND NOT on_route AND t_s - at_s >= 10 THEN nlat ELSE alat END, CASE WHEN ok AND NOT on_route AND t_s - at_s >= 10 THEN t_s ELSE at_s END,
     CASE WHEN NOT ok THEN speed WHEN nspeed IS NOT NULL THEN CASE WHEN speed = 0 THEN nspeed ELSE speed * 0.6::DOUBLE + nspeed * 0.4::DOUBLE END WHEN t_s - fix_t > 0.2 AND v < 25 THEN CASE WHEN speed = 0 THEN v ELSE speed * 0.7::DOUBLE + v * 0.3::DOUBLE END ELSE speed END,
-    CASE WHEN ok AND moved > 3 THEN nlon ELSE mlon END, CASE WHEN ok AND moved > 3 THEN nlat ELSE mlat END, CASE WHEN ok THEN t_s ELSE fix_t END
+    CASE WHEN ok AND moved > 3 THEN nlon ELSE mlon END, CASE WHEN ok AND moved > 3 THEN nlat ELSE mlat END, CASE WHEN ok THEN t_s ELSE fix_t END,
+    CASE WHEN NOT ok THEN head WHEN nheading IS NOT NULL AND coalesce(nspeed, 0) > 0.7 THEN nheading WHEN moved > 5 THEN (degrees(atan2((nlon - mlon) * cos(radians((nlat + mlat) / 2)) * 111320, (nlat - mlat) * 110540)) % 360 + 360) % 360 ELSE head END
   FROM (SELECT p.*, CASE WHEN jump > 500 THEN p.strange0 + 1 ELSE 0 END AS strange, NOT (jump > 500 AND p.strange0 + 1 < 3) AS ok, moved / nullif(t_s - fix_t, 0) AS v
-    FROM (SELECT s.ride_id, n.seq, s.lon, s.lat, n.lon AS nlon, n.lat AS nlat, s.strange AS strange0, n.t_s, s.base, s.top, s.banked, s.alon, s.alat, s.at_s, s.speed, n.speed AS nspeed, s.mlon, s.mlat, s.fix_t, n.along_m AS along, n.off_m <= 40 AS on_route,
+    FROM (SELECT s.ride_id, n.seq, s.lon, s.lat, n.lon AS nlon, n.lat AS nlat, s.strange AS strange0, n.t_s, s.base, s.top, s.banked, s.alon, s.alat, s.at_s, s.speed, s.head, n.speed AS nspeed, n.heading AS nheading, s.mlon, s.mlat, s.fix_t, n.along_m AS along, n.off_m <= 40 AS on_route,
       {_D.format('n', 's')} AS jump, sqrt(pow((n.lon - s.alon) * cos(radians((n.lat + s.alat) / 2)) * 111320, 2) + pow((n.lat - s.alat) * 110540, 2)) AS span, sqrt(pow((n.lon - s.mlon) * cos(radians((n.lat + s.mlat) / 2)) * 111320, 2) + pow((n.lat - s.mlat) * 110540, 2)) AS moved
       FROM st s JOIN fix n ON n.ride_id = s.ride_id AND n.seq = s.seq + 1) p))"""
 
 
-@query("ride_fix_states", grid.sql(f", {_STATE} SELECT ride_id, seq, round(speed, 6) AS speed, round(banked + CASE WHEN base IS NULL THEN 0 ELSE top - base END, 3) AS total_m, ok AS plausible FROM st", recursive=True))
+@query("ride_fix_states", grid.sql(f", {_STATE} SELECT ride_id, seq, round(speed, 6) AS speed, round(banked + CASE WHEN base IS NULL THEN 0 ELSE top - base END, 3) AS total_m, round(head, 6) AS heading, ok AS plausible FROM st", recursive=True))
 def ride_fix_states(spark, folder):
-    return rides.fix_states(grid.fixes(spark, folder)).select("ride_id", "seq", F.round("speed", 6).alias("speed"), F.round("total_m", 3).alias("total_m"), "plausible")
+    return rides.fix_states(grid.fixes(spark, folder)).select("ride_id", "seq", F.round("speed", 6).alias("speed"), F.round("total_m", 3).alias("total_m"), F.round("heading", 6).alias("heading"), "plausible")
 
 
 @query("ride_high_water", grid.sql(f", {_STATE}, e AS (SELECT ride_id, arg_max(banked + CASE WHEN base IS NULL THEN 0 ELSE top - base END, seq) AS m FROM st GROUP BY 1) SELECT ride_id, floor(m + 0.5)::BIGINT AS meters FROM e WHERE m >= 200", recursive=True))
@@ -93,20 +94,47 @@ def fix_street(spark, folder):
     return best.select("crash_id", "b.u", "b.v", F.round(F.sqrt("b.d2"), 3).alias("off_m"))
 
 
-@query("stream_ride_summaries", grid.sql(f", {_SUMMARY} SELECT ride_id, floor(m + 0.5)::BIGINT AS meters FROM e WHERE m >= 200", recursive=True))
-def stream_ride_summaries(spark, folder):
-    """The fixes as a stream, worked off in one go; the newest summary of every ride."""
+def _worked_off(spark, fixes: DataFrame, streamed, mode: str) -> DataFrame:
+    """What a stream of the fixes gives, worked off in one go. Each batch has a folder of its own that a repeated
+    batch replaces, so nothing is written twice."""
     at = scratch(spark, f"rides-{uuid.uuid4().hex}")
-    grid.fixes(spark, folder).drop("event_id").write.parquet(f"{at}/fixes")
+    fixes.write.parquet(f"{at}/fixes")
     source = spark.readStream.schema(spark.read.parquet(f"{at}/fixes").schema).parquet(f"{at}/fixes")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{at}/out")
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    run = rides.stream_summaries(source).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    run = streamed(source).writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
     run.awaitTermination()
-    out = spark.read.parquet(f"{at}/out")
-    return out.groupBy("ride_id").agg(F.max_by("meters", F.struct("batch", "meters")).alias("meters"))
+    return spark.read.parquet(f"{at}/out")
+
+
+@query("stream_ride_summaries", grid.sql(f", {_SUMMARY}, d AS (SELECT ride_id, floor(max(t_s) FILTER (ok) - min(t_s) + 0.5)::BIGINT AS duration_s FROM st GROUP BY 1), o AS (SELECT ride_id, t_s - lag(t_s) OVER w AS dt, sqrt(pow((lon - lag(lon) OVER w) * cos(radians((lat + lag(lat) OVER w) / 2)) * 111320, 2) + pow((lat - lag(lat) OVER w) * 110540, 2)) AS m FROM st WHERE ok WINDOW w AS (PARTITION BY ride_id ORDER BY seq)), v AS (SELECT ride_id, floor(coalesce(sum(dt) FILTER (dt > 0 AND m >= 3 AND m / dt > 0.8), 0) + 0.5)::BIGINT AS moving_s FROM o GROUP BY 1) SELECT ride_id, floor(m + 0.5)::BIGINT AS meters, duration_s, moving_s, CASE WHEN k > 0 THEN floor(100 * coalesce(p, 0) / k + 0.5)::BIGINT ELSE 0 END AS pct_protected, CASE WHEN k > 0 THEN floor(100 * coalesce(q, 0) / k + 0.5)::BIGINT ELSE 0 END AS pct_quiet FROM e JOIN g USING (ride_id) JOIN d USING (ride_id) JOIN v USING (ride_id) WHERE m >= 200", recursive=True))
+def stream_ride_summaries(spark, folder):
+    """The fixes as a stream; the newest summary of every ride."""
+    out = _worked_off(spark, grid.fixes(spark, folder).drop("event_id"), rides.stream_summaries, "update")
+    newest = out.groupBy("ride_id").agg(F.max_by(F.struct("meters", "duration_s", "moving_s", "pct_protected", "pct_quiet"), F.struct("batch", "meters")).alias("s"))
+    return newest.select("ride_id", "s.*")
+
+
+def _guided(spark, folder: str) -> DataFrame:
+    """Fixes of rides along a route with turns and hazards."""
+    n = F.col("ride_id")
+    marks = lambda *at: F.array(*((F.lit(a) + n % 7 * 10).cast("double") for a in at))
+    return grid.fixes(spark, folder).drop("event_id").withColumns({"turns": marks(120, 300, 620, 900), "hazards": marks(200, 480, 760)})
+
+
+@query("ride_events")
+def ride_events(spark, folder):
+    """ride_id, seq, place, event, value: all that is said during each ride."""
+    return rides.fix_events(_guided(spark, folder))
+
+
+@query("stream_ride_events")
+def stream_ride_events(spark, folder):
+    """The same events from a stream of the fixes."""
+    out = _worked_off(spark, _guided(spark, folder), rides.stream_events, "append")
+    return out.select("ride_id", "seq", "place", "event", "value")
 
 
 @query("hazards_newest", grid.sql(" SELECT crash_id AS id, row_number() OVER (PARTITION BY year ORDER BY crash_id DESC) AS place FROM crash"))

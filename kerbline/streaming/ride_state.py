@@ -61,13 +61,18 @@ class Ride:
     halfway: bool = False
     arrived: bool = False
     n_fixes: int = 0
+    turn: int = 0  # where the rider is among the route's turns and hazards
+    stage: int = 0
+    hazard: int = 0
+    last_seq: int = -1
+    event_ms: int = 0
 
     @property
     def total(self) -> float:
         return self.banked + (0.0 if self.base is None else self.top - self.base)
 
 
-def advance(ride: Ride, t: float, lon: float, lat: float, accuracy: float, speed: float | None, heading: float | None, along: float | None, off_m: float | None, cls: str | None, route_m: float | None = None) -> list[tuple[str, float]]:
+def advance(ride: Ride, t: float, lon: float, lat: float, accuracy: float, speed: float | None, heading: float | None, along: float | None, off_m: float | None, cls: str | None, route_m: float | None = None, turns: list[float] = (), hazards: list[float] = ()) -> list[tuple[str, float]]:
     """Takes one fix in; returns the events it causes."""
     here, events = (lon, lat), []
     if ride.seen is not None and metres(ride.seen, here) > JUMP_M:
@@ -87,8 +92,11 @@ def advance(ride: Ride, t: float, lon: float, lat: float, accuracy: float, speed
         events += _off_route(ride, t, accuracy)
     elif on_route:
         ride.off, ride.tries = 0, 0
-        if route_m is not None and along is not None:
-            events += _progress(ride, along, route_m)
+        if along is not None:
+            if route_m is not None:
+                events += _progress(ride, along, route_m)
+            if not ride.arrived:
+                events += guide(ride, along, ride.speed, turns, hazards)
     return events
 
 
@@ -178,7 +186,7 @@ class Guide:
     hazard: int = 0
 
 
-def guide(state: Guide, along: float, speed: float, turns: list[float], hazards: list[float]) -> list[tuple[str, float]]:
+def guide(state: Guide | Ride, along: float, speed: float, turns: list[float], hazards: list[float]) -> list[tuple[str, float]]:
     """Calls for the next turn in up to three stages, going back if the rider does; each hazard once, 100 m ahead."""
     events = []
     while state.turn < len(turns) - 1 and turns[state.turn] < along - TURN_SLACK_M:

@@ -1,8 +1,10 @@
 """Rides from position fixes: as a stream with state by ride, or over a finished table in one sorted pass.
 
-Both take fixes (ride_id, seq, t_s, lon, lat, accuracy, speed, heading, along_m, off_m, cls, route_m) and
-run the same step for each fix, in the order of seq. The table pass streams each sorted partition through
-and holds one ride's small state at a time, so a ride of any length needs no more memory.
+Both take fixes (ride_id, seq, t_s, lon, lat, accuracy, speed, heading, along_m, off_m, cls, route_m, and if there are
+any turns and hazards: metres along the route, ascending) and run the same step for each fix, in the order of seq. The
+table pass streams each sorted partition through and holds one ride's small state at a time, so a ride of any length
+needs no more memory. In a stream the fixes of one trigger are put in order; a fix that comes in a later trigger than
+one with its number or a higher one is late and dropped, as the state has moved on.
 """
 
 from __future__ import annotations
@@ -21,15 +23,24 @@ from kerbline.functions.text import half_up
 from kerbline.streaming.ride_state import IDLE_S, MIN_STEP_M, MOVING_M_S, Ride, advance, summary
 
 FIELDS = ("t_s", "lon", "lat", "accuracy", "speed", "heading", "along_m", "off_m", "cls", "route_m")
+MARKS = ("turns", "hazards")
 SUMMARY = "ride_id long, meters long, duration_s long, moving_s long, pct_protected long, pct_quiet long, n_points long"
+EVENTS = "ride_id long, seq long, place int, event string, value double"
 STATE = "ride_id long, seq long, speed double, heading double, total_m double, plausible boolean, events array<string>"
 
 
-def _steps(ride: Ride, rows: pd.DataFrame):
+def _known(value):
+    return None if value is None or value != value else value
+
+
+def _steps(ride: Ride, rows: pd.DataFrame) -> Iterator[tuple[int, list]]:
+    """(seq, events) of every fix that is not late."""
     columns = [rows[c].tolist() for c in FIELDS]
-    for values in zip(*columns):
-        clean = [None if v is None or v != v else v for v in values]
-        yield advance(ride, *clean)
+    marks = [[[] if v is None else list(v) for v in rows[c]] if c in rows else [[]] * len(rows) for c in MARKS]
+    for seq, turns, hazards, *values in zip(rows["seq"].tolist(), *marks, *columns):
+        if seq > ride.last_seq:
+            ride.last_seq = seq
+            yield seq, advance(ride, *map(_known, values), turns, hazards)
 
 
 def _read(blob: str) -> Ride:
@@ -45,7 +56,7 @@ def _pass(batches: Iterator[pd.DataFrame], emit) -> Iterator[pd.DataFrame]:
                 if key is not None:
                     out += emit(key, ride, None, None)
                 key, ride = ride_id, Ride()
-            for seq, events in zip(rows["seq"].tolist(), _steps(ride, rows)):
+            for seq, events in _steps(ride, rows):
                 out += emit(key, ride, seq, events)
         if out:
             yield pd.DataFrame(out)
@@ -57,7 +68,7 @@ def _pass(batches: Iterator[pd.DataFrame], emit) -> Iterator[pd.DataFrame]:
 
 
 def _sorted(fixes: DataFrame) -> DataFrame:
-    return fixes.select("ride_id", "seq", *FIELDS).repartition("ride_id").sortWithinPartitions("ride_id", "seq")
+    return fixes.select("ride_id", "seq", *FIELDS, *(c for c in MARKS if c in fixes.columns)).repartition("ride_id").sortWithinPartitions("ride_id", "seq")
 
 
 def ride_summaries(fixes: DataFrame) -> DataFrame:
@@ -82,26 +93,57 @@ def fix_states(fixes: DataFrame) -> DataFrame:
     return _sorted(fixes).mapInPandas(lambda it: _pass(it, emit), STATE)
 
 
-def stream_summaries(fixes: DataFrame, idle: str = "10 minutes") -> DataFrame:
-    """Summaries from a stream of fixes with an event-time column ts: each trigger updates the rides it touched.
-    A ride whose watermark has passed its last fix by the idle time gives its last summary and is forgotten."""
+def fix_events(fixes: DataFrame) -> DataFrame:
+    """ride_id, seq, place (among the fix's events), event, value: reroutes, announcements, kilometres, halfway, arrival, turns in three
+    stages, hazards, idle stops and implausible fixes."""
+
+    def emit(key, ride, seq, events):
+        return [] if seq is None else [{"ride_id": key, "seq": seq, "place": i, "event": kind, "value": float(v)} for i, (kind, v) in enumerate(events)]
+
+    return _sorted(fixes).mapInPandas(lambda it: _pass(it, emit), EVENTS)
+
+
+def _streamed(fixes: DataFrame, emit, schema: str, mode: str, late: str) -> DataFrame:
+    """emit(key, ride, seq or None at the end of a trigger or ride, events) for each ride of each trigger. A ride whose watermark
+    has passed its last fix's event time (ts) by the idle time is forgotten."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ride = _read(state.get[0]) if state.exists else Ride()
+        ride, out = _read(state.get[0]) if state.exists else Ride(), []
         if state.hasTimedOut:
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values("seq")
-            for _ in _steps(ride, rows):
-                pass
+            rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+            for seq, events in _steps(ride, rows):
+                out += emit(key[0], ride, seq, events)
+            ride.event_ms = max(ride.event_ms, int(rows["event_ms"].max()))
             state.update((json.dumps(asdict(ride)),))
-            state.setTimeoutTimestamp(int(ride.last_t * 1000) + int(IDLE_S * 1000) + max(0, state.getCurrentWatermarkMs()))
-        s = summary(ride)
-        if s is not None:
-            yield pd.DataFrame([{"ride_id": key[0], **s}])
+            state.setTimeoutTimestamp(max(ride.event_ms + int(IDLE_S * 1000), state.getCurrentWatermarkMs() + 1))
+        out += emit(key[0], ride, None, None)
+        if out:
+            yield pd.DataFrame(out)
+
+    timed = fixes.withWatermark("ts", late).withColumn("event_ms", F.unix_millis("ts"))
+    return timed.groupBy("ride_id").applyInPandasWithState(step, schema, "ride string", mode, GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_summaries(fixes: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Summaries from a stream of fixes with an event-time column ts: each trigger updates the rides it touched, and a
+    ride that is over gives its last summary."""
+
+    def emit(key, ride, seq, events):
+        s = summary(ride) if seq is None else None
+        return [] if s is None else [{"ride_id": key, **s}]
+
+    return _streamed(fixes, emit, SUMMARY, "update", late)
+
+
+def stream_events(fixes: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """The events of fix_events from a stream of fixes with an event-time column ts, as they happen."""
+
+    def emit(key, ride, seq, events):
+        return [] if seq is None else [{"ride_id": key, "seq": seq, "place": i, "event": kind, "value": float(v)} for i, (kind, v) in enumerate(events)]
 
-    timed = fixes.withWatermark("ts", idle)
-    return timed.groupBy("ride_id").applyInPandasWithState(step, SUMMARY, "ride string", "update", GroupStateTimeout.EventTimeTimeout)
+    return _streamed(fixes, emit, EVENTS, "append", late)
 
 
 # What needs no state beyond the fix before is a window.

@@ -1,5 +1,7 @@
+import datetime
 import math
 import random
+import time
 
 from kerbline.streaming import rides
 from kerbline.streaming.ride_state import Guide, Ride, advance, guide, summary
@@ -100,5 +102,32 @@ def test_pass_over_a_table_and_stream_agree(spark):
 
     folder = "/root/testdata/sf0.001"
     a = {tuple(r) for r in ride_queries.ride_high_water(spark, folder).collect()}
-    b = {tuple(r) for r in ride_queries.stream_ride_summaries(spark, folder).collect()}
+    b = {(r["ride_id"], r["meters"]) for r in ride_queries.stream_ride_summaries(spark, folder).collect()}
     assert a and a == b
+    said = sorted(map(tuple, ride_queries.ride_events(spark, folder).collect()))
+    assert {e[3] for e in said} >= {"turn_1", "hazard", "implausible", "reroute"}
+    assert sorted(map(tuple, ride_queries.stream_ride_events(spark, folder).collect())) == said
+
+
+def fix(ride, seq, at, along):
+    return (ride, seq, float(at), datetime.datetime.fromtimestamp(1_700_000_000 + at, datetime.timezone.utc), -71.1 + along / M_LON, 42.38, 5.0, 4.0, 90.0, float(along), 1.0, "path", 5000.0)
+
+
+def test_a_stream_forgets_rides_that_are_over_and_drops_late_fixes(spark, tmp_path):
+    schema = "ride_id long, seq long, t_s double, ts timestamp, lon double, lat double, accuracy double, speed double, heading double, along_m double, off_m double, cls string, route_m double"
+    batches = [
+        [fix(1, s, s * 60, s * 100) for s in range(5)],  # ride 1, with epoch seconds as event time
+        [fix(1, 2, 120, 900)] + [fix(2, s, 3600 + s * 60, s * 100) for s in range(4)],  # a late fix of it, and another ride an hour on
+        [fix(3, s, 9000 + s * 60, s * 100) for s in range(4)], [fix(3, 4, 9300, 400)], [fix(3, 5, 9360, 500)],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are taken by age
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    seen = []
+    run = rides.stream_summaries(source, "1 minute").writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True)
+    run = run.foreachBatch(lambda batch, n: seen.extend((r["ride_id"], r["meters"]) for r in batch.collect())).start()
+    run.awaitTermination()
+    assert max(m for ride, m in seen if ride == 1) == 300  # the first fix starts the clock; the late one, 900 m along, adds nothing
+    held = [p.stateOperators[0].numRowsTotal for p in run.recentProgress if p.stateOperators]
+    assert held[-1] == 1, held  # rides 1 and 2 are forgotten
