@@ -99,15 +99,45 @@ def test_secret_added_rules_and_redaction(spark):
     assert secret_scan.secret_stage(spark, docs, "").columns == docs.columns
 
 
+def test_secret_keys_with_headers(spark):
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,00FF\n\n" + "QUJD" * 20 + "\n-----END RSA PRIVATE KEY-----"
+    pgp = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2\n\n" + "QUJD" * 20 + "=\n=ab12\n-----END PGP PRIVATE KEY BLOCK-----"
+    public = "-----BEGIN PUBLIC KEY-----\n" + "QUJD" * 20 + "\n-----END PUBLIC KEY-----"
+    docs = documents(spark, [f"a {pem} b", f"a {pgp} b", public])
+    out = {r["doc_id"]: r["text"] for r in secret_scan.secret_stage(spark, docs, "").collect()}
+    assert out == {0: "a [secret] b", 1: "a [secret] b", 2: public}
+
+
+def test_secret_rules_on_hostile_texts(spark, tmp_path):
+    """A megabyte of what makes each pattern start, repeat or fail again and again."""
+    mb = 1_000_000
+    hostile = [
+        "-----BEGIN " + "AB " * (mb // 3) + " PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----" + " \n" * (mb // 2), "-----BEGIN PRIVATE KEY-----\n" * (mb // 28), "-----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: " + "A" * mb,
+        "eyJ" * (mb // 3), "-eyJ" * (mb // 4), "eyJabcdefgh." * (mb // 12), "Bearer " + " " * mb, "Bearer " * (mb // 7) + "a" * 30, "a://" * (mb // 4), "a" * mb + "://" + "b" * mb + ":" + "c" * mb, "http://u:" * (mb // 9),
+        "password" + " " * mb + "=" + " " * mb, "token" * (mb // 5), "secret=" * (mb // 7), "AKIA" * (mb // 4), "0123456789abcdef" * (mb // 16), "password='abcdefghijkl0' " * 40_000,
+    ]
+    d = write(spark, tmp_path, documents=documents(spark, hostile).repartition(4))
+    got = {r["doc_id"]: r for r in rows(secret_scan.op10_secret_scan(spark, d))}
+    for i, text in enumerate(hostile):
+        want = plain_secrets(text)
+        assert got[i]["base_sha256"] == sha(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in want)), text[:30]
+    assert got[len(hostile) - 1]["n_assign"] == 40_000
+
+
 def test_secret_ledger_scans_only_unseen_pairs(spark):
-    docs = documents(spark, ["password=abcdefghijklmnop", "password=abcdefghijklmnop", "other"])
-    known = secret_scan.new_entries(docs.where("doc_id < 2")).cache()
-    assert known.count() == len(secret_scan.RULES)
-    assert secret_scan.new_entries(docs.where("doc_id < 2"), known).count() == 0
-    fresh = secret_scan.new_entries(docs, known)
-    assert {r["blob"] for r in fresh.collect()} == {sha("other")}
+    docs = documents(spark, ["password=abcdefghijklmnop", "password=abcdefghijklmnop", "other", "deadbeef" * 4])
+    first = docs.where("doc_id < 2")
+    known = secret_scan.new_entries(first).cache()
+    assert [sorted(r["scanned"]) for r in known.collect()] == [sorted(map(secret_scan.version_of, secret_scan.RULES))]
+    assert secret_scan.new_entries(first, known).count() == 0
+    assert {r["blob"] for r in secret_scan.new_entries(docs, known).collect()} == {sha("other"), sha("deadbeef" * 4)}
     later = tuple((r[0], 2, *r[2:]) if r[0] == "hex" else r for r in secret_scan.RULES)
-    assert {(r["rule"], r["version"]) for r in secret_scan.new_entries(docs.where("doc_id < 2"), known, later).collect()} == {("hex", 2)}
+    assert [r["scanned"] for r in secret_scan.new_entries(first, known, later).collect()] == [["hex:2"]]
+    every = secret_scan.ledger(docs, known)
+    plain = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs).collect()}
+    assert {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs, every).collect()} == plain
+    newer = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs, every, later).collect()}
+    assert newer == plain and plain[3][0]["kind"] == "hex"  # found anew by the later version, the old finding not counted twice
 
 
 # near duplicates
@@ -216,6 +246,25 @@ def test_licenses(spark):
     assert got == [[("cc-by-nc-4.0", 1.0)], [("mit", 1.0)], [("gpl-2.0", 1.0)], [], [("cc-by-nc-4.0", 1.0), ("all-rights-reserved", 1.0)]]
 
 
+def test_whole_licenses_and_near_versions_are_named_rightly(spark):
+    ls, holder = license_scan, "Copyright (c) 2021 The Authors"
+    grant = lambda **k: ls._GRANT.format(**({"work": "program", "stop": ";", "kind": "", "mark": ";"} | k))
+    wrapped = lambda text, n=11: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    whole = {
+        "mit": [holder, *ls._MIT], "isc": [holder, *ls._ISC], "zlib": [holder, *ls._ZLIB], "unlicense": [*ls._UNLICENSE], "apache-2.0": [holder, ls._APACHE[0], "http://www.apache.org/licenses/LICENSE-2.0", ls._APACHE[1]],
+        "bsd-2-clause": [holder, *ls._BSD], "bsd-3-clause": [holder, *ls._BSD[:3], ls._BSD_THIRD, ls._BSD[3]],
+    }
+    texts = [("\n\n".join(map(wrapped, parts)), {name}) for name, parts in whole.items()]
+    texts += [
+        (grant(version="2"), {"gpl-2.0"}), (grant(version="3", stop=":", mark=","), {"gpl-3.0"}), (grant(work="library", kind="Lesser ", version="2.1"), {"lgpl-2.1"}), (grant(kind="Affero ", version="3"), {"agpl-3.0"}),
+        (f"{prose(1, 300)}\n\n{wrapped(ls._BSD[0])}\n\n{wrapped(ls._BSD[3])}\n\n{prose(2, 300)}", {"bsd-2-clause or bsd-3-clause"}), (ls._HOPE.format(work="program", kind=""), {"gpl-2.0 or gpl-3.0"}),
+        (grant(version="2") + "\n\n" + ls._HOPE.format(work="program", kind=""), {"gpl-2.0"}), (f"{prose(3, 200)}\n\n{wrapped(ls._BSD[1])}\n\n{wrapped(ls._BSD_THIRD)}", {"bsd-3-clause"}), (f"{prose(4, 50)}\n\n{prose(5, 90)}", set()),
+    ]
+    got = {r["doc_id"]: {m["license"] for m in r["matches"]} for r in rows(ls.scan(documents(spark, [t for t, _ in texts])))}
+    for i, (text, want) in enumerate(texts):
+        assert got[i] == want, text[:80]
+
+
 def test_license_pruning_is_exact():
     words = license_scan.covering_words()
     for _, text in license_scan.TEMPLATES:
