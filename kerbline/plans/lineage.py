@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +12,22 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read from the shared checkpoint folder, so a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which driver and executors share. Only in local mode, as in tests, may it be
+    unset; a temporary folder then takes its place."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="shared-")
+
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests, a
-    temporary folder takes its place.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows read from the shared checkpoint folder, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -30,5 +38,4 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")
-    return f"{base.rstrip('/')}/{name}"
+    return f"{shared_folder(spark)}/{name}"
