@@ -6,7 +6,6 @@ again as the next one's docs; all but the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from kerbline.llm.near_dedup import dedup_stage
 from kerbline.llm.quality_rules import quality_stage
 from kerbline.llm.secret_scan import secret_stage
 from kerbline.llm.sentencepiece_codec import encode_stage
+from kerbline.plans.lineage import scratch
 
 STAGES = [
     ("quality rules", quality_stage),
@@ -31,8 +31,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written to the session's shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, f"pipeline-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
