@@ -112,12 +112,31 @@ def route_turns(spark, folder):
     return routes.turns(legs(spark, folder)).withColumn("at_m", F.round("at_m", 3))
 
 
-@query("route_maneuvers")
+_FOLD = f"""{_LEG}, {_TURN}, nth AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY seq) AS k FROM turn),
+kept(route_id, k, place, at_m, text, voice) AS (SELECT route_id, k, 0, at_m, text, voice FROM nth WHERE k = 1 UNION ALL
+  SELECT route_id, k, CASE WHEN joins THEN place ELSE place + 1 END, CASE WHEN joins THEN was_m ELSE at_m END, text, CASE WHEN joins THEN was || ', then ' || voice ELSE voice END
+  FROM (SELECT n.*, m.place, m.at_m AS was_m, m.voice AS was, n.at_m - m.at_m < 15 AND n.text <> 'destination' AND NOT contains(m.voice, ', then ') AS joins FROM kept m JOIN nth n ON n.route_id = m.route_id AND n.k = m.k + 1))"""
+
+
+@query("route_maneuvers", grid.sql(f", {_FOLD} SELECT route_id, place, round(at_m, 3) AS at_m, text, voice FROM kept QUALIFY row_number() OVER (PARTITION BY route_id, place ORDER BY k DESC) = 1", recursive=True))
 def route_maneuvers(spark, folder):
     return routes.maneuvers(legs(spark, folder)).withColumn("at_m", F.round("at_m", 3))
 
 
-@query("route_alerts")
+_ALERT = f"""{_LEG}, r0 AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY route_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS here_m, lag(cls) OVER o AS was, lag(walk) OVER o AS walked, max(seq) OVER (PARTITION BY route_id) AS last FROM leg WINDOW o AS (PARTITION BY route_id ORDER BY seq)),
+r1 AS (SELECT *, sum(CASE WHEN was = cls THEN 0 ELSE 1 END) OVER o AS run, sum(CASE WHEN coalesce(walked, false) = walk THEN 0 ELSE 1 END) OVER o AS foot, CASE cls WHEN 'sharrow' THEN 'a shared lane' WHEN 'moderate_street' THEN 'a moderate street' WHEN 'busy_street' THEN 'a busy street' END AS word FROM r0 WINDOW o AS (PARTITION BY route_id ORDER BY seq)),
+stretch AS (SELECT route_id, min(here_m) AS at_m, max(seq) + 0.5::DOUBLE AS ord, sum(length) AS m, any_value(word) AS word FROM r1 WHERE word IS NOT NULL GROUP BY route_id, run HAVING sum(length) >= 30),
+walks AS (SELECT route_id, min(here_m) AS at_m, max(here_m + length) AS to_m, max(seq) AS ord, sum(length) AS m, any_value(last) AS last FROM r1 WHERE walk GROUP BY route_id, foot),
+event AS (SELECT route_id, here_m AS at_m, seq::DOUBLE AS ord, 'busy street crossing. gather up.' AS voice FROM r1 WHERE NOT walk AND xpen > {dims.CROSSING_FLAG_M}
+  UNION ALL SELECT route_id, at_m, ord, 'entering ' || word || ' for ' || floor(m / 10 + 0.5)::BIGINT * 10 || ' meters. ride carefully.' FROM stretch
+  UNION ALL SELECT route_id, at_m, ord + 0.6::DOUBLE, 'hop off and walk the bike for about ' || floor(m / 10 + 0.5)::BIGINT * 10 || ' meters.' FROM walks
+  UNION ALL SELECT route_id, to_m, ord + 0.7::DOUBLE, 'you can ride again.' FROM walks WHERE ord < last),
+nth AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY at_m, ord, voice) AS k FROM event),
+thin(route_id, k, place, kept_m, fresh) AS (SELECT route_id, k, 0, at_m, true FROM nth WHERE k = 1 UNION ALL
+  SELECT n.route_id, n.k, CASE WHEN n.at_m - t.kept_m < 30 THEN t.place ELSE t.place + 1 END, CASE WHEN n.at_m - t.kept_m < 30 THEN t.kept_m ELSE n.at_m END, n.at_m - t.kept_m >= 30 FROM thin t JOIN nth n ON n.route_id = t.route_id AND n.k = t.k + 1)"""
+
+
+@query("route_alerts", grid.sql(f", {_ALERT} SELECT route_id, place, at_m, voice FROM thin JOIN nth USING (route_id, k) WHERE fresh", recursive=True))
 def route_alerts(spark, folder):
     return routes.alerts(legs(spark, folder))
 
