@@ -59,13 +59,12 @@ def _java_class(chars: str) -> str:
 def repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window which the array holds at least twice.
 
-    Windows are sorted by hash and then by their words, so equal ones are neighbours: n log n in the
-    length of the text, and exact.
+    A text whose windows all have hashes of their own has none, which most texts show at once. In the others windows are
+    sorted by hash and then by their words, so equal ones are neighbours: n log n in the length of the text, and exact.
     """
 
-    def window(w: Column, i: Column) -> Column:
-        a, b, c = F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)
-        return F.struct(F.xxhash64(a, b, c).alias("h"), a.alias("a"), b.alias("b"), c.alias("c"), i.alias("i"))
+    def window(w: Column, h: Column, i: Column) -> Column:
+        return F.struct(F.get(h, i).alias("h"), F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))
 
     def same(x: Column, y: Column) -> Column:
         return (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
@@ -74,8 +73,13 @@ def repeat_words(words: Column) -> Column:
         twin = F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
         return F.size(F.array_distinct(F.flatten(F.transform(twin, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
-    spread = _let(words, lambda w: F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: window(w, i))))
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(spread, marked)).cast("bigint")
+    def counted(w: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(w) - 3)
+        hashes = F.transform(places, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        spread = lambda h: F.sort_array(F.transform(places, lambda i: window(w, h, i)))
+        return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(spread(h), marked)))
+
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(words, counted)).cast("bigint")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -98,14 +102,18 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements and fail_mask: one row for each row of docs."""
-    out = measured(docs.select("doc_id", "text"))
+def marked(docs: DataFrame) -> DataFrame:
+    """docs with the measurements and fail_mask."""
     mask = None
     for bit, _, failure in RULES:
         one = F.when(F.expr(failure), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint")
         mask = one if mask is None else mask.bitwiseOR(one)
-    return out.drop("text").withColumn("fail_mask", mask)
+    return measured(docs).withColumn("fail_mask", mask)
+
+
+def ledger(docs: DataFrame) -> DataFrame:
+    """doc_id, the measurements and fail_mask: one row for each row of docs."""
+    return marked(docs.select("doc_id", "text")).drop("text")
 
 
 def passes(policy: str) -> Column:
@@ -138,13 +146,13 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the current policy keeps, with the columns of docs."""
-    columns = docs.columns
-    out = measured(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), "text"))
-    failed = None
-    for _, name, failure in RULES:
-        if name in POLICIES[CURRENT]:
-            failed = F.expr(failure) if failed is None else failed | F.expr(failure)
-    return out.where(~failed).select("_row.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
+    return marked(rows).where(passes(CURRENT)).select("_row.*")
+
+
+def quality_ablations(spark, sf_dir: str) -> DataFrame:
+    """How many documents of the whole table each policy rejects, would reject without one of its rules, and rejects by that rule alone."""
+    return ablations(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 ORACLES = {
@@ -175,4 +183,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
   n_lines, n_letters, longest_word, fail_mask FROM f
 """
 }
-QUERIES = {"op3_quality_rules": op3_quality_rules}
+
+
+def _ablation_oracle() -> str:
+    listed = ", ".join(f"('{policy}', '{name}', {policy_mask(policy)}, {1 << bit})" for policy in POLICIES for bit, name, _ in RULES if name in POLICIES[policy])
+    return f"""
+WITH ledger AS ({ORACLES["op3_quality_rules"]}), rules(policy, rule, policy_mask, rule_bit) AS (VALUES {listed})
+SELECT policy, rule, count(*) FILTER (fail_mask & policy_mask <> 0)::BIGINT AS rejected,
+  count(*) FILTER (fail_mask & policy_mask & ~rule_bit <> 0)::BIGINT AS rejected_without,
+  count(*) FILTER (fail_mask & policy_mask <> 0 AND fail_mask & policy_mask & ~rule_bit = 0)::BIGINT AS only_by
+FROM ledger, rules GROUP BY policy, rule
+"""
+
+
+ORACLES["quality_ablations"] = _ablation_oracle()
+QUERIES = {"op3_quality_rules": op3_quality_rules, "quality_ablations": quality_ablations}
