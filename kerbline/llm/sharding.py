@@ -149,12 +149,17 @@ def op9_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), *fingerprint(text))
-    rows = cut(rows.join(assign(docs).select("g1", "g2", "shard"), ["g1", "g2"]).select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)).cast("int").alias("piece")))
+    placed = rows.join(assign(docs).select("g1", "g2", "shard"), ["g1", "g2"])
+    piece = F.pmod(F.xxhash64("doc_id", "g1"), F.lit(PIECES)).cast("int").alias("piece")
+    # Equal rows are counted first, so no id or text, null ones included, brings more than one row of each task together.
+    once = cut(placed.groupBy("doc_id", "size", "text_crc32", "shard", piece).agg(F.count("*").alias("n")))
     before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("shard", "piece").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("shard", "piece", "offset")
-    inside = Window.partitionBy("shard", "piece").orderBy("doc_id", "text_crc32", "size")
-    rows = rows.withColumn("_n", F.row_number().over(inside) - 1).join(F.broadcast(counts), ["shard", "piece"])  # SHARDS * PIECES rows at most
-    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("_n")).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    counts = once.groupBy("shard", "piece").agg(F.sum("n").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("shard", "piece", "offset")
+    inside = Window.partitionBy("shard", "piece").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    out = once.join(F.broadcast(counts), ["shard", "piece"]).withColumn("first", first)  # SHARDS * PIECES rows at most
+    out = out.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES = {"op9_sharding": op9_sharding}

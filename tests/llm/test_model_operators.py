@@ -1,7 +1,13 @@
 import hashlib
 import itertools
+import math
 import random
+import re
+import time
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from kerbline.llm import html_extract, language_id, sentencepiece_codec, sharding, toxicity
@@ -99,14 +105,67 @@ def plain_segments(scores):
 def test_segments_match_the_recursive_definition():
     draw = random.Random(5)
     for _ in range(300):
-        n = draw.randint(0, 18)
-        scores = [draw.uniform(0.5, 3) if draw.random() < 0.3 else -0.7 for _ in range(n)]
-        at = [i for i, s in enumerate(scores) if s > 0]
-        got = toxicity.segments(at, [scores[i] for i in at], 0.7)
+        scores = [draw.uniform(0.5, 3) if draw.random() < 0.3 else draw.uniform(-1.5, -0.1) for _ in range(draw.randint(0, 18))]
+        got = toxicity.segments(np.array(scores))
         assert [(a, b) for a, b, _ in got] == plain_segments(scores)
         assert all(abs(s - sum(scores[a:b])) < 1e-9 for a, b, s in got)
 
 
+def test_segments_of_long_texts_take_linear_time():
+    """Falling sums, where each candidate is left of all before it, and rising and random ones."""
+    for scores in (np.tile([1.0, -1.5], 400_000), np.tile([1.0, -0.5], 400_000), np.random.default_rng(3).normal(-0.2, 1, 800_000)):
+        began = time.process_time()
+        found = toxicity.segments(scores)
+        assert time.process_time() - began < 8  # a quadratic scan takes hours
+        assert all(a < b and s > 0 for a, b, s in found) and all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+    assert len(toxicity.segments(np.tile([1.0, -1.5], 1000))) == 1000 and len(toxicity.segments(np.tile([1.0, -0.5], 1000))) == 1
+
+
+def plain_features(text):
+    """For each word its own bytes and its stems."""
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())
+    return [[w, *((n, w[:n]) for n in toxicity.STEMS if len(w) > n)] for w in (re.sub(rb"[A-Z]", lambda m: m[0].lower(), w) for w in words)]
+
+
+def test_passages_against_a_plain_version(spark):
+    draw = random.Random(12)
+    texts = []
+    for i in range(400):
+        words, bad = prose(i, draw.randint(5, 60)).split(), i % 3 == 0
+        for _ in range(3 if bad else 0):
+            words.insert(draw.randrange(len(words)), draw.choice(["Vilefoo", "vilebar", "grotty", "grottiest", "üblezz"]))
+        for _ in range(0 if bad else 2):
+            words.insert(draw.randrange(len(words)), draw.choice(["kindly", "kindest", "thanks"]))
+        texts.append(" ".join(words))
+    texts += [None, "", "vilefoo kindly grotty", "thanks " * 3 + "vilebar", texts[0]]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    learned = {texts[i]: int(i % 3 == 0) for i in range(400) if zlib.crc32(str(i).encode()) % 5}
+    y = {0: Counter(), 1: Counter()}
+    for text, label in learned.items():
+        y[label].update({f for w in plain_features(text) for f in w})
+    n1, n0 = sum(y[1].values()), sum(y[0].values())
+    odds = {}
+    for f in {*y[0], *y[1]}:
+        pooled = (y[1][f] + y[0][f]) * toxicity.PRIOR
+        a1, a0 = pooled * n1 / (n1 + n0), pooled * n0 / (n1 + n0)
+        d = math.log((y[1][f] + a1) / (n1 * (1 + toxicity.PRIOR))) - math.log((y[0][f] + a0) / (n0 * (1 + toxicity.PRIOR)))
+        odds[f] = d if abs(d) >= toxicity.SURE * math.sqrt(1 / (y[1][f] + a1) + 1 / (y[0][f] + a0)) else 0.0
+    assert min(odds.values()) < 0 < max(odds.values())
+    rows = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for i, text in enumerate(texts):
+        scores = [max((odds.get(f, 0.0) for f in w), key=lambda v: (abs(v), 0)) - toxicity.COST for w in plain_features(text)]
+        want = [(a, b, sum(scores[a:b])) for a, b in plain_segments(scores)] if len(scores) < 40 else None
+        got = [(p["first"], p["stop"], p["segment"]) for p in rows[i]["passages"]]
+        if want is not None:
+            assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 1e-6 for g, w in zip(got, want)), text
+        best, n = max((g[2] for g in got), default=0.0), max(1, len(scores))
+        a, b = model["curve"]
+        extreme = min(40.0, max(-40.0, math.log(model["k"]) + math.log(n) - model["lambda"] * best))
+        assert abs(rows[i]["score"] - 1 / (1 + math.exp(-(a + b * extreme)))) < 1e-9
+
+
 def test_toxicity_of_held_out_rows(spark, tmp_path):
     draw = random.Random(9)
     texts, labels = [], []
@@ -155,7 +214,8 @@ def test_tree_matching_counts_aligned_nodes():
     from kerbline.llm.html_tree import parse
 
     a, b = parse("<div><h1>x</h1><p>a</p><p>b</p></div>"), parse("<div><ul><li>q</ul><h1>y</h1><p>c</p></div>")
-    assert html_extract.align([a], [b])[0] == 4  # root, div, h1 and the folded run of p
+    tree = lambda root: html_extract.Slot("#root", [root])
+    assert html_extract.align(tree(a), tree(b))[0] == 4  # root, div, h1 and the folded run of p
 
 
 # sharding
@@ -174,6 +234,17 @@ def test_differencing_of_items_is_that_of_units():
         assert max(loads) - min(loads) == other[-1] - other[0]
 
 
+def test_slots_of_rows_without_ids(spark, tmp_path):
+    texts = ["one text"] * 30 + [prose(i, 9) for i in range(50)] + [None] * 5
+    d = write(spark, tmp_path, documents=documents(spark, texts, [None] * 40 + [7] * 45))
+    rows = sharding.op9_sharding(spark, d).collect()
+    assert len(rows) == len(texts)
+    for shard in {r["shard"] for r in rows}:
+        held = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert held == list(range(len(held)))
+    assert len({r["shard"] for r in rows if r["text_crc32"] == zlib.crc32(b"one text")}) == 1
+
+
 def test_shards_are_even_and_slots_gapless(spark, tmp_path):
     texts = [*AWKWARD, *AWKWARD, *(prose(i, 1 + i % 90) for i in range(400)), *["same text"] * 60]
     ids = [*range(len(texts) - 1), None]
