@@ -39,3 +39,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, which driver and executors share."""
     return f"{shared_folder(spark)}/{name}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a scratch folder that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
