@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("decontaminate", "sentencepiece_codec", "quality_rules", "language_id", "license_scan", "toxicity", "near_dedup", "html_extract", "sharding", "secret_scan", "warc", "vector_codes")
+_MODULES = ("decontaminate", "sentencepiece_codec", "quality_rules", "language_id", "license_scan", "toxicity", "near_dedup", "html_extract", "sharding", "secret_scan", "conversation_repair", "warc", "vector_codes")
 
 
 def _gathered(name: str) -> dict:
