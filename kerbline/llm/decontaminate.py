@@ -19,11 +19,10 @@ empty benchmark contaminates nothing; other columns are ignored, and kept by the
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import cut, small_batches
@@ -59,28 +58,30 @@ def _member(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return hit
 
 
-def fingerprints(table: DataFrame, key: str, lengths: tuple[int, ...], wanted: np.ndarray | None, window: int = WINDOW, gram: int = GRAM, items: bool = False) -> DataFrame:
-    """key, n_words, digest (of the text) and prints: each with its hash, the window's words m, the word
+def digest(text: Column) -> Column:
+    """What tells texts apart, null for a null text."""
+    return F.unhex(F.md5(text.cast("string")))
+
+
+def fingerprints(table: DataFrame, key: str, lengths: tuple[int, ...], bits: Broadcast | None, window: int = WINDOW, gram: int = GRAM, items: bool = False) -> DataFrame:
+    """key, n_words, digest (of the text, null for a null text) and prints: each with its hash, the window's words m, the word
     it starts at and the words around it (window - gram to either side; '' beyond the text).
 
     lengths: the lengths below `window` whose grams are all kept. items: a text of fewer words than
-    `window` has one window of all its words, and no other.
+    `window` has one window of all its words, and no other. bits: a broadcast bit set of the fingerprints wanted; None: all are.
     """
-    bits = None if wanted is None else table.sparkSession.sparkContext.broadcast(wanted)
     side = window - gram
 
     def kernel(batches):
         held = None if bits is None else bits.value
         for batch in batches:
-            n_words, digests, sizes, out = [], [], [], ([], [], [], [], [])
-            at_bytes, data = text_buffers(batch.column(1))
+            n_words, sizes, out = [], [], ([], [], [], [])
+            _, data = text_buffers(batch.column(1))
             for first, stop, at, starts, stops, hashes in words_of(batch.column(1), ALNUM):
                 for i in range(stop - first):
                     lo, hi = int(at[i]), int(at[i + 1])
                     words, n, found = hashes[lo:hi], hi - lo, 0
-                    lo_b, hi_b = at_bytes[first + i], at_bytes[first + i + 1]
                     n_words.append(n)
-                    digests.append(hashlib.blake2b(data[lo_b:hi_b], digest_size=16).digest())
                     cases = [(window, gram, window - gram + 1, side)] if n >= window else []
                     cases += [(n, n, 1, 0)] if items and 0 < n < window else []
                     cases += [] if items else [(m, m, 1, 0) for m in lengths if n >= m]
@@ -98,9 +99,9 @@ def fingerprints(table: DataFrame, key: str, lengths: tuple[int, ...], wanted: n
                     sizes.append(found)
             prints = pa.StructArray.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.string()))], ["h", "m", "at", "words"])
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), prints)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(digests, pa.binary()), lists], [key, "n_words", "digest", "prints"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), batch.column(2), lists], [key, "n_words", "digest", "prints"])
 
-    return table.select(F.col(key).cast("bigint"), F.col("text").cast("string")).mapInArrow(kernel, f"{key} long, n_words long, digest binary, prints {_FINGERPRINT}")
+    return table.select(F.col(key).cast("bigint"), F.col("text").cast("string"), digest(F.col("text")).alias("digest")).mapInArrow(kernel, f"{key} long, n_words long, digest binary, prints {_FINGERPRINT}")
 
 
 def bit_set_of(prints: DataFrame) -> np.ndarray:
@@ -122,21 +123,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     items = fingerprints(named, "item_id", (), None, window, gram, items=True)
     items = cut(items.select("item_id", F.explode("prints").alias("p")).select("item_id", "p.h", "p.m", "p.words"))
     lengths = tuple(sorted(r[0] for r in items.where(F.col("m") < window).select("m").distinct().collect()))  # under `window` values
-    rows = fingerprints(docs, "doc_id", lengths, bit_set_of(items), window, gram)
-    rows = cut(rows)
+    bits = docs.sparkSession.sparkContext.broadcast(bit_set_of(items))
+    rows = cut(fingerprints(docs, "doc_id", lengths, bits, window, gram))
+    bits.destroy()
     prints = rows.where(F.size("prints") > 0).select("doc_id", "digest", "prints").dropDuplicates(["doc_id", "digest"])
     prints = prints.select("doc_id", "digest", F.explode("prints").alias("p")).select("doc_id", "digest", "p.h", "p.m", "p.at", "p.words")
-    known = items.groupBy("h", "m", F.col("words").alias("item_words")).agg(F.sort_array(F.collect_set(F.col("item_id"))).alias("item_ids"))
-    met = prints.join(known, ["h", "m"])
+    # Items that share a window are met as one set, and documents that met the same sets as one combination, so a passage of
+    # many items and many documents makes no row for each pair of them.
+    known = items.groupBy("h", "m", F.col("words").alias("item_words")).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    known = cut(known.withColumn("set", F.md5(F.array_join("item_ids", ","))))
+    met = prints.join(known.drop("item_ids"), ["h", "m"])
     # The words around a print that are equal on both sides of it, as far as they run together.
     same = F.transform(F.sequence(F.lit(0), F.lit(side)), lambda s: F.when((F.slice("words", s + 1, window) == F.slice("item_words", s + 1, window)) & ~F.array_contains(F.slice("words", s + 1, window), ""), F.col("at") - side + s))
     starts = F.when(F.col("m") < window, F.when(F.col("words") == F.col("item_words"), F.array("at"))).otherwise(F.filter(same, lambda x: x.isNotNull()))
-    hits = met.select("doc_id", "digest", "m", F.explode(starts).alias("start"), "item_ids")
+    hits = met.select("doc_id", "digest", "m", F.explode(starts).alias("start"), "set")
     spread = hits.select("doc_id", "digest", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("m") - 1)).alias("word")).distinct()
     counted = spread.groupBy("doc_id", "digest").agg(F.count("*").alias("n_hit"))
-    by_item = hits.select("doc_id", "digest", F.explode("item_ids").alias("item_id")).distinct().groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
-    same_doc = counted["doc_id"].eqNullSafe(by_item["doc_id"]) & (counted["digest"] == by_item["digest"])
-    return rows.select("doc_id", "n_words", "digest"), counted.join(by_item, same_doc).select(counted["doc_id"], counted["digest"], "n_hit", "items")
+    sets = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest")).agg(F.array_sort(F.collect_set("set")).alias("sets"))
+    sets = cut(sets.withColumn("combination", F.md5(F.array_join("sets", ","))))
+    listed = sets.select("combination", "sets").dropDuplicates(["combination"]).select("combination", F.explode("sets").alias("set")).join(known.select("set", "item_ids").dropDuplicates(["set"]), "set")
+    listed = listed.groupBy("combination").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items"))
+    same_doc = counted["doc_id"].eqNullSafe(sets["hit_id"]) & (counted["digest"] == sets["hit_digest"])
+    found = counted.join(sets.select("hit_id", "hit_digest", "combination"), same_doc).select("doc_id", "digest", "n_hit", "combination")
+    return rows.select("doc_id", "n_words", "digest"), found.join(listed, "combination").select("doc_id", "digest", "n_hit", "items")
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -151,10 +160,11 @@ def op1_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without any window of the benchmark stay, with the columns of docs."""
+    """Pipeline stage: documents without any window of the benchmark stay, with the columns of docs. Rows of one id, null or not,
+    are documents of their own: those of a contaminated text go, the others stay."""
     _, hits = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hits = hits.select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["hit_id"]), "left_anti")
+    hits = hits.select(F.col("doc_id").alias("_hit_id"), F.col("digest").alias("_hit_digest"))
+    return docs.join(hits, docs["doc_id"].cast("bigint").eqNullSafe(hits["_hit_id"]) & (digest(docs["text"]) == hits["_hit_digest"]), "left_anti")
 
 
 ORACLES = {
