@@ -124,13 +124,42 @@ def _guided(spark, folder: str) -> DataFrame:
     return grid.fixes(spark, folder).drop("event_id").withColumns({"turns": marks(120, 300, 620, 900), "hazards": marks(200, 480, 760)})
 
 
-@query("ride_events")
+#: What is said, one plausible fix after another: idle stops, rerouting with a growing pause, milestones, arrival, turns and hazards.
+_SAID = f"""{_STATE},
+good AS (SELECT s.ride_id, s.seq, row_number() OVER w AS r, s.t_s, s.speed, f.accuracy, f.along_m AS along, f.off_m > 40 AS off_route, f.off_m <= 40 AS on_route, {{route}} AS route_m, {{turns}} AS turns, {{hazards}} AS hazards,
+  s.t_s - lag(s.t_s) OVER w AS dt, sqrt(pow((s.lon - lag(s.lon) OVER w) * cos(radians((s.lat + lag(s.lat) OVER w) / 2)) * 111320, 2) + pow((s.lat - lag(s.lat) OVER w) * 110540, 2)) AS step
+  FROM st s JOIN fix f ON f.ride_id = s.ride_id AND f.seq = s.seq WHERE s.ok WINDOW w AS (PARTITION BY s.ride_id ORDER BY s.seq)),
+said(ride_id, r, moved_at, stopped, off_n, tries, rerouted_at, spoken_at, next_km, half, arrived, turn, stage, hazard, e) AS (
+  SELECT ride_id, 0::BIGINT, 0.0::DOUBLE, true, 0, 0, -1e9::DOUBLE, -1e9::DOUBLE, 1::BIGINT, false, false, 0, 0, 0, []::STRUCT(event VARCHAR, value DOUBLE)[] FROM (SELECT DISTINCT ride_id FROM good)
+  UNION ALL SELECT ride_id, r, moved, stopped2, CASE WHEN on_route OR reroute THEN 0 ELSE off2 END, CASE WHEN on_route THEN 0 WHEN reroute THEN tries + 1 ELSE tries END, CASE WHEN reroute THEN t_s ELSE rerouted_at END, CASE WHEN announce THEN t_s ELSE spoken_at END,
+    km + new_km::INT, half2 OR new_half, arrived2 OR new_arrived, turn2, CASE WHEN call > 0 THEN call ELSE stage2 END, hazard2 + new_hazard::INT,
+    list_filter([CASE WHEN idle THEN {{{{'event': 'idle', 'value': t_s}}}} END, CASE WHEN reroute THEN {{{{'event': 'reroute', 'value': t_s}}}} END, CASE WHEN announce THEN {{{{'event': 'announce', 'value': t_s}}}} END,
+      CASE WHEN new_km THEN {{{{'event': 'kilometre', 'value': km::DOUBLE}}}} END, CASE WHEN new_half THEN {{{{'event': 'halfway', 'value': along}}}} END, CASE WHEN new_arrived THEN {{{{'event': 'arrived', 'value': along}}}} END,
+      CASE WHEN call > 0 THEN {{{{'event': 'turn_' || call, 'value': turns[turn2 + 1]}}}} END, CASE WHEN new_hazard THEN {{{{'event': 'hazard', 'value': hazards[hazard2 + 1]}}}} END], lambda x: x IS NOT NULL)
+  FROM (SELECT *, guided AND hazard2 < len(hazards) AND hazards[hazard2 + 1] - along <= 100 AS new_hazard, CASE WHEN NOT guided OR len(turns) = 0 THEN 0 WHEN stage2 < 3 AND ahead <= greatest(12, least(30, speed * 4)) THEN 3 WHEN stage2 < 2 AND ahead <= greatest(30, least(80, speed * 10)) THEN 2
+      WHEN stage2 < 1 AND ahead <= greatest(60, least(200, speed * 25)) THEN 1 ELSE 0 END AS call, reroute AND t_s - spoken_at > 45 AS announce
+    FROM (SELECT *, CASE WHEN turn2 = turn THEN stage ELSE 0 END AS stage2, greatest(0, turns[turn2 + 1] - along) AS ahead
+      FROM (SELECT *, CASE WHEN guided THEN least(greatest(turn, least(len(turns) - 1, len(list_filter(turns, lambda x: x < along - 20)))), len(list_filter(turns, lambda x: x <= along + 20))) ELSE turn END::INT AS turn2, CASE WHEN guided THEN greatest(hazard, len(list_filter(hazards, lambda x: x < along - 10))) ELSE hazard END::INT AS hazard2
+        FROM (SELECT *, on_route AND along IS NOT NULL AND NOT (arrived2 OR new_arrived) AS guided
+          FROM (SELECT *, told AND along >= km * 1000 AS new_km, told AND NOT half2 AND route_m > 1500 AND along >= route_m / 2 AS new_half, told AND NOT arrived2 AND rest < 15 AS new_arrived
+            FROM (SELECT *, CASE WHEN joined THEN floor(along / 1000)::BIGINT + 1 ELSE next_km END AS km, CASE WHEN joined THEN along >= route_m / 2 ELSE half END AS half2, arrived AND NOT (told AND rest > 80) AS arrived2, started AND NOT stopped1 AND t_s - moved >= 600 AS idle, stopped1 OR t_s - moved >= 600 AS stopped2,
+                strike AND off2 >= 3 AND t_s - rerouted_at > 10 * least(pow(2, tries), 6) AS reroute
+              FROM (SELECT *, told AND next_km = 1 AND along > 1500 AS joined, CASE WHEN NOT started OR walked THEN t_s ELSE moved_at END AS moved, CASE WHEN NOT started OR walked THEN false ELSE stopped END AS stopped1, off_n + strike::INT AS off2
+                FROM (SELECT w.* EXCLUDE (r, e), g.* EXCLUDE (ride_id), g.r > 1 AS started, coalesce(g.dt > 0 AND g.step >= 3 AND g.step / g.dt > 0.8, false) AS walked, coalesce(g.off_route AND g.accuracy <= 50, false) AS strike,
+                    coalesce(g.on_route AND g.along IS NOT NULL AND g.route_m IS NOT NULL, false) AS told, greatest(0, g.route_m - g.along) AS rest
+                  FROM said w JOIN good g ON g.ride_id = w.ride_id AND g.r = w.r + 1))))))))),
+told AS (SELECT g.ride_id, g.seq, unnest(range(len(e)))::INT AS place, unnest(e) AS x FROM said s JOIN good g ON g.ride_id = s.ride_id AND g.r = s.r)
+SELECT ride_id, seq, place, x.event AS event, x.value AS value FROM told UNION ALL SELECT ride_id, seq, 0, 'implausible', t_s FROM st WHERE NOT ok"""
+_MARKED = grid.sql(", " + _SAID.format(route="1500.0::DOUBLE", turns="list_transform([120, 300, 620, 900], lambda x: (x + s.ride_id % 7 * 10)::DOUBLE)", hazards="list_transform([200, 480, 760], lambda x: (x + s.ride_id % 7 * 10)::DOUBLE)"), recursive=True)
+
+
+@query("ride_events", _MARKED)
 def ride_events(spark, folder):
     """ride_id, seq, place, event, value: all that is said during each ride."""
     return rides.fix_events(_guided(spark, folder))
 
 
-@query("stream_ride_events")
+@query("stream_ride_events", _MARKED)
 def stream_ride_events(spark, folder):
     """The same events from a stream of the fixes."""
     out = _worked_off(spark, _guided(spark, folder), rides.stream_events, "append")
