@@ -165,7 +165,19 @@ def detours(spark, folder):
     return details.detours(arcs(spark, folder), riders, places, tiles_of(spark, folder)).select("rider", "poi_id", F.round("cost", 3).alias("cost"))
 
 
-@query("trip_whatif")
+#: The cheapest path of each trip now and with every moderate street protected, read back node by node: of equally cheap ways the
+#: node before is the least.
+_CHANGED = grid.sql(f""", {_WEIGHED}, {_OD}, one AS (SELECT 'now' AS mode, u, v, k, length, cls, weight, false AS built FROM w UNION ALL SELECT 'built', u, v, k, length, cls, CASE WHEN cls = 'moderate_street' THEN length ELSE length * stress_mult * crash_factor + xpen END, cls = 'moderate_street' FROM w),
+arc AS MATERIALIZED (SELECT mode, u, v, min(weight) AS weight, arg_min({{'m': length, 'c': cls, 'b': built}}, {{'w': weight, 'k': k}}) AS x FROM one GROUP BY 1, 2, 3),
+find(mode, trip, node, d) USING KEY (mode, trip, node) AS (SELECT mode, trip, source, 0.0::DOUBLE FROM od, (VALUES ('now'), ('built')) m(mode) WHERE source <> target UNION SELECT s.mode, s.trip, a.v, min(s.d + a.weight) FROM find s JOIN arc a ON a.mode = s.mode AND a.u = s.node LEFT JOIN recurring.find r ON r.mode = s.mode AND r.trip = s.trip AND r.node = a.v WHERE r.d IS NULL OR s.d + a.weight < r.d GROUP BY 1, 2, 3),
+before AS MATERIALIZED (SELECT s.mode, s.trip, a.v, min(a.u) AS u FROM find s JOIN arc a ON a.mode = s.mode AND a.u = s.node JOIN find t ON t.mode = s.mode AND t.trip = s.trip AND t.node = a.v WHERE t.d > 0 AND s.d + a.weight = t.d GROUP BY 1, 2, 3),
+back(mode, trip, u, v) AS (SELECT b.mode, b.trip, b.u, b.v FROM before b JOIN od ON od.trip = b.trip AND od.target = b.v UNION ALL SELECT b.mode, b.trip, b.u, b.v FROM back x JOIN before b ON b.mode = x.mode AND b.trip = x.trip AND b.v = x.u),
+leg AS (SELECT back.mode, trip, x.m AS m, x.b AS b, x.b OR x.c IN ('path', 'separated', 'buffered') AS p FROM back JOIN arc USING (mode, u, v)),
+per AS (SELECT trip, sum(m) FILTER (mode = 'now') AS nm, sum(m) FILTER (mode = 'built') AS bm, coalesce(sum(m) FILTER (mode = 'now' AND p), 0) AS np, coalesce(sum(m) FILTER (mode = 'built' AND p), 0) AS bp, count(*) FILTER (mode = 'built' AND b) AS n FROM leg GROUP BY 1)
+SELECT trip, CASE WHEN abs((bm - nm) / 1000) >= 0.1 THEN round((bm - nm) / 1000, 1) ELSE 0 END AS km_change, (floor(bp * 100 / bm + 0.5) - floor(np * 100 / nm + 0.5))::BIGINT AS protected_change, n AS n_upgraded FROM per""", recursive=True)
+
+
+@query("trip_whatif", _CHANGED)
 def trip_whatif(spark, folder):
     """trip, km_change, protected_change, n_upgraded of each trip's safest route if all moderate streets were protected."""
     return details.trip_whatif(weighed(spark, folder), _trips(spark, folder), tiles_of(spark, folder), F.col("cls") == "moderate_street")
