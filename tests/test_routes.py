@@ -1,4 +1,6 @@
 import heapq
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,20 +136,64 @@ def _grouped(legs):
     return out
 
 
-def toy_network(spark):
-    """A street of 2000 m by bike, or 150 m of busy street that can be walked."""
-    arcs = spark.createDataFrame([(0, 1, 0, 2000.0, 2000.0), (0, 2, 0, 25.0 * 75, 75.0), (2, 1, 0, 25.0 * 75, 75.0)], "u long, v long, k int, ride double, length double")
-    tiles = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "node long, tile long")
-    od = spark.createDataFrame([(7, 0, 1)], "trip long, source long, target long")
-    return arcs, tiles, od
+def drawn_streets(seed, n, streets, one_way):
+    """(u, v, metres, riding price) of random streets; some can be used one way only."""
+    draw, out = random.Random(seed), []
+    for _ in range(streets):
+        u, v = draw.sample(range(n), 2)
+        metres = draw.randint(20, 400)
+        price = metres * draw.choice((1.0, 1.4, 3.0, 8.0, 25.0))
+        out += [(u, v, float(metres), price)] + ([] if draw.random() < one_way else [(v, u, float(metres), price)])
+    return out
 
 
-def test_walking_within_a_budget(spark):
-    arcs, tiles, od = toy_network(spark)
-    free = trips.walk_within(arcs, od, tiles, 200.0).first()
-    assert (free["walked_m"], free["cost"]) == (150.0, 150 * 2.4 + 90 + 40)
-    capped = trips.walk_within(arcs, od, tiles, 100.0).first()
-    assert (capped["walked_m"], capped["cost"]) == (0.0, 2000.0)
+def plain_costs(streets, start):
+    """Bellman's relaxation until nothing changes."""
+    cost, changed = {start: 0.0}, True
+    while changed:
+        changed = False
+        for u, v, w in streets:
+            if u in cost and cost[u] + w < cost.get(v, float("inf")):
+                cost[v], changed = cost[u] + w, True
+    return cost
+
+
+def plain_walk(streets, source, target, budget):
+    """(factor, cost) of the first price of walking at which what is walked keeps the budget; states (node, on foot)."""
+    for turn in range(6):
+        factor = 2.4 * 2**turn
+        best = {(source, False): (0.0, 0.0)}  # price, metres walked
+        changed = True
+        while changed:
+            changed = False
+            for state, (c, m) in list(best.items()):
+                node, walking = state
+                ways = [((node, not walking), 40.0 if walking else 90.0, 0.0)]
+                ways += [((v, True), metres * factor, metres) if walking else ((v, False), price, 0.0) for u, v, metres, price in streets if u == node]
+                for to, w, walked in ways:
+                    if (c + w, m + walked) < best.get(to, (float("inf"), 0.0)):
+                        best[to], changed = (c + w, m + walked), True
+        ends = [(c + (40.0 if walking else 0.0), m) for (node, walking), (c, m) in best.items() if node == target]
+        if not ends:
+            return None
+        if min(ends)[1] <= budget:
+            return factor, min(ends)[0]
+    return None, plain_costs([(u, v, p) for u, v, _, p in streets], source).get(target)
+
+
+@pytest.mark.parametrize("budget", [350.0])
+def test_walking_keeps_a_budget_on_a_random_network(spark, budget):
+    streets = drawn_streets(11, 26, 40, 0.3)
+    arcs = spark.createDataFrame([(u, v, i, p, m) for i, (u, v, m, p) in enumerate(streets)], "u long, v long, k int, ride double, length double")
+    tiles = spark.createDataFrame([(i, i % 4) for i in range(26)], "node long, tile long")
+    od = [(100 + i, i, (i * 7 + 3) % 26) for i in range(0, 26, 4)]
+    got = {r["trip"]: (r["factor"], r["cost"], r["walked_m"]) for r in trips.walk_within(arcs, spark.createDataFrame(od, "trip long, source long, target long"), tiles, budget).collect()}
+    for trip, source, target in od:
+        want = plain_walk(streets, source, target, budget)
+        if want is None:
+            assert trip not in got
+        else:
+            assert got[trip][0] == want[0] and got[trip][1] == pytest.approx(want[1]) and got[trip][2] <= budget
 
 
 def test_loops_return_another_way(spark):
@@ -187,19 +233,27 @@ def test_severance_of_a_harbour(spark):
     assert got == [("Cut", 50.0, 0.0), ("Ring", 810.0, 0.0), ("Swing Bridge", 75.0, 250.0), ("Swing Bridge", 80.0, 250.0)]
 
 
-def test_one_way_search_direction(spark):
-    arcs = spark.createDataFrame([("m", 0, 1, 420.0), ("m", 1, 2, 100000.0), ("m", 2, 0, 100000.0)], "mode string, u long, v long, weight double")
+@pytest.mark.parametrize("tile", [5])
+def test_searches_back_from_a_goal_go_against_one_way_streets(spark, tile):
+    streets = [(u, v, p) for u, v, _, p in drawn_streets(23, 30, 55, 0.8)]
+    arcs = spark.createDataFrame([("m", u, v, w) for u, v, w in streets], "mode string, u long, v long, weight double")
+    tiles = spark.createDataFrame([(i, i // tile) for i in range(30)], "node long, tile long")
+    goals = (4, 17, 29)
+    starts = spark.createDataFrame([("m", g, g, 0.0) for g in goals], "mode string, query long, node long, cost double")
     back = arcs.select("mode", F.col("v").alias("u"), F.col("u").alias("v"), "weight")
-    tiles = spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "node long, tile long")
-    starts = spark.createDataFrame([("m", 0, 1, 0.0)], "mode string, query long, node long, cost double")
-    got = {r["node"]: r["cost"] for r in search.costs(back, starts, tiles).collect()}
-    assert got == {1: 0.0, 0: 420.0, 2: 100420.0}
+    got = {(r["query"], r["node"]): r["cost"] for r in search.costs(back, starts, tiles).collect()}
+    want = {(g, n): c for n in range(30) for g, c in plain_costs(streets, n).items() if g in goals}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    forth = {g: plain_costs(streets, g) for g in goals}
+    assert any(forth[g].get(n) != c for (g, n), c in want.items())  # the direction matters on this network
 
 
-def test_normalised_scores(spark):
-    def of(values):
-        df = spark.createDataFrame([(v,) for v in values], "v double")
+def test_normalised_scores_follow_their_formula(spark):
+    draw = random.Random(5)
+    for size in (1, 2, 9):
+        values = [draw.choice((-3.0, 0.0, draw.uniform(0, 5000))) for _ in range(size)]
         top = max(values)
-        return [r[0] for r in df.select(projects.normalised(F.col("v"), F.lit(top))).collect()]
-
-    assert of([0.0, 25.0]) == [0.0, 1.0] and of([7.0]) == [1.0] and of([0.0, 0.0]) == [0.0, 0.0]
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got = [r[0] for r in df.select(projects.normalised(F.col("v"), F.lit(top))).collect()]
+        want = [math.log1p(max(0.0, v)) / math.log1p(top) if top > 0 else 0.0 for v in values]
+        assert got == pytest.approx(want)
