@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions.geo import state_plane
+from kerbline.sources import png
 
 FEATURES = "features array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
 
@@ -75,48 +76,6 @@ def newest(spark: SparkSession, bundled: str, remote: str | None, built: str = "
     return there if b is not None and (a is None or str(b) > str(a)) else here
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """Height x width x channels of an 8-bit PNG without interlace and palette."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("not a PNG")
-    at, body, shape = 8, [], None
-    while at < len(data):
-        size, kind = struct.unpack(">I4s", data[at : at + 8])
-        chunk = data[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
-            width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", chunk)
-            if depth != 8 or interlace or colour not in (0, 2, 4, 6):
-                raise ValueError("PNG kind not supported")
-            shape = (height, width, {0: 1, 2: 3, 4: 2, 6: 4}[colour])
-        elif kind == b"IDAT":
-            body.append(chunk)
-        at += 12 + size
-    height, width, n = shape
-    rows = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, width * n + 1)
-    out = np.zeros((height, width * n), np.uint8)
-    above = np.zeros(width * n, np.uint8)
-    for y in range(height):
-        kind, line = rows[y, 0], rows[y, 1:]
-        if kind == 0:
-            out[y] = line
-        elif kind == 1:
-            out[y] = np.add.accumulate(line.reshape(width, n), axis=0, dtype=np.uint8).reshape(-1)
-        elif kind == 2:
-            out[y] = line + above
-        else:
-            done = out[y]
-            for x in range(width * n):
-                left, up, corner = int(done[x - n]) if x >= n else 0, int(above[x]), int(above[x - n]) if x >= n else 0
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-                done[x] = (int(line[x]) + guess) & 255
-        above = out[y]
-    return out.reshape(height, width, n)
-
-
 def pixels(spark: SparkSession, path: str, pattern: str = r"(\d+)/(\d+)\.png$") -> DataFrame:
     """tile_x, tile_y, px, py, r, g, b of PNG tiles named .../x/y.png. Unreadable files have no pixels."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", pattern, 1).cast("long").alias("tile_x"), F.regexp_extract("path", pattern, 2).cast("long").alias("tile_y"), "content")
@@ -125,11 +84,11 @@ def pixels(spark: SparkSession, path: str, pattern: str = r"(\d+)/(\d+)\.png$")
         for batch in batches:
             for x, y, content in batch.itertuples(index=False):
                 try:
-                    image = decode_png(bytes(content))[:, :, :3].astype("int32")
+                    image = png.rgb(bytes(content)).astype("int32")
                 except (ValueError, zlib.error, struct.error):
                     continue
                 py, px = np.divmod(np.arange(image.shape[0] * image.shape[1]), image.shape[1])
-                flat = image.reshape(-1, image.shape[2])
-                yield pd.DataFrame({"tile_x": x, "tile_y": y, "px": px.astype("int32"), "py": py.astype("int32"), "r": flat[:, 0], "g": flat[:, min(1, flat.shape[1] - 1)], "b": flat[:, min(2, flat.shape[1] - 1)]})
+                flat = image.reshape(-1, 3)
+                yield pd.DataFrame({"tile_x": x, "tile_y": y, "px": px.astype("int32"), "py": py.astype("int32"), "r": flat[:, 0], "g": flat[:, 1], "b": flat[:, 2]})
 
     return files.mapInPandas(decode, "tile_x long, tile_y long, px int, py int, r int, g int, b int")

@@ -4,40 +4,45 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.sources import snapshots
+
 LOG = "name string, state string, n_features long, error string"
 
 
 def landed(spark: SparkSession, path: str) -> bool:
-    """Whether a layer has been written whole; any file system that Spark reads will do."""
-    try:
-        spark.read.parquet(path).schema
-    except PySparkException:
-        return False
-    return True
+    """Whether a layer has a version that counts, which is written whole before it does; any file system that Spark reads will do."""
+    return snapshots.current(spark, path) is not None
+
 
+def layer(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The rows of a layer as last fetched whole."""
+    return snapshots.read_table(spark, f"{folder.rstrip('/')}/{name}")
 
-def fetch_all(spark: SparkSession, jobs: dict[str, Callable[[], DataFrame]], folder: str, refresh: bool = False) -> DataFrame:
+
+def fetch_all(spark: SparkSession, jobs: dict[str, Callable[[], DataFrame]], folder: str, refresh: bool = False, at_once: int = 4) -> DataFrame:
     """One row for each job: cached, fetched (and how many features) or failed (and why).
 
-    A job gives a DataFrame, whose pages are read in parallel; each layer replaces its old one in a single commit, so a
-    failed or repeated run leaves no half layer. The jobs are few: only names and counts pass the driver.
+    A job gives a DataFrame, whose pages are read in parallel; `at_once` jobs run side by side. A layer is written beside its old
+    version and takes its place in one step, so a failed refresh keeps what was there. The jobs are few: only names and counts
+    pass the driver.
     """
-    log = []
-    for name, job in jobs.items():
+
+    def run(name: str) -> tuple:
         path = f"{folder.rstrip('/')}/{name}"
         if not refresh and landed(spark, path):
-            log.append((name, "cached", None, None))
-            continue
+            return name, "cached", None, None
         try:
-            job().write.mode("overwrite").parquet(path)
-            log.append((name, "fetched", spark.read.parquet(path).count(), None))
+            return name, "fetched", snapshots.write_table(jobs[name](), path), None
         except Exception as error:  # a source may fail in any way; the others still run
-            log.append((name, "failed", None, str(error).splitlines()[0][:500] if str(error) else type(error).__name__))
+            return name, "failed", None, str(error).splitlines()[0][:500] if str(error) else type(error).__name__
+
+    with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+        log = list(pool.map(run, jobs))
     return spark.createDataFrame(log, LOG)
 
 

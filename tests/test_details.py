@@ -28,7 +28,7 @@ def test_jobs_go_on_after_failures_and_skip_what_is_there(spark, tmp_path):
     first = [tuple(r) for r in jobs.fetch_all(spark, {"a": layer(3), "b": broken, "c": layer(5)}, folder).collect()]
     assert first == [("a", "fetched", 3, None), ("b", "failed", None, "no route"), ("c", "fetched", 5, None)]
     again = jobs.fetch_all(spark, {"a": layer(4), "b": layer(2), "c": layer(5)}, folder)
-    assert [r["state"] for r in again.collect()] == ["cached", "fetched", "cached"] and calls == [3, 5, 2]
+    assert [r["state"] for r in again.collect()] == ["cached", "fetched", "cached"] and sorted(calls) == [2, 3, 5]
     assert jobs.fetch_all(spark, {"a": layer(4)}, folder, refresh=True).first()["n_features"] == 4
     assert json.loads(jobs.provenance(again, "x").first()["value"])["name"] == "b"
     assert [jobs.newest_stamp(t) for t in ('{"format": 4}', '{"format": "4"}', '{"format": 4.0}', '{"format": true}', "[]", "{", "{}")] == [4, 0, 0, 0, 0, 0, 0]

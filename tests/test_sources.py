@@ -8,6 +8,7 @@ import pytest
 
 from kerbline.operators import ingest
 from kerbline.sources import connectors, files, sinks
+from kerbline.sources.png import decode
 
 LAYER = [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [-71.1, 42.4]}, "properties": {"OBJECTID": i, "TOWN": "A" if i % 2 else "B"}} for i in range(2345)]
 
@@ -108,7 +109,7 @@ def png(image):
 
 def test_tiles_of_pixels(spark, tmp_path):
     image = np.random.default_rng(0).integers(0, 256, (6, 5, 3), dtype=np.uint8)
-    assert (files.decode_png(png(image)) == image).all()
+    assert (decode(png(image)) == image).all()
     (tmp_path / "7").mkdir()
     (tmp_path / "7" / "9.png").write_bytes(png(image))
     (tmp_path / "7" / "8.png").write_bytes(b"broken")
