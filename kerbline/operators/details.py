@@ -106,8 +106,9 @@ def trip_whatif(edges: DataFrame, trips: DataFrame, tiles: DataFrame, upgraded:
     then = edges.withColumns({"mode": F.lit("built"), "weight": profile_weight(profile, upgraded=upgraded), "built": upgraded})
     arcs = cut(now.unionByName(then).select("mode", "u", "v", "k", "weight", "length", "cls", "built"))
     modes = F.explode(F.array(F.lit("now"), F.lit("built"))).alias("mode")
-    found = search.costs(arcs, trips.select(modes, F.col("trip").alias("query"), F.col("source").alias("node"), num(0).alias("cost")), tiles)
-    legs = search.path_edges(search.paths(found, trips.select(modes, F.col("trip").alias("query"), F.col("target").alias("node"))), arcs)
+    goals = trips.select(modes, F.col("trip").alias("query"), F.col("target").alias("node"))
+    found = search.costs(arcs, trips.select(modes, F.col("trip").alias("query"), F.col("source").alias("node"), num(0).alias("cost")), tiles, targets=goals)
+    legs = search.path_edges(search.paths(found, goals), arcs)
     safe = F.col("built") | F.col("cls").isin("path", "separated", "buffered")
     per = legs.groupBy("query").pivot("mode", ["now", "built"]).agg(F.sum("length").alias("m"), F.sum(F.when(safe, F.col("length")).otherwise(num(0))).alias("p"), F.count_if("built").alias("n"))
     share = lambda m: text.half_up(F.col(f"{m}_p") * 100 / F.col(f"{m}_m"))

@@ -3,103 +3,196 @@
 Every node belongs to one tile. In a round each tile settles, for every query that reached it, all it
 can reach inside the tile with a heap, from its arcs and the costs known so far; offers to nodes of other
 tiles are shuffled and start the next round, in which only the tiles and queries that got offers take part.
-So a query needs as many rounds as tiles it crosses, not as many as streets; no task ever holds more than
-one tile's arcs and a bounded share of its queries, and all queries of a batch share each round. Costs do not decrease
-along an arc. A network that fits one tile is settled in one round.
+A task reads a tile's arcs once and streams the queries past them, one at a time, so it holds one tile and one query whatever their
+number is. A tile's arcs are dealt to as many tasks as keep the cluster busy, not to more for more queries.
+Where a query names its targets, it stops at the dearest of them. Costs do not decrease along an arc. A network that fits one tile is settled in one round.
+
+For networks of many tiles there is an overlay: the exact costs from every node where a tile is entered to every node where the next one is. It
+is made once, rounds then are joins on these border nodes alone, and each query opens each tile only once, at the end.
 """
 
 from __future__ import annotations
 
 import heapq
 import itertools
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.functions.geo import num
 from kerbline.plans.lineage import cut
 
 _STATE = "tile long, mode string, bucket int, query long, node long, cost double, prev long, role int"
-_COLUMNS = [c.split()[0] for c in _STATE.split(", ")]
-#: Roles of rows: an offered cost, a settled one, and the price (cost, as a factor) of the street node - prev for one query.
-OFFER, SETTLED, PRICE = 0, 1, 2
-#: Queries that a task settles in a tile at most, on average; more are dealt out by hash.
-QUERIES = 8
-
-
-def _settle(arcs: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-    """One tile, mode and bucket of queries: settled costs and offers in; all costs, and offers to other tiles, out."""
-    if state.empty:
-        return pd.DataFrame({c: [] for c in _COLUMNS})
-    out_of: dict[int, list] = {}
-    for u, v, w, home in zip(arcs["u"].tolist(), arcs["v"].tolist(), arcs["weight"].tolist(), arcs["to_tile"].tolist()):
-        out_of.setdefault(u, []).append((v, w, home))
-    tile, mode, bucket = state["tile"].iloc[0], state["mode"].iloc[0], state["bucket"].iloc[0]
-    rows = []
-    for query, part in state.groupby("query", sort=True):
-        best, prev, heap, offers, prices = {}, {}, [], {}, {}
-        limit = float(part["budget"].iloc[0])
-        part = part.sort_values("role", ascending=False)  # prices, settled costs, then offers
-        for node, cost, before, role in zip(part["node"].tolist(), part["cost"].tolist(), part["prev"].tolist(), part["role"].tolist()):
-            if role == PRICE:
-                prices[node, before] = cost
-            elif node not in best or (cost, before) < (best[node], prev[node]):
-                if role == OFFER and (node not in best or cost < best[node]):
-                    heap.append((cost, node))
-                best[node], prev[node] = cost, before
-        heapq.heapify(heap)
-        while heap:
-            cost, u = heapq.heappop(heap)
-            if cost > best[u]:
+_ARROW = pa.schema([("tile", pa.int64()), ("mode", pa.string()), ("bucket", pa.int32()), ("query", pa.int64()), ("node", pa.int64()), ("cost", pa.float64()), ("prev", pa.int64()), ("role", pa.int32())])
+_COLUMNS = _ARROW.names
+#: Roles of rows: an offered cost, a settled one, the price (cost, as a factor) of the street node - prev for one query, a node that
+#: the query wants to reach (cost: how many it wants), and an arc of the tile (node - prev at a cost; query: the tile it leads to).
+OFFER, SETTLED, PRICE, TARGET, ARC = 0, 1, 2, 3, 4
+
+
+def _settled(tile: int, out_of: dict, rows: list[tuple], limit: float) -> tuple[dict, dict, dict]:
+    """One query in one tile; rows: (role, node, cost, prev), prices, targets and settled costs before offers. Gives the
+    cost of each node, the node before it, and offers to other tiles."""
+    best: dict[int, float] = {}
+    prev: dict[int, int] = {}
+    heap, offers, prices, wanted, all_here = [], {}, {}, set(), False
+    for role, node, cost, before in rows:
+        if role == PRICE:
+            prices[node, before] = cost
+        elif role == TARGET:
+            wanted.add(node)
+            all_here = len(wanted) == cost
+        elif node not in best or (cost, before) < (best[node], prev[node]):
+            if role == OFFER and (node not in best or cost < best[node]):
+                heap.append((cost, node))
+            best[node], prev[node] = cost, before
+    heapq.heapify(heap)
+    open_ = wanted if all_here else None
+    while heap:
+        cost, u = heapq.heappop(heap)
+        if cost > best[u]:
+            continue
+        if cost > limit:
+            break
+        if open_ is not None and u in open_:
+            open_.discard(u)
+            if not open_:
+                limit = min(limit, cost)
+        for v, w, home in out_of.get(u, ()):
+            total = cost + (w * prices.get((u, v), 1.0) if prices else w)
+            if total > limit:
                 continue
-            for v, w, home in out_of.get(u, ()):
-                total = cost + (w * prices.get((u, v), 1.0) if prices else w)
-                if total > limit:
+            if home != tile:
+                if v not in offers or (total, u) < offers[v][:2]:
+                    offers[v] = (total, u, home)
+            elif v not in best or total < best[v]:
+                best[v], prev[v] = total, u
+                heapq.heappush(heap, (total, v))
+            elif total == best[v] and u < prev[v]:
+                prev[v] = u
+    return {n: c for n, c in best.items() if c <= limit}, prev, offers
+
+
+def _settle(limit_of_all: float, with_offers: bool = True):
+    """Rows sorted by tile, mode, bucket, arcs first, then query and role -> settled costs and offers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, out_of, asked, rows, limit = None, {}, None, [], limit_of_all
+        out: list[tuple] = []
+
+        def flush() -> None:
+            nonlocal rows
+            if asked is None or not any(r[0] == OFFER for r in rows):
+                rows = []
+                return
+            tile, mode, bucket = place
+            best, prev, offers = _settled(tile, out_of, rows, limit)
+            out.extend((tile, mode, bucket, asked, n, c, prev[n], SETTLED) for n, c in best.items())
+            if with_offers:
+                out.extend((home, mode, bucket, asked, v, c, u, OFFER) for v, (c, u, home) in offers.items())
+            rows = []
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for tile, mode, bucket, query, node, cost, prev, role, bound in zip(*(c.to_pylist() for c in batch.columns)):
+                if (tile, mode, bucket) != place:
+                    flush()
+                    place, out_of, asked = (tile, mode, bucket), {}, None
+                if role == ARC:
+                    out_of.setdefault(node, []).append((prev, cost, query))
                     continue
-                if home != tile:
-                    if v not in offers or (total, u) < offers[v][:2]:
-                        offers[v] = (total, u, home)
-                elif v not in best or total < best[v]:
-                    best[v], prev[v] = total, u
-                    heapq.heappush(heap, (total, v))
-                elif total == best[v] and u < prev[v]:
-                    prev[v] = u
-        rows += [(tile, mode, bucket, query, n, c, prev[n], SETTLED) for n, c in best.items()]
-        rows += [(home, mode, bucket, query, v, c, u, OFFER) for v, (c, u, home) in offers.items()]
-    return pd.DataFrame(rows, columns=_COLUMNS)
-
-
-def costs(arcs: DataFrame, starts: DataFrame, tiles: DataFrame, budget: float | None = None, most_rounds: int | None = None, prices: DataFrame | None = None) -> DataFrame:
+                if query != asked:
+                    flush()
+                    asked, limit = query, limit_of_all if bound is None else min(bound, limit_of_all)
+                rows.append((role, node, cost, prev))
+            if len(out) > 50_000:
+                yield made()
+        flush()
+        if out:
+            yield made()
+
+    return run
+
+
+def _home(tiles: DataFrame) -> DataFrame:
+    return cut(tiles.select("node", F.col("tile").cast("bigint").alias("tile")))
+
+
+def _placed(arcs: DataFrame, home: DataFrame) -> DataFrame:
+    """tile, mode, u, v, weight, to_tile of the cheapest arc between each two nodes."""
+    least = arcs.groupBy("mode", "u", "v").agg(F.min("weight").alias("weight"))
+    placed = least.join(home.withColumnsRenamed({"node": "u", "tile": "tile"}), "u").join(home.withColumnsRenamed({"node": "v", "tile": "to_tile"}), "v")
+    return cut(placed.select("tile", "mode", "u", "v", "weight", "to_tile"))
+
+
+def _worked(placed: DataFrame, work: DataFrame, limit: float, with_offers: bool = True) -> DataFrame:
+    """What the tiles of `work` (_COLUMNS and bound) make of it, beside their arcs."""
+    key = ["tile", "mode", "bucket"]
+    busy = work.where(F.col("role") == OFFER).select(*key).distinct()
+    inside = placed if with_offers else placed.where("tile = to_tile")
+    streets = inside.join(busy, ["tile", "mode"]).select(*key, F.col("to_tile").alias("query"), F.col("u").alias("node"), F.col("weight").alias("cost"), F.col("v").alias("prev"), F.lit(ARC).alias("role"), F.lit(None).cast("double").alias("bound"))
+    both = streets.unionByName(work.select(*_COLUMNS, "bound"))
+    first = F.when(F.col("role") == ARC, 0).otherwise(1)
+    return both.repartition(*key).sortWithinPartitions(*key, first, "query", F.desc("role")).mapInArrow(_settle(limit, with_offers), _STATE)
+
+
+def _dealt(placed: DataFrame, asked: int) -> int:
+    """Tasks among which a tile's queries are dealt: as many as keep all cores busy, whatever the number of queries."""
+    places = placed.select("tile", "mode").distinct().count()
+    return max(1, min(asked, -(-2 * placed.sparkSession.sparkContext.defaultParallelism // max(1, places))))
+
+
+def _bounds(known: DataFrame, targets: DataFrame) -> DataFrame:
+    """mode, query, bound: the dearest of a query's targets as reached so far, null until all are reached."""
+    reached = targets.join(known.select("mode", "query", "node", "cost"), ["mode", "query", "node"], "left")
+    return reached.groupBy("mode", "query").agg(F.when(F.count("*") == F.count("cost"), F.max("cost")).alias("bound"))
+
+
+def costs(arcs: DataFrame, starts: DataFrame, tiles: DataFrame, budget: float | None = None, most_rounds: int | None = None, prices: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
     """mode, query, node, cost, prev of every node reached.
 
     arcs: mode, u, v, weight. starts: mode, query, node, cost. tiles: node, tile. prices: mode, query, u, v, factor of
-    streets that cost one query more or less than the others. prev is the node before on a
+    streets that cost one query more or less than the others. targets: mode, query, node; nodes dearer than a query's dearest target may then be
+    missing. prev is the node before on a
     cheapest path, the least of equals, and null at a start. Rounds go on until nothing is left to settle; where
     most_rounds is given and met before, this is an error.
     """
-    home = cut(tiles.select("node", F.col("tile").cast("bigint").alias("tile")))
-    least = arcs.groupBy("mode", "u", "v").agg(F.min("weight").alias("weight"))
-    placed = least.join(home.withColumnsRenamed({"node": "u", "tile": "tile"}), "u").join(home.withColumnsRenamed({"node": "v", "tile": "to_tile"}), "v")
-    placed = cut(placed.select("tile", "mode", "u", "v", "weight", "to_tile"))
+    home = _home(tiles)
+    placed = _placed(arcs, home)
     asked = starts.groupBy("mode").agg(F.count_distinct("query").alias("n")).agg(F.max("n")).first()[0] or 0
-    dealt = F.pmod(F.xxhash64("query"), F.lit(-(-asked // QUERIES) or 1)).cast("int").alias("bucket")
+    buckets = _dealt(placed, asked)
+    dealt = F.pmod(F.xxhash64("query"), F.lit(buckets)).cast("int").alias("bucket")
     first = starts.groupBy("mode", "query", "node").agg(F.min("cost").alias("cost"))
     front = cut(first.join(home, "node").select("tile", "mode", dealt, "query", "node", "cost", F.lit(-1).cast("bigint").alias("prev"), F.lit(OFFER).alias("role")))
     known = front.limit(0)
+    beside = None
     if prices is not None:
         own = prices.join(home.withColumnRenamed("node", "u"), "u")
-        prices = cut(own.select("tile", "mode", dealt, "query", F.col("u").alias("node"), F.col("factor").alias("cost"), F.col("v").alias("prev"), F.lit(PRICE).alias("role")))
+        beside = cut(own.select("tile", "mode", dealt, "query", F.col("u").alias("node"), F.col("factor").alias("cost"), F.col("v").alias("prev"), F.lit(PRICE).alias("role")))
+    if targets is not None:
+        targets = cut(targets.select("mode", "query", "node").distinct())
+        wanted = targets.withColumn("cost", F.count("*").over(Window.partitionBy("mode", "query")).cast("double")).join(home, "node")
+        wanted = cut(wanted.select("tile", "mode", dealt, "query", "node", "cost", F.lit(-1).cast("bigint").alias("prev"), F.lit(TARGET).alias("role")))
+        beside = wanted if beside is None else beside.unionByName(wanted)
     key = ["tile", "mode", "bucket"]
+    limit = float("inf") if budget is None else float(budget)
     for done in itertools.count():
         if front.isEmpty():
             break
         if done == most_rounds:
             raise RuntimeError(f"nodes are left to settle after {done} rounds")
         busy = front.select(*key, "query").distinct()
-        again = known if prices is None else known.unionByName(prices)
-        work = front.unionByName(again.join(busy, [*key, "query"], "left_semi")).withColumn("budget", F.lit(float("inf") if budget is None else float(budget)))
-        streets = placed.join(front.select(*(F.col(c).alias(c) for c in key)).distinct(), ["tile", "mode"]).select(*(F.col(c).alias(c) for c in (*key, "u", "v", "weight", "to_tile")))
-        made = cut(streets.groupBy(*key).cogroup(work.groupBy(*key)).applyInPandas(_settle, _STATE))
+        again = known if beside is None else known.unionByName(beside)
+        work = front if done == 0 and beside is None else front.unionByName(again.join(busy, [*key, "query"], "left_semi"))
+        work = work.withColumn("bound", F.lit(None).cast("double")) if targets is None or done == 0 else work.join(_bounds(known, targets), ["mode", "query"], "left")
+        made = cut(_worked(placed, work, limit))
         rest = known.join(busy, [*key, "query"], "left_anti")
         known = made.where(F.col("role") == SETTLED)
         known = known if done == 0 else cut(rest.unionByName(known))
@@ -107,6 +200,62 @@ def costs(arcs: DataFrame, starts: DataFrame, tiles: DataFrame, budget: float |
     return known.select("mode", "query", "node", "cost", F.when(F.col("prev") >= 0, F.col("prev")).alias("prev"))
 
 
+@dataclass
+class Overlay:
+    """A network cut into tiles: home (node, tile), placed arcs, and hops (mode, entry, next, via, cost): the exact cost from a node where a
+    tile is entered to one where the next tile is, the last street from `via`."""
+
+    home: DataFrame
+    placed: DataFrame
+    hops: DataFrame
+
+
+def overlay(arcs: DataFrame, tiles: DataFrame) -> Overlay:
+    """Made once for a network; a search of all a tile's entries stays inside the tile, so tiles should be of some thousand nodes."""
+    home = _home(tiles)
+    placed = _placed(arcs, home)
+    crossing = placed.where("tile <> to_tile")
+    entries = crossing.select(F.col("to_tile").alias("tile"), "mode", F.col("v").alias("node")).distinct()
+    buckets = _dealt(placed, 1 << 30)
+    spread = F.pmod(F.xxhash64("node"), F.lit(buckets)).cast("int").alias("bucket")
+    work = entries.select("tile", "mode", spread, F.col("node").alias("query"), "node", num(0).alias("cost"), F.lit(-1).cast("bigint").alias("prev"), F.lit(OFFER).alias("role"), F.lit(None).cast("double").alias("bound"))
+    offers = _worked(placed, work, float("inf")).where(F.col("role") == OFFER)
+    hops = offers.select("mode", F.col("query").alias("entry"), F.col("node").alias("next"), F.col("prev").alias("via"), "cost")
+    return Overlay(home, placed, cut(hops))
+
+
+def overlay_costs(over: Overlay, starts: DataFrame, budget: float | None = None) -> DataFrame:
+    """mode, query, node, cost, prev of every node reached, as by `costs`.
+
+    The starts' tiles are opened, rounds of joins then carry costs from border to border until none falls, and at the end every tile that a
+    query entered is opened once for it. What is shuffled of the streets does not depend on the number of queries.
+    """
+    limit = float("inf") if budget is None else float(budget)
+    asked = starts.groupBy("mode").agg(F.count_distinct("query").alias("n")).agg(F.max("n")).first()[0] or 0
+    buckets = _dealt(over.placed, asked)
+    dealt = F.pmod(F.xxhash64("query"), F.lit(buckets)).cast("int").alias("bucket")
+
+    def work(rows: DataFrame) -> DataFrame:
+        return rows.join(over.home, "node").select("tile", "mode", dealt, "query", "node", "cost", "prev", F.lit(OFFER).alias("role"), F.lit(None).cast("double").alias("bound"))
+
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("mode", "query", "node").agg(F.min(F.struct("cost", "prev")).alias("b")).select("mode", "query", "node", "b.cost", "b.prev")
+
+    first = cut(starts.groupBy("mode", "query", "node").agg(F.min("cost").alias("cost")).withColumn("prev", F.lit(-1).cast("bigint")))
+    opened = _worked(over.placed, work(first), limit).where(F.col("role") == OFFER)
+    known = front = cut(least(opened.select("mode", "query", "node", "cost", "prev")))
+    while not front.isEmpty():
+        onward = front.withColumnRenamed("node", "entry").select("mode", "query", "entry", F.col("cost").alias("so_far")).join(over.hops, ["mode", "entry"])
+        offers = least(onward.select("mode", "query", F.col("next").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost"), F.col("via").alias("prev")).where(F.col("cost") <= limit))
+        before = known.select("mode", "query", "node", F.col("cost").alias("had"), F.col("prev").alias("had_prev"))
+        both = cut(offers.join(before, ["mode", "query", "node"], "full"))
+        front = both.where("cost < had OR had IS NULL").select("mode", "query", "node", "cost", "prev")
+        better = F.coalesce((F.col("cost") < F.col("had")) | ((F.col("cost") == F.col("had")) & (F.col("prev") < F.col("had_prev"))), F.col("had").isNull())
+        known = both.select("mode", "query", "node", F.when(better, F.col("cost")).otherwise(F.col("had")).alias("cost"), F.when(better, F.col("prev")).otherwise(F.col("had_prev")).alias("prev"))
+    found = cut(_worked(over.placed, work(least(first.unionByName(known))), limit, with_offers=False))
+    return found.select("mode", "query", "node", "cost", F.when(F.col("prev") >= 0, F.col("prev")).alias("prev"))
+
+
 def paths(found: DataFrame, targets: DataFrame) -> DataFrame:
     """mode, query, seq (0 at the start), node: the nodes of the cheapest path to each target (mode, query, node).
 

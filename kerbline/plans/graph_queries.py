@@ -159,7 +159,7 @@ def tiles_of(spark, folder: str, side: int | None = None) -> DataFrame:
     if side is None:
         nodes = grid.table(spark, folder, "part").count()
         side = MOST_SIDE if nodes <= ONE_TILE else min(max(grid.WIDTH, math.isqrt(nodes)), MOST_SIDE)
-    return grid.nodes(spark, folder).select(F.col("id").alias("node"), (F.floor(F.col("cy") / side) * 1000 + F.floor(F.col("cx") / side)).cast("bigint").alias("tile"))
+    return grid.nodes(spark, folder).select(F.col("id").alias("node"), (F.floor(F.col("cy") / side) * (1 << 32) + F.floor(F.col("cx") / side)).cast("bigint").alias("tile"))
 
 
 def arcs(spark, folder: str, mode: str = "kids", weight=None) -> DataFrame:
@@ -167,12 +167,14 @@ def arcs(spark, folder: str, mode: str = "kids", weight=None) -> DataFrame:
 
 
 _SP = f"""{_WEIGHED}, arc AS (SELECT u, v, min(weight) AS weight FROM w GROUP BY 1, 2),
-sp(q, node, d) USING KEY (q, node) AS (SELECT q, (q * 377) % (SELECT count(*) FROM node), 0.0::DOUBLE FROM range(3) r(q) UNION SELECT s.q, a.v, min(s.d + a.weight) FROM sp s JOIN arc a ON a.u = s.node LEFT JOIN recurring.sp r ON r.q = s.q AND r.node = a.v WHERE r.d IS NULL OR s.d + a.weight < r.d GROUP BY 1, 2)"""
+sp(q, node, d) USING KEY (q, node) AS (SELECT n_nationkey::BIGINT, (n_nationkey * 377)::BIGINT % (SELECT count(*) FROM node), 0.0::DOUBLE FROM nation UNION SELECT s.q, a.v, min(s.d + a.weight) FROM sp s JOIN arc a ON a.u = s.node LEFT JOIN recurring.sp r ON r.q = s.q AND r.node = a.v WHERE r.d IS NULL OR s.d + a.weight < r.d GROUP BY 1, 2)"""
 
 
-def _starts(spark, folder: str, n: int = 3, mode: str = "kids") -> DataFrame:
+def _starts(spark, folder: str, mode: str = "kids") -> DataFrame:
+    """A start for every nation."""
     total = grid.table(spark, folder, "part").count()
-    return spark.range(n).select(F.lit(mode).alias("mode"), F.col("id").alias("query"), (F.col("id") * 377 % total).alias("node"), num(0).alias("cost"))
+    key = F.col("n_nationkey").cast("bigint")
+    return grid.table(spark, folder, "nation").select(F.lit(mode).alias("mode"), key.alias("query"), (key * 377 % total).alias("node"), num(0).alias("cost"))
 
 
 def _from_starts(spark, folder: str, budget: float | None = None) -> DataFrame:
@@ -191,6 +193,13 @@ def shortest_path_small_tiles(spark, folder):
     return found.select("query", "node", F.round("cost", 3).alias("cost"))
 
 
+@query("shortest_path_overlay", grid.sql(f", {_SP} SELECT q AS query, node, round(d, 3) AS cost FROM sp", recursive=True))
+def shortest_path_overlay(spark, folder):
+    """The same costs over an overlay of border nodes, each tile of 10 x 10 nodes opened once for a query."""
+    over = search.overlay(arcs(spark, folder), tiles_of(spark, folder, 10))
+    return search.overlay_costs(over, _starts(spark, folder)).select("query", "node", F.round("cost", 3).alias("cost"))
+
+
 _REACH = f"{_SP}, out_ AS (SELECT q, w.u, w.v, w.k, w.length FROM sp JOIN w ON w.u = sp.node WHERE sp.d + w.weight <= 1500)"
 
 
