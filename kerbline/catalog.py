@@ -6,7 +6,7 @@ from importlib import import_module
 
 from kerbline.plans import registry
 
-_MODULES: tuple[str, ...] = ("network_queries", "spatial_queries", "graph_queries", "route_queries", "ride_queries", "feature_queries", "detail_queries", "imagery_queries")
+_MODULES: tuple[str, ...] = ("network_queries", "spatial_queries", "graph_queries", "route_queries", "ride_queries", "feature_queries", "detail_queries", "imagery_queries", "sql_queries")
 
 
 def _load() -> None:

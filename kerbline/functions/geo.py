@@ -106,6 +106,22 @@ def length_midpoint(line: Column) -> Column:
     return F.when(F.size(line) < 2, line[0]).otherwise(F.coalesce(F.aggregate(spans, start, step, lambda s: s["at"]), last))
 
 
+def plane_midpoint(line: Column) -> Column:
+    """The point halfway along a line (array of struct x, y in metres), null for an empty one."""
+    following = F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0)))
+    spans = F.zip_with(F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))), following, lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("m")))
+    half = F.aggregate(spans, num(0), lambda t, p: t + p["m"]) / 2
+
+    def step(state: Column, p: Column) -> Column:
+        share = F.when(p["m"] > 0, (half - state["run"]) / p["m"]).otherwise(num(0))
+        here = F.struct((p["a"]["x"] + (p["b"]["x"] - p["a"]["x"]) * share).alias("x"), (p["a"]["y"] + (p["b"]["y"] - p["a"]["y"]) * share).alias("y"))
+        hit = state["at"].isNull() & (state["run"] + p["m"] >= half)
+        return F.struct((state["run"] + p["m"]).alias("run"), F.when(hit, here).otherwise(state["at"]).alias("at"))
+
+    start = F.struct(num(0).alias("run"), F.lit(None).cast("struct<x:double,y:double>").alias("at"))
+    return F.when(F.size(line) > 0, F.coalesce(F.aggregate(spans, start, step, lambda s: s["at"]), F.struct(line[0]["x"].alias("x"), line[0]["y"].alias("y"))))
+
+
 def cell(value: Column, origin: float, step: float) -> Column:
     """Floor, never cast: coordinates may be negative."""
     return F.floor((value - num(origin)) / num(step)).cast("bigint")

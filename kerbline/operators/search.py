@@ -181,8 +181,14 @@ def costs(arcs: DataFrame, starts: DataFrame, tiles: DataFrame, budget: float |
         wanted = targets.withColumn("cost", F.count("*").over(Window.partitionBy("mode", "query")).cast("double")).join(home, "node")
         wanted = cut(wanted.select("tile", "mode", dealt, "query", "node", "cost", F.lit(-1).cast("bigint").alias("prev"), F.lit(TARGET).alias("role")))
         beside = wanted if beside is None else beside.unionByName(wanted)
+    return _rounds(placed, front, known, beside, targets, budget, most_rounds)
+
+
+def _rounds(placed: DataFrame, front: DataFrame, known: DataFrame, beside: DataFrame | None = None, targets: DataFrame | None = None, budget: float | None = None, most_rounds: int | None = None) -> DataFrame:
+    """Settles the offers of front, and what follows from them, beside the settled rows of known."""
     key = ["tile", "mode", "bucket"]
     limit = float("inf") if budget is None else float(budget)
+    fresh = beside is None and known.isEmpty()
     for done in itertools.count():
         if front.isEmpty():
             break
@@ -190,16 +196,55 @@ def costs(arcs: DataFrame, starts: DataFrame, tiles: DataFrame, budget: float |
             raise RuntimeError(f"nodes are left to settle after {done} rounds")
         busy = front.select(*key, "query").distinct()
         again = known if beside is None else known.unionByName(beside)
-        work = front if done == 0 and beside is None else front.unionByName(again.join(busy, [*key, "query"], "left_semi"))
+        work = front if done == 0 and fresh else front.unionByName(again.join(busy, [*key, "query"], "left_semi"))
         work = work.withColumn("bound", F.lit(None).cast("double")) if targets is None or done == 0 else work.join(_bounds(known, targets), ["mode", "query"], "left")
         made = cut(_worked(placed, work, limit))
         rest = known.join(busy, [*key, "query"], "left_anti")
         known = made.where(F.col("role") == SETTLED)
-        known = known if done == 0 else cut(rest.unionByName(known))
+        known = known if done == 0 and fresh else cut(rest.unionByName(known))
         front = made.where(F.col("role") == OFFER)
     return known.select("mode", "query", "node", "cost", F.when(F.col("prev") >= 0, F.col("prev")).alias("prev"))
 
 
+def repaired(found: DataFrame, before: DataFrame, after: DataFrame, tiles: DataFrame) -> DataFrame:
+    """What `costs` would find with the arcs `after`, from what it found (all nodes, without budget) with the arcs `before`.
+
+    Where a street of a query's tree is dearer now or gone, the subtree that hangs on it is cut; cut nodes get offers from the nodes around them
+    that stay, and streets that are cheaper or new make offers of their own. Only tiles with offers are opened; the rest of every tree stays.
+    """
+    least = lambda arcs, name: arcs.groupBy("mode", "u", "v").agg(F.min("weight").alias(name))
+    changed = least(before, "old").join(least(after, "new"), ["mode", "u", "v"], "full").where("NOT old <=> new")
+    changed = cut(changed)
+    raised = changed.where("new IS NULL OR new > old").select("mode", F.col("u").alias("prev"), F.col("v").alias("node"))
+    broken = cut(found.join(raised, ["mode", "prev", "node"], "left_semi").select("mode", "query", "node"))
+    if broken.isEmpty():
+        gone = broken
+    else:  # every node points twice as far up its tree each round, and learns whether a broken node lies on the way
+        trees = found.join(broken.select("mode", "query").distinct(), ["mode", "query"], "left_semi").select("mode", "query", "node", F.col("prev").alias("up"))
+        trees = cut(trees.join(broken.withColumn("cut", F.lit(True)), ["mode", "query", "node"], "left").withColumn("cut", F.coalesce("cut", F.lit(False))))
+        while not trees.where("up IS NOT NULL AND NOT cut").isEmpty():
+            above = trees.select("mode", "query", F.col("node").alias("up"), F.col("up").alias("further"), F.col("cut").alias("cut_above"))
+            trees = trees.join(above, ["mode", "query", "up"], "left").select("mode", "query", "node", F.col("further").alias("up"), (F.col("cut") | F.coalesce("cut_above", F.lit(False))).alias("cut"))
+            trees = cut(trees)
+        gone = cut(trees.where("cut").select("mode", "query", "node"))
+    stay = cut(found.join(gone, ["mode", "query", "node"], "left_anti"))
+    home = _home(tiles)
+    placed = _placed(after, home)
+    arcs = placed.select("mode", "u", "v", "weight")
+    rim = gone.withColumnRenamed("node", "v").join(arcs, ["mode", "v"])
+    rim = rim.join(stay.select("mode", "query", F.col("node").alias("u"), F.col("cost").alias("so_far")), ["mode", "query", "u"]).select("mode", "query", F.col("v").alias("node"), (F.col("so_far") + F.col("weight")).alias("cost"), F.col("u").alias("prev"))
+    cheaper = changed.where("old IS NULL OR new < old").select("mode", "u", "v", F.col("new").alias("weight"))
+    news = stay.select("mode", "query", F.col("node").alias("u"), F.col("cost").alias("so_far")).join(cheaper, ["mode", "u"]).select("mode", "query", F.col("v").alias("node"), (F.col("so_far") + F.col("weight")).alias("cost"), F.col("u").alias("prev"))
+    had = stay.select("mode", "query", "node", F.col("cost").alias("had"), F.coalesce("prev", F.lit(-1)).alias("had_prev"))
+    news = news.join(had, ["mode", "query", "node"], "left").where("had IS NULL OR cost < had OR (cost = had AND prev < had_prev)").select("mode", "query", "node", "cost", "prev")
+    offers = rim.unionByName(news).groupBy("mode", "query", "node").agg(F.min(F.struct("cost", "prev")).alias("b")).select("mode", "query", "node", "b.cost", "b.prev")
+    offers = cut(offers)
+    asked = found.groupBy("mode").agg(F.count_distinct("query").alias("n")).agg(F.max("n")).first()[0] or 0
+    dealt = F.pmod(F.xxhash64("query"), F.lit(_dealt(placed, asked))).cast("int").alias("bucket")
+    rows = lambda part, role: part.join(home, "node").select("tile", "mode", dealt, "query", "node", "cost", F.coalesce("prev", F.lit(-1)).alias("prev"), F.lit(role).alias("role"))
+    return _rounds(placed, cut(rows(offers, OFFER)), cut(rows(stay, SETTLED)))
+
+
 @dataclass
 class Overlay:
     """A network cut into tiles: home (node, tile), placed arcs, and hops (mode, entry, next, via, cost): the exact cost from a node where a

@@ -20,12 +20,63 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
     return F.sequence(F.floor(lo / size).cast("bigint"), F.floor(hi / size).cast("bigint"))
 
 
+def supercover(segments: DataFrame, radius: float, size: float) -> DataFrame:
+    """segments (ax, ay, bx, by) with a row for each cell (_cx, _cy) that any point within the radius may lie in.
+
+    Cells are taken column by column, only over the stretch of the segment that comes near the column, so their number grows with
+    the segment's length and not with the area of its box.
+    """
+    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+    rows = segments.withColumn("_cx", F.explode(_cells(F.least(ax, bx) - radius, F.greatest(ax, bx) + radius, size)))
+    dx = F.nullif(bx - ax, num(0))
+    edges = ((F.col("_cx") * size - radius - ax) / dx, ((F.col("_cx") + 1) * size + radius - ax) / dx)
+    t0 = F.greatest(num(0), F.least(num(1), F.coalesce(F.least(*edges), num(0))))
+    t1 = F.greatest(num(0), F.least(num(1), F.coalesce(F.greatest(*edges), num(1))))
+    y0, y1 = ay + t0 * (by - ay), ay + t1 * (by - ay)
+    return rows.withColumn("_cy", F.explode(_cells(F.least(y0, y1) - radius, F.greatest(y0, y1) + radius, size)))
+
+
+def line_segments(lines: DataFrame, line: str = "line") -> DataFrame:
+    """A row for each straight part of a line (an array of x, y): the other columns, ax, ay, bx, by. A line of one point is one part without length."""
+    points = F.col(line)
+    parts = F.when(F.size(points) == 1, F.array(F.struct(points[0].alias("a"), points[0].alias("b")))).otherwise(F.zip_with(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    rest = [c for c in lines.columns if c != line]
+    each = lines.where(F.size(points) > 0).select(*rest, F.explode(parts).alias("_s"))
+    return each.select(*rest, *(F.col(f"_s.{end}.{axis}").alias(end + axis) for end in "ab" for axis in "xy"))
+
+
+def points_near_lines(points: DataFrame, lines: DataFrame, key: list[str], line_key: str, radius: float) -> DataFrame:
+    """The columns of key, line_key and d2 (the least) of every point (x, y) and line (line_key, line) within the radius, each pair once."""
+    parts = line_segments(lines.select(line_key, "line"))
+    return points_near_segments(points.select(*key, "x", "y"), parts, radius).groupBy(*key, line_key).agg(F.min("d2").alias("d2"))
+
+
+def match_lines(edges: DataFrame, lines: DataFrame, radius: float = dims.FACILITY_RADIUS_M, max_angle: float = dims.FACILITY_MAX_ANGLE) -> DataFrame:
+    """u, v, k, cls, facility_id as by match_overlay, of streets and facilities that bend: edges (u, v, k, is_pathlike, line) and lines
+    (facility_id, cls, line), lines being arrays of (x, y).
+
+    A facility is met from any of its cells. Bearings are those of the short chords about the street's middle and about the facility's point next to it.
+    """
+    mid = edges.select("u", "v", "k", "is_pathlike", "line", geo.plane_midpoint(F.col("line")).alias("m")).select("*", F.col("m.x").alias("x"), F.col("m.y").alias("y"))
+    mid = mid.select("u", "v", "k", "is_pathlike", "x", "y", geo.chord_bearing(F.col("line"), F.col("x"), F.col("y")).alias("bearing")).where("x IS NOT NULL")
+    near = points_near_lines(mid, lines, ["u", "v", "k"], "facility_id", radius)
+    met = near.join(mid, ["u", "v", "k"]).join(lines.select("facility_id", F.col("cls").alias("facility"), "line"), "facility_id")
+    angle = geo.undirected_difference(F.col("bearing"), geo.chord_bearing(F.col("line"), F.col("x"), F.col("y")))
+    fit = met.where((angle <= max_angle) & ((F.col("facility") != "path") | F.col("is_pathlike")))
+    best = fit.groupBy("u", "v", "k").agg(F.min(F.struct("d2", "facility_id", "facility")).alias("b"))
+    return best.select("u", "v", "k", F.col("b.facility").alias("cls"), F.col("b.facility_id").alias("facility_id"))
+
+
+def nearest_line(points: DataFrame, lines: DataFrame, key: str, line_key: str, limit: float) -> DataFrame:
+    """key, line_key, d2 of the line nearest to each point within the limit, the least key of equals."""
+    near = points_near_lines(points, lines, [key], line_key, limit)
+    return near.groupBy(key).agg(F.min(F.struct("d2", line_key)).alias("b")).select(key, f"b.{line_key}", "b.d2")
+
+
 def points_near_segments(points: DataFrame, segments: DataFrame, radius: float, size: float | None = None) -> DataFrame:
     """All pairs of a point (x, y) and a segment (ax, ay, bx, by) within the radius, with the squared distance d2."""
     size = size or max(4 * radius, 100.0)
-    lo = lambda a, b: F.least(a, b) - radius
-    hi = lambda a, b: F.greatest(a, b) + radius
-    s = segments.withColumn("_cx", F.explode(_cells(lo(F.col("ax"), F.col("bx")), hi(F.col("ax"), F.col("bx")), size))).withColumn("_cy", F.explode(_cells(lo(F.col("ay"), F.col("by")), hi(F.col("ay"), F.col("by")), size)))
+    s = supercover(segments, radius, size)
     p = points.withColumn("_cx", F.floor(F.col("x") / size).cast("bigint")).withColumn("_cy", F.floor(F.col("y") / size).cast("bigint"))
     d2 = geo.segment_distance2(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     return p.join(s, ["_cx", "_cy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop("_cx", "_cy")

@@ -200,6 +200,22 @@ def shortest_path_overlay(spark, folder):
     return search.overlay_costs(over, _starts(spark, folder)).select("query", "node", F.round("cost", 3).alias("cost"))
 
 
+#: Streets of a brand and service roads are closed to through rides, paths are made cheaper: prices of a what-if that falls and rises.
+_RECOST = "weight * CASE WHEN cls = 'service' THEN 4.0::DOUBLE WHEN cls = 'path' THEN 0.5::DOUBLE WHEN cls = 'quiet_street' AND (u + v) % 5 = 0 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END"
+
+
+@query("recost_repair", grid.sql(f""", {_WEIGHED}, arc AS (SELECT u, v, min({_RECOST}) AS weight FROM w GROUP BY 1, 2),
+sp(q, node, d) USING KEY (q, node) AS (SELECT n_nationkey::BIGINT, (n_nationkey * 377)::BIGINT % (SELECT count(*) FROM node), 0.0::DOUBLE FROM nation UNION SELECT s.q, a.v, min(s.d + a.weight) FROM sp s JOIN arc a ON a.u = s.node LEFT JOIN recurring.sp r ON r.q = s.q AND r.node = a.v WHERE r.d IS NULL OR s.d + a.weight < r.d GROUP BY 1, 2)
+SELECT q AS query, node, round(d, 3) AS cost FROM sp""", recursive=True))
+def recost_repair(spark, folder):
+    """Costs after some streets have become dearer and some cheaper, from the trees of the search before."""
+    before = cut(arcs(spark, folder))
+    factor = F.when(F.col("cls") == "service", num(4)).when(F.col("cls") == "path", num(0.5)).when((F.col("cls") == "quiet_street") & ((F.col("u") + F.col("v")) % 5 == 0), num(3)).otherwise(num(1))
+    tiles = tiles_of(spark, folder)
+    found = search.costs(before, _starts(spark, folder), tiles)
+    return search.repaired(found, before, before.withColumn("weight", F.col("weight") * factor), tiles).select("query", "node", F.round("cost", 3).alias("cost"))
+
+
 _REACH = f"{_SP}, out_ AS (SELECT q, w.u, w.v, w.k, w.length FROM sp JOIN w ON w.u = sp.node WHERE sp.d + w.weight <= 1500)"
 
 

@@ -52,6 +52,29 @@ def overlay_match(spark, folder):
     return matched(spark, folder)
 
 
+#: Facilities that run east and then turn north, as long as two streets each way.
+_BENT = """bent AS (SELECT s_suppkey AS facility_id, (['separated', 'buffered', 'lane', 'sharrow', 'path'])[s_nationkey % 5 + 1] AS fcls, ((s_suppkey * 131 % 36) * 98 + s_suppkey % 25)::DOUBLE AS x0, ((s_suppkey * 57 % 46) * 100 + s_suppkey % 23)::DOUBLE AS y0, 190.0::DOUBLE AS a, 195.0::DOUBLE AS b FROM supplier),
+pair AS (SELECT e.u, e.v, e.k, e.cls, e.ax = e.bx AS upright, f.*, (e.ax + e.bx) / 2 - x0 AS px, (e.ay + e.by_) / 2 - y0 AS py FROM pedge e JOIN bent f ON (e.ax + e.bx) / 2 BETWEEN x0 - 18 AND x0 + a + 18 AND (e.ay + e.by_) / 2 BETWEEN y0 - 18 AND y0 + b + 18 WHERE fcls <> 'path' OR e.cls = 'path'),
+foot AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, px / a)) AS t, greatest(0.0::DOUBLE, least(1.0::DOUBLE, py / b)) AS s FROM pair),
+far AS (SELECT *, pow(t * a - px, 2) + pow(py, 2) AS d1, pow(a - px, 2) + pow(s * b - py, 2) AS d2 FROM foot), place AS (SELECT *, least(d1, d2) AS d, CASE WHEN d1 < d2 OR (d1 = d2 AND t * a <= a + s * b) THEN t * a ELSE a + s * b END AS along FROM far),
+chord AS (SELECT *, greatest(0.0::DOUBLE, along - 6) AS m, least(a + b, along + 6) AS n FROM place WHERE least(d1, d2) <= 324),
+turned AS (SELECT *, ((degrees(atan2(greatest(n - a, 0) - greatest(m - a, 0), least(n, a) - least(m, a))) % 180) + 180) % 180 AS bearing FROM chord),
+fit AS (SELECT * FROM turned WHERE least(abs(bearing - CASE WHEN upright THEN 90 ELSE 0 END) % 180, 180 - abs(bearing - CASE WHEN upright THEN 90 ELSE 0 END) % 180) <= 30)"""
+
+
+@query("overlay_match_bent", grid.sql(f", {_BENT.replace('place AS (', 'placed AS (').replace('FROM place WHERE', 'FROM placed WHERE')} SELECT u, v, k, fcls AS cls, facility_id FROM (SELECT *, row_number() OVER (PARTITION BY u, v, k ORDER BY d, facility_id) AS rn FROM fit) WHERE rn = 1"))
+def overlay_match_bent(spark, folder):
+    """Facilities that bend, matched to streets by the chords about their nearest points."""
+    s = grid.table(spark, folder, "supplier")
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    k = F.col("s_suppkey")
+    x, y = (k * 131 % 36 * 98 + k % 25).cast("double"), (k * 57 % 46 * 100 + k % 23).cast("double")
+    cls = F.element_at(F.array(*map(F.lit, ("separated", "buffered", "lane", "sharrow", "path"))), (F.col("s_nationkey") % 5 + 1).cast("int"))
+    bent = s.select(k.alias("facility_id"), cls.alias("cls"), F.array(at(x, y), at(x + 190, y), at(x + 190, y + 195)).alias("line"))
+    streets = grid.placed_edges(spark, folder).select("u", "v", "k", (F.col("cls") == "path").alias("is_pathlike"), F.array(at(F.col("ax"), F.col("ay")), at(F.col("bx"), F.col("by"))).alias("line"))
+    return spatial.match_lines(streets, bent)
+
+
 @query("overlay_fold", grid.sql(f", {_MATCH} SELECT e.u, e.v, e.k, CASE WHEN b.fcls IS NULL OR m.kids <= x.kids THEN e.cls ELSE b.fcls END AS cls, CASE WHEN b.fcls IS NULL OR m.kids <= x.kids THEN 'osm' ELSE 'boston' END AS cls_source FROM edge e JOIN mult m ON m.cls = e.cls LEFT JOIN best b ON b.u = e.u AND b.v = e.v AND b.k = e.k LEFT JOIN mult x ON x.cls = b.fcls"))
 def overlay_fold(spark, folder):
     e = grid.edges(spark, folder).join(matched(spark, folder).withColumnRenamed("cls", "overlay"), ["u", "v", "k"], "left")
