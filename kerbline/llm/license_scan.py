@@ -4,7 +4,8 @@ A text's units are its lines, its paragraphs (parted by empty lines) and the who
 normalised (lower case, runs of anything but letters, digits and . + - to single spaces, full stops at ends of words
 dropped) and becomes its set of word bigrams. It matches the template with the highest
 2 * common / (sum of sizes) if that is at least THRESHOLD; sizes bound it beforehand: the smaller
-set must have at least THRESHOLD / (2 - THRESHOLD) of the larger one's bigrams. Licences that share their best template
+set must have at least THRESHOLD / (2 - THRESHOLD) of the larger one's bigrams. The unit must also name the template's version and
+qualifiers (such as lesser or noncommercial), all of them and no others, and must not deny the licence ("not licensed"). Licences that share their best template
 word for word are all named ("a or b"), unless other units of the text settle which of them it is.
 
 Most units are pruned exactly before any bigram is made: for each template some words are chosen so that the
@@ -18,6 +19,7 @@ same answer; other columns are ignored; null ids stay null; an empty table gives
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from fractions import Fraction
 
@@ -61,26 +63,32 @@ _APACHE = (
 _GRANT = "This {work} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{mark} either version {version} of the License, or (at your option) any later version."
 _HOPE = "This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details."
 
-#: (license, text): its notices, paragraphs and whole body. A paragraph that several licences share is listed for each.
+#: The words and the code of each Creative Commons licence, and what its versions are called.
+_CC = (("Attribution", "BY"), ("Attribution-ShareAlike", "BY-SA"), ("Attribution-NonCommercial", "BY-NC"), ("Attribution-NoDerivatives", "BY-ND"), ("Attribution-NonCommercial-ShareAlike", "BY-NC-SA"), ("Attribution-NonCommercial-NoDerivatives", "BY-NC-ND"))
+_CC_VERSIONS = (("3.0", "Unported"), ("4.0", "International"))
+
+#: (license, text): its notices, paragraphs and, for short licences, the whole body. A paragraph that several licences share is listed for each.
 TEMPLATES = (
+    ("0bsd", _ISC[0].partition(", provided")[0]),
     ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License version 3."),
     ("agpl-3.0", _GRANT.format(work="program", stop=":", kind="Affero ", mark=",", version="3")),
     ("agpl-3.0", _HOPE.format(work="program", kind="Affero ")),
     ("all-rights-reserved", "All rights reserved."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    *((f"apache-{v}", f"Licensed under the Apache License, Version {v}.") for v in ("1.0", "1.1", "2.0")),
     ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     *(("apache-2.0", text) for text in (*_APACHE, " ".join((_APACHE[0], "http://www.apache.org/licenses/LICENSE-2.0", _APACHE[1])))),
     *((name, text) for name in ("bsd-2-clause", "bsd-3-clause") for text in (*_BSD, "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.")),
     ("bsd-2-clause", " ".join(_BSD)),
     ("bsd-3-clause", _BSD_THIRD),
     ("bsd-3-clause", " ".join((*_BSD[:3], _BSD_THIRD, _BSD[3]))),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-4.0", "Licensed under CC BY 4.0."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
-    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    *((f"cc-{code.lower()}-{v}", text) for words, code in _CC for v, kind in _CC_VERSIONS for text in (f"Licensed under CC {code} {v}.", f"This work is licensed under a Creative Commons {words} {v} {kind} License.")),
     ("cc0-1.0", "To the extent possible under law, the author has dedicated all copyright and related rights to this work to the public domain worldwide."),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("epl-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("gpl-1.0", "This work is licensed under the GNU General Public License, version 1."),
+    ("gpl-1.0", _GRANT.format(work="program", stop=";", kind="", mark=";", version="1")),
     ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("gpl-2.0", _GRANT.format(work="program", stop=";", kind="", mark=";", version="2")),
     ("gpl-2.0", _HOPE.format(work="program", kind="")),
@@ -90,6 +98,7 @@ TEMPLATES = (
     ("isc", _ISC[0]),
     ("isc", _ISC[1]),
     ("isc", " ".join(_ISC)),
+    ("lgpl-2.0", _GRANT.format(work="library", stop=";", kind="Library ", mark=";", version="2")),
     ("lgpl-2.1", _GRANT.format(work="library", stop=";", kind="Lesser ", mark=";", version="2.1")),
     ("lgpl-2.1", _HOPE.format(work="library", kind="Lesser ")),
     ("lgpl-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
@@ -99,22 +108,40 @@ TEMPLATES = (
     ("mit", "Licensed under the MIT License."),
     ("mit", _MIT[0].partition(", and to permit")[0]),
     *(("mit", text) for text in (*_MIT, " ".join(_MIT))),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mpl-1.1", 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/'),
+    *((f"mpl-{v}", f"This Source Code Form is subject to the terms of the Mozilla Public License, v. {v}.") for v in ("1.0", "1.1", "2.0")),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     *(("unlicense", text) for text in (*_UNLICENSE, " ".join(_UNLICENSE))),
     *(("zlib", text) for text in (*_ZLIB, " ".join(_ZLIB))),
 )
 
+#: Words that a version's number follows, words that tell licences of one family apart, and what a negation turns round.
+_BEFORE_VERSION = tuple("version v license by by-sa by-nc by-nd by-nc-sa by-nc-nd attribution attribution-sharealike attribution-noncommercial attribution-noderivatives attribution-noncommercial-sharealike attribution-noncommercial-noderivatives noderivatives sharealike noncommercial by-noderivatives by-sharealike by-noncommercial by-noderivs gpl lgpl agpl mpl apache".split())
+_QUALIFIERS = tuple("affero lesser library sharealike noncommercial noderivatives noderivs sa nc nd".split())
+_NEGATED = tuple(f"{no} {what}" for no in ("not", "never", "longer", "t") for what in "licensed released governed subject under covered available granted free dedicated".split())
+_VERSION, _V_VERSION = r"^[0-9]+([.][0-9]+)*$", r"^v[0-9]+([.][0-9]+)*$"
+
 _DROPPED = "[^\\p{L}\\p{N}.+-]+"
 
 
-def _plain_bigrams(text: str) -> list[str]:
-    """Bigrams of a template; the same rules as `bigrams`, for the few template texts."""
+def _plain_words(text: str) -> list[str]:
+    """Words of a template; the same rules as `words_of_unit`, for the few template texts."""
     kept = "".join(c if c.isalnum() or c in ".+-" else " " for c in text.lower())
-    words = [w for w in (w.rstrip(".") for w in kept.split()) if w]
+    return [w for w in (w.rstrip(".") for w in kept.split()) if w]
+
+
+def _plain_bigrams(text: str) -> list[str]:
+    words = _plain_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def _plain_marks(text: str) -> list[str]:
+    """What tells a template from others of its family, as by `marks_of`."""
+    words = _plain_words(text)
+    numbers = [b for a, b in zip(words, words[1:]) if a in _BEFORE_VERSION and re.match(_VERSION, b)] + [w[1:] for w in words if re.match(_V_VERSION, w)]
+    return sorted({re.sub(r"([.]0)+$", "", n) for n in numbers} | {p for w in words for p in w.split("-") if p in _QUALIFIERS})
+
+
 def least_common(size: int, threshold: Fraction = THRESHOLD) -> int:
     """Bigrams that any matching unit shares with a template of this size."""
     share = threshold / (2 - threshold) * size
@@ -153,12 +180,22 @@ def bigrams(unit: Column) -> Column:
     return _let(words_of_unit(unit), lambda w: F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(pairs(w)))
 
 
+def marks_of(w: Column) -> Column:
+    """The versions (a closing .0 aside) and the qualifiers among a unit's words, sorted."""
+    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.when(a.isin(*_BEFORE_VERSION) & b.rlike(_VERSION), b))
+    named = F.transform(F.filter(w, lambda x: x.rlike(_V_VERSION)), lambda x: F.substr(x, F.lit(2)))
+    numbers = F.transform(F.concat(F.array_compact(pairs), named), lambda x: F.regexp_replace(x, "([.]0)+$", ""))
+    return F.array_sort(F.array_distinct(F.concat(numbers, F.array_intersect(F.flatten(F.transform(w, lambda x: F.split(x, "-"))), F.array(*map(F.lit, _QUALIFIERS))))))
+
+
 def matches(text: Column, templates=TEMPLATES, threshold: Fraction = THRESHOLD) -> Column:
     """array<struct<unit, license, dice>>: the licences of the best template of every unit that matches one."""
     up, down = threshold.numerator, threshold.denominator
-    sized = [(name, _plain_bigrams(t)) for name, t in templates]
-    known = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(len(b)).alias("size"), F.array(*map(F.lit, b)).alias("bigrams")) for name, b in sized))
-    low, high = min(len(b) for _, b in sized), max(len(b) for _, b in sized)
+    sized = [(name, _plain_bigrams(t), _plain_marks(t)) for name, t in templates]
+    strings = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    known = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(len(b)).alias("size"), strings(b).alias("bigrams"), strings(m).alias("marks")) for name, b, m in sized))
+    denials = strings(_NEGATED)
+    low, high = min(len(b) for _, b, _ in sized), max(len(b) for _, b, _ in sized)
     wanted = covering_words(templates, threshold)
 
     def maybe(unit: Column) -> Column:
@@ -169,9 +206,12 @@ def matches(text: Column, templates=TEMPLATES, threshold: Fraction = THRESHOLD)
 
     def best(unit: Column) -> Column:
         def scored(own: Column) -> Column:
-            fit = F.filter(known, lambda t: (t["size"] * (2 * down - up) >= F.size(own) * up) & (F.size(own) * (2 * down - up) >= t["size"] * up))
-            dice = F.transform(fit, lambda t: F.struct((2.0 * F.size(F.array_intersect(own, t["bigrams"])) / (F.size(own) + t["size"])).alias("dice"), t["license"].alias("license")))
-            return F.when((F.size(own) * (2 * down - up) >= low * up) & (F.size(own) * up <= high * (2 * down - up)), dice)
+            def of(marks: Column) -> Column:
+                fit = F.filter(known, lambda t: (t["size"] * (2 * down - up) >= F.size(own) * up) & (F.size(own) * (2 * down - up) >= t["size"] * up) & (t["marks"] == marks))
+                return F.transform(fit, lambda t: F.struct((2.0 * F.size(F.array_intersect(own, t["bigrams"])) / (F.size(own) + t["size"])).alias("dice"), t["license"].alias("license")))
+
+            sized = (F.size(own) * (2 * down - up) >= low * up) & (F.size(own) * up <= high * (2 * down - up))
+            return F.when(sized & ~F.arrays_overlap(own, denials), _let(_let(words_of_unit(unit), marks_of), of))
 
         def top(dice: Column) -> Column:
             most = F.array_max(dice)["dice"]
@@ -215,13 +255,16 @@ def op5_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     text = lambda s: "'" + s.replace("'", "''") + "'"
-    listed = ", ".join(f"({i}, {text(name)}, [{', '.join(map(text, _plain_bigrams(t)))}])" for i, (name, t) in enumerate(TEMPLATES))
+    listed_words = lambda words: "[" + ", ".join(map(text, words)) + "]"
+    listed = ", ".join(f"({i}, {text(name)}, [{', '.join(map(text, _plain_bigrams(t)))}], [{', '.join(map(text, _plain_marks(t)))}]::VARCHAR[])" for i, (name, t) in enumerate(TEMPLATES))
     return rf"""
-WITH templates(k, license, grams) AS (VALUES {listed}),
+WITH templates(k, license, grams, marks) AS (VALUES {listed}),
 units AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '\n[ \t\r]*\n'), [text])) AS unit FROM documents WHERE text IS NOT NULL),
 words AS (SELECT doc_id, unit, list_filter(list_transform(string_split(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}.+-]+', ' ', 'g'), ' '), lambda x: rtrim(x, '.')), lambda x: x <> '') AS w FROM units),
-grams AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) >= 2),
-scored AS (SELECT doc_id, unit, license, 2.0 * len(list_intersect(g, t.grams)) / (len(g) + len(t.grams)) AS dice FROM grams, templates t WHERE len(g) * 1.5 >= len(t.grams) AND len(t.grams) * 1.5 >= len(g)),
+grams AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g,
+  list_sort(list_distinct(list_concat(list_transform(list_concat(list_transform(list_filter(range(2, len(w) + 1), lambda i: list_contains({listed_words(_BEFORE_VERSION)}, w[i - 1]) AND regexp_matches(w[i], '{_VERSION}')), lambda i: w[i]), list_transform(list_filter(w, lambda x: regexp_matches(x, '{_V_VERSION}')), lambda x: x[2:])), lambda x: regexp_replace(x, '([.]0)+$', '')),
+    list_intersect(flatten(list_transform(w, lambda x: string_split(x, '-'))), {listed_words(_QUALIFIERS)})))) AS marks FROM words WHERE len(w) >= 2),
+scored AS (SELECT doc_id, unit, license, 2.0 * len(list_intersect(g, t.grams)) / (len(g) + len(t.grams)) AS dice FROM grams, templates t WHERE t.marks = grams.marks AND NOT list_has_any(g, {listed_words(_NEGATED)}) AND len(g) * 1.5 >= len(t.grams) AND len(t.grams) * 1.5 >= len(g)),
 best AS (SELECT doc_id, unit, list_sort(list_distinct(list(license))) AS names, max(dice) AS dice FROM (SELECT * FROM scored WHERE dice >= 0.8 QUALIFY dice = max(dice) OVER (PARTITION BY doc_id, unit)) GROUP BY doc_id, unit),
 decided AS (SELECT doc_id, list_distinct(list(names[1])) AS sure FROM best WHERE len(names) = 1 GROUP BY doc_id),
 settled AS (SELECT doc_id, array_to_string(CASE WHEN len(names) > 1 AND len(list_intersect(names, sure)) > 0 THEN list_sort(list_intersect(names, sure)) ELSE names END, ' or ') AS license, dice FROM best LEFT JOIN decided USING (doc_id)),
