@@ -5,18 +5,21 @@ Given routes are staircases over the derived network, one for each supplier.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline import dims
 from kerbline.functions.geo import num
-from kerbline.operators import routes, trips
+from kerbline.operators import cells, routes, trips
 from kerbline.operators.weights import profile_weight
 from kerbline.plans import grid
 from kerbline.plans.graph_queries import tiles_of
-from kerbline.plans.lineage import cut
+from kerbline.plans.lineage import cut, scratch
 from kerbline.plans.network_queries import _WEIGHED, weighed
 from kerbline.plans.registry import query
+from kerbline.sources import tile_store
 
 _LEG = f"""{_WEIGHED}, step AS (SELECT s_suppkey AS route_id, i AS seq, (s_suppkey * 7 % 30) + i - i // 3 AS cx, (s_suppkey % 5) + i // 3 AS cy FROM supplier, unnest(range(25)) r(i)),
 stepn AS (SELECT route_id, seq, cy * 40 + cx AS node FROM step WHERE cx < 40),
@@ -273,3 +276,18 @@ def whatif_reach(spark, folder):
     km = trips.reach_km(cut(arcs), hubs, tiles_of(spark, folder), dims.ACCESS_BUDGET_M)
     each = km.groupBy(F.col("query").alias("centre")).agg(F.max(F.when(F.col("mode") == "now", F.col("km"))).alias("a"), F.max(F.when(F.col("mode") == "built", F.col("km"))).alias("b")).where("b IS NOT NULL")
     return each.select("centre", F.round("a", 3).alias("km_now"), F.round("b", 3).alias("km_built"), F.round(F.col("b") - F.coalesce("a", num(0)), 3).alias("gained"))
+
+
+@query("tile_store_corridor", grid.sql(f""", {_OD}, key AS (SELECT floor((lon + 73.6::DOUBLE) / 0.02::DOUBLE)::BIGINT AS tile_col, floor((lat - 41.1::DOUBLE) / 0.02::DOUBLE)::BIGINT AS tile_row, trip % 2 = 0 AND id = source AS had FROM od JOIN node ON id IN (source, target) WHERE source <> target),
+tiled AS (SELECT e.u, e.v, floor(((a.lon + b.lon) / 2 + 73.6::DOUBLE) / 0.02::DOUBLE)::BIGINT AS tile_col, floor(((a.lat + b.lat) / 2 - 41.1::DOUBLE) / 0.02::DOUBLE)::BIGINT AS tile_row FROM edge e JOIN node a ON a.id = e.u JOIN node b ON b.id = e.v)
+SELECT tile_col, tile_row, count(*) AS n_edges, sum(u)::BIGINT AS id_sum FROM tiled SEMI JOIN key USING (tile_col, tile_row) ANTI JOIN (SELECT * FROM key WHERE had) USING (tile_col, tile_row) GROUP BY 1, 2"""))
+def tile_store_corridor(spark, folder):
+    """What is read of a tile store for the ends of all trips, if the tiles where every second trip starts are loaded already."""
+    at = scratch(spark, f"tiles-{uuid.uuid4().hex}")
+    tile_store.write(cells.assign_tiles(grid.edges(spark, folder), grid.nodes(spark, folder)), at)
+    nodes = grid.nodes(spark, folder).select("id", "lon", "lat")
+    ends = _trips(spark, folder).select("trip", F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(True).alias("first")), F.struct(F.col("target").alias("id"), F.lit(False).alias("first")))).alias("e")).select("trip", "e.id", "e.first")
+    points = ends.join(nodes, "id")
+    loaded = cells.corridor_keys(points.where("first AND trip % 2 = 0").select("lon", "lat"), margin=0)
+    new = tile_store.along(spark, at, points.select("lon", "lat"), margin=0, loaded=loaded)
+    return new.groupBy(F.col("tile_col").cast("bigint").alias("tile_col"), F.col("tile_row").cast("bigint").alias("tile_row")).agg(F.count("*").alias("n_edges"), F.sum("u").alias("id_sum"))
