@@ -166,6 +166,25 @@ def stream_ride_events(spark, folder):
     return out.select("ride_id", "seq", "place", "event", "value")
 
 
+HALFWAY = 12  # fixes of each ride that a stream has seen when it is stopped
+
+
+@query("rides_in_progress", grid.sql(f", {_STATE} SELECT ride_id, max(seq) AS seq, round(arg_max(banked + CASE WHEN base IS NULL THEN 0 ELSE top - base END, seq), 3) AS total_m, count(*) FILTER (ok) AS n_fixes FROM st WHERE seq <= {HALFWAY} GROUP BY 1", recursive=True))
+def rides_in_progress(spark, folder):
+    """The rides that a stream holds which was stopped after the first fixes of each."""
+    at = scratch(spark, f"rides-{uuid.uuid4().hex}")
+    grid.fixes(spark, folder).drop("event_id").where(F.col("seq") <= HALFWAY).write.parquet(f"{at}/fixes")
+    source = spark.readStream.schema(spark.read.parquet(f"{at}/fixes").schema).parquet(f"{at}/fixes")
+    rides.stream_summaries(source).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).format("noop").start().awaitTermination()
+    return rides.in_progress(spark, f"{at}/state").select("ride_id", "seq", F.round("total_m", 3).alias("total_m"), "n_fixes")
+
+
+@query("ride_watcher", grid.sql(f", kept(ride_id, seq, lon, lat, pass) AS (SELECT ride_id, seq, lon, lat, true FROM fix WHERE seq = 1 UNION ALL SELECT n.ride_id, n.seq, CASE WHEN d >= 3 THEN n.lon ELSE k.lon END, CASE WHEN d >= 3 THEN n.lat ELSE k.lat END, d >= 3 FROM (SELECT k.ride_id, k.seq, k.lon, k.lat, n.lon AS nlon, {_D.format('n', 'k')} AS d FROM kept k JOIN fix n ON n.ride_id = k.ride_id AND n.seq = k.seq + 1) k JOIN fix n ON n.ride_id = k.ride_id AND n.seq = k.seq + 1) SELECT ride_id, seq FROM kept WHERE pass", recursive=True))
+def ride_watcher(spark, folder):
+    """The fixes that lie at least 3 m from the last one passed on."""
+    return rides.moved_fixes(grid.fixes(spark, folder))
+
+
 @query("hazards_newest", grid.sql(" SELECT crash_id AS id, row_number() OVER (PARTITION BY year ORDER BY crash_id DESC) AS place FROM crash"))
 def hazards_newest(spark, folder):
     order = Window.partitionBy("year").orderBy(F.desc("crash_id"))

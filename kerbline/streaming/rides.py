@@ -14,13 +14,13 @@ from collections.abc import Iterator
 from dataclasses import asdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kerbline.functions.geo import mean_lat_distance, num
 from kerbline.functions.text import half_up
-from kerbline.streaming.ride_state import IDLE_S, MIN_STEP_M, MOVING_M_S, Ride, advance, summary
+from kerbline.streaming.ride_state import IDLE_S, MIN_STEP_M, MOVING_M_S, Ride, advance, metres, summary
 
 FIELDS = ("t_s", "lon", "lat", "accuracy", "speed", "heading", "along_m", "off_m", "cls", "route_m")
 MARKS = ("turns", "hazards")
@@ -146,6 +146,35 @@ def stream_events(fixes: DataFrame, late: str = "10 minutes") -> DataFrame:
     return _streamed(fixes, emit, EVENTS, "append", late)
 
 
+_HELD = "start double, last_t double, base double, top double, banked double, last_seq long, n_fixes long, stopped boolean, arrived boolean"
+
+
+def in_progress(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """ride_id, seq (its last fix), started_s, last_s, total_m, n_fixes and stopped of every ride that a stream holds, read from the state
+    that it left in its checkpoint. The stream may be stopped, by whatever cause; started again with the checkpoint it takes these rides up."""
+    held = spark.read.format("statestore").load(checkpoint).select("key.ride_id", F.from_json("value.groupState.ride", _HELD).alias("r"))
+    total = F.col("r.banked") + F.coalesce(F.col("r.top") - F.col("r.base"), num(0))
+    return held.select("ride_id", F.col("r.last_seq").alias("seq"), F.col("r.start").alias("started_s"), F.col("r.last_t").alias("last_s"), total.alias("total_m"), "r.n_fixes", "r.stopped")
+
+
+def moved_fixes(fixes: DataFrame, least_m: float = MIN_STEP_M) -> DataFrame:
+    """ride_id, seq of the fixes that a watcher passes on: the first of a ride, and each that lies at least so far from the last one passed on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        for batch in batches:
+            out = []
+            for ride_id, seq, lon, lat in zip(batch["ride_id"].tolist(), batch["seq"].tolist(), batch["lon"].tolist(), batch["lat"].tolist()):
+                if ride_id != key:
+                    key, last = ride_id, None
+                if last is None or metres(last, (lon, lat)) >= least_m:
+                    last = (lon, lat)
+                    out.append((ride_id, seq))
+            yield pd.DataFrame(out, columns=["ride_id", "seq"])
+
+    return fixes.select("ride_id", "seq", "lon", "lat").repartition("ride_id").sortWithinPartitions("ride_id", "seq").mapInPandas(run, "ride_id long, seq long")
+
+
 # What needs no state beyond the fix before is a window.
 
 
