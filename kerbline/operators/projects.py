@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbline import dims
 from kerbline.functions.geo import num
+from kerbline.operators import search
 from kerbline.operators.components import components
 from kerbline.operators.weights import kid_safe
 from kerbline.plans.lineage import cut
@@ -98,38 +99,25 @@ def millionths(value: Column) -> Column:
     return F.round(value * 1e6).cast("bigint")
 
 
-def accessibility(members: DataFrame, arcs: DataFrame, base: DataFrame, people: DataFrame) -> DataFrame:
+def accessibility(members: DataFrame, arcs: DataFrame, base: DataFrame, people: DataFrame, tiles: DataFrame) -> DataFrame:
     """street, cls, run, saved (resident-metres) and gaining (residents) of every candidate, if it were built; both also
     as whole numbers (saved_e12, gaining_e6), summed exactly from millionths of residents and metres.
 
     members: street, cls, run, u, v, length. arcs: u, v, weight, one each. base: node and its cost to the
-    nearest destination now. people: id, pop. Building only lowers costs, so for each candidate only
-    the nodes that get cheaper are searched, from its own streets outwards; all candidates share each round.
+    nearest destination now. people: id, pop. tiles: node, tile. Building only lowers costs, so for each candidate only
+    the nodes that get cheaper are searched, from its own streets outwards, each candidate a query of one search in tiles.
     """
     far, budget = dims.ACCESS_BUDGET_M * dims.CLAMP, dims.ACCESS_BUDGET_M
-    cand = F.struct("street", "cls", "run").alias("cand")
-    base = cut(base.select("node", F.least("cost", num(far)).alias("now")))
-    arcs = cut(arcs.select(F.col("u").alias("x"), F.col("v").alias("node"), "weight"))
-    ways = members.select(cand, F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"), "length").select("cand", F.col("e.u").alias("x"), F.col("e.v").alias("node"), "length")
-    built = cut(ways.groupBy("cand", "x", "node").agg(F.min("length").alias("weight")).join(arcs.select("x", "node"), ["x", "node"], "left_semi").select("cand", "x", "node", "weight"))
-
-    def cheaper(offers: DataFrame) -> DataFrame:
-        best = offers.groupBy("cand", "node").agg(F.min("cost").alias("cost"))
-        return best.join(base, "node", "left").where(F.col("cost") < F.coalesce("now", num(far))).select("cand", "node", "cost")
-
-    def outwards(front: DataFrame) -> DataFrame:
-        near = front.join(arcs, "node").select("cand", F.col("x").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"))
-        own = front.join(built, ["cand", "node"]).select("cand", F.col("x").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"))
-        return cheaper(near.union(own))
-
-    front = known = cut(cheaper(built.join(base, "node").select("cand", F.col("x").alias("node"), (F.col("now") + F.col("weight")).alias("cost"))))
-    while not front.isEmpty():
-        step = outwards(front)
-        step = step.union(outwards(step))
-        best = known.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False))).groupBy("cand", "node").agg(F.min(F.struct("cost", (~F.col("old")).alias("fresh"))).alias("b"))
-        best = cut(best.select("cand", "node", "b.cost", "b.fresh"))
-        front, known = best.where("fresh").select("cand", "node", "cost"), best.select("cand", "node", "cost")
-    gain = known.join(people.select(F.col("id").alias("node"), millionths(F.col("pop")).alias("people")), "node").join(base, "node", "left").withColumn("now", F.coalesce("now", num(far)))
+    base = cut(tiles.select("node").join(base, "node", "left").select("node", F.least(F.coalesce("cost", num(far)), num(far)).alias("now")))
+    back = arcs.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")  # from destinations outwards
+    named = cut(numbered(members.select("street", "cls", "run").distinct(), [F.col("street"), F.col("cls"), F.col("run")], "n").withColumn("query", F.col("n").cast("bigint")).drop("n"))
+    ways = members.join(named, ["street", "cls", "run"]).select("query", F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"), "length").select("query", "e.u", "e.v", "length")
+    built = cut(ways.groupBy("query", "u", "v").agg(F.min("length").alias("weight")).join(back.select("u", "v"), ["u", "v"], "left_semi").select("query", "u", "v", "weight"))
+    offers = built.join(base.withColumnRenamed("node", "u"), "u").where(F.col("now") < far).select("query", F.col("v").alias("node"), (F.col("now") + F.col("weight")).alias("cost"))
+    offers = offers.join(base, "node").where(F.col("cost") < F.col("now")).select("query", "node", "cost")
+    found = search.improved(back, built, offers, base.select("node", F.col("now").alias("cost")), tiles)
+    known = found.join(named, "query").select(F.struct("street", "cls", "run").alias("cand"), "node", "cost")
+    gain = known.join(people.select(F.col("id").alias("node"), millionths(F.col("pop")).alias("people")), "node").join(base, "node")
     crossing = F.when((F.col("now") >= budget) & (F.col("cost") < budget), F.col("people")).otherwise(0)
     drop = millionths(F.col("now") - F.col("cost"))
     whole = lambda c: c.cast("decimal(19,0)")

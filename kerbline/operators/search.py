@@ -31,17 +31,24 @@ _COLUMNS = _ARROW.names
 #: Roles of rows: an offered cost, a settled one, the price (cost, as a factor) of the street node - prev for one query, a node that
 #: the query wants to reach (cost: how many it wants), and an arc of the tile (node - prev at a cost; query: the tile it leads to).
 OFFER, SETTLED, PRICE, TARGET, ARC = 0, 1, 2, 3, 4
+#: An arc's weight for one query where that is less, and a cost of a node that every query of a tile must stay below.
+OWN, CEILING = 5, 6
 
 
-def _settled(tile: int, out_of: dict, rows: list[tuple], limit: float) -> tuple[dict, dict, dict]:
+def _settled(tile: int, out_of: dict, rows: list[tuple], limit: float, ceiling: dict | None = None) -> tuple[dict, dict, dict]:
     """One query in one tile; rows: (role, node, cost, prev), prices, targets and settled costs before offers. Gives the
     cost of each node, the node before it, and offers to other tiles."""
+    own: dict[tuple[int, int], float] = {}
     best: dict[int, float] = {}
     prev: dict[int, int] = {}
     heap, offers, prices, wanted, all_here = [], {}, {}, set(), False
     for role, node, cost, before in rows:
         if role == PRICE:
             prices[node, before] = cost
+        elif role == OWN:
+            own[node, before] = cost
+        elif ceiling and cost >= ceiling.get(node, cost + 1):
+            continue
         elif role == TARGET:
             wanted.add(node)
             all_here = len(wanted) == cost
@@ -62,8 +69,10 @@ def _settled(tile: int, out_of: dict, rows: list[tuple], limit: float) -> tuple[
             if not open_:
                 limit = min(limit, cost)
         for v, w, home in out_of.get(u, ()):
+            if own and own.get((u, v), w) < w:
+                w = own[u, v]
             total = cost + (w * prices.get((u, v), 1.0) if prices else w)
-            if total > limit:
+            if total > limit or ceiling and total >= ceiling.get(v, total + 1):
                 continue
             if home != tile:
                 if v not in offers or (total, u) < offers[v][:2]:
@@ -80,7 +89,7 @@ def _settle(limit_of_all: float, with_offers: bool = True):
     """Rows sorted by tile, mode, bucket, arcs first, then query and role -> settled costs and offers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, out_of, asked, rows, limit = None, {}, None, [], limit_of_all
+        place, out_of, ceiling, asked, rows, limit = None, {}, {}, None, [], limit_of_all
         out: list[tuple] = []
 
         def flush() -> None:
@@ -89,7 +98,7 @@ def _settle(limit_of_all: float, with_offers: bool = True):
                 rows = []
                 return
             tile, mode, bucket = place
-            best, prev, offers = _settled(tile, out_of, rows, limit)
+            best, prev, offers = _settled(tile, out_of, rows, limit, ceiling)
             out.extend((tile, mode, bucket, asked, n, c, prev[n], SETTLED) for n, c in best.items())
             if with_offers:
                 out.extend((home, mode, bucket, asked, v, c, u, OFFER) for v, (c, u, home) in offers.items())
@@ -104,10 +113,13 @@ def _settle(limit_of_all: float, with_offers: bool = True):
             for tile, mode, bucket, query, node, cost, prev, role, bound in zip(*(c.to_pylist() for c in batch.columns)):
                 if (tile, mode, bucket) != place:
                     flush()
-                    place, out_of, asked = (tile, mode, bucket), {}, None
+                    place, out_of, ceiling, asked = (tile, mode, bucket), {}, {}, None
                 if role == ARC:
                     out_of.setdefault(node, []).append((prev, cost, query))
                     continue
+                if role == CEILING:
+                    ceiling[node] = cost
+                    continue
                 if query != asked:
                     flush()
                     asked, limit = query, limit_of_all if bound is None else min(bound, limit_of_all)
@@ -132,14 +144,16 @@ def _placed(arcs: DataFrame, home: DataFrame) -> DataFrame:
     return cut(placed.select("tile", "mode", "u", "v", "weight", "to_tile"))
 
 
-def _worked(placed: DataFrame, work: DataFrame, limit: float, with_offers: bool = True) -> DataFrame:
+def _worked(placed: DataFrame, work: DataFrame, limit: float, with_offers: bool = True, ceilings: DataFrame | None = None) -> DataFrame:
     """What the tiles of `work` (_COLUMNS and bound) make of it, beside their arcs."""
     key = ["tile", "mode", "bucket"]
     busy = work.where(F.col("role") == OFFER).select(*key).distinct()
     inside = placed if with_offers else placed.where("tile = to_tile")
     streets = inside.join(busy, ["tile", "mode"]).select(*key, F.col("to_tile").alias("query"), F.col("u").alias("node"), F.col("weight").alias("cost"), F.col("v").alias("prev"), F.lit(ARC).alias("role"), F.lit(None).cast("double").alias("bound"))
+    if ceilings is not None:
+        streets = streets.unionByName(ceilings.join(busy, ["tile", "mode"]).select(*key, F.lit(0).cast("bigint").alias("query"), "node", "cost", F.lit(0).cast("bigint").alias("prev"), F.lit(CEILING).alias("role"), F.lit(None).cast("double").alias("bound")))
     both = streets.unionByName(work.select(*_COLUMNS, "bound"))
-    first = F.when(F.col("role") == ARC, 0).otherwise(1)
+    first = F.when(F.col("role").isin(ARC, CEILING), 0).otherwise(1)
     return both.repartition(*key).sortWithinPartitions(*key, first, "query", F.desc("role")).mapInArrow(_settle(limit, with_offers), _STATE)
 
 
@@ -184,7 +198,7 @@ def costs(arcs: DataFrame, starts: DataFrame, tiles: DataFrame, budget: float |
     return _rounds(placed, front, known, beside, targets, budget, most_rounds)
 
 
-def _rounds(placed: DataFrame, front: DataFrame, known: DataFrame, beside: DataFrame | None = None, targets: DataFrame | None = None, budget: float | None = None, most_rounds: int | None = None) -> DataFrame:
+def _rounds(placed: DataFrame, front: DataFrame, known: DataFrame, beside: DataFrame | None = None, targets: DataFrame | None = None, budget: float | None = None, most_rounds: int | None = None, ceilings: DataFrame | None = None) -> DataFrame:
     """Settles the offers of front, and what follows from them, beside the settled rows of known."""
     key = ["tile", "mode", "bucket"]
     limit = float("inf") if budget is None else float(budget)
@@ -198,7 +212,7 @@ def _rounds(placed: DataFrame, front: DataFrame, known: DataFrame, beside: DataF
         again = known if beside is None else known.unionByName(beside)
         work = front if done == 0 and fresh else front.unionByName(again.join(busy, [*key, "query"], "left_semi"))
         work = work.withColumn("bound", F.lit(None).cast("double")) if targets is None or done == 0 else work.join(_bounds(known, targets), ["mode", "query"], "left")
-        made = cut(_worked(placed, work, limit))
+        made = cut(_worked(placed, work, limit, ceilings=ceilings))
         rest = known.join(busy, [*key, "query"], "left_anti")
         known = made.where(F.col("role") == SETTLED)
         known = known if done == 0 and fresh else cut(rest.unionByName(known))
@@ -245,6 +259,19 @@ def repaired(found: DataFrame, before: DataFrame, after: DataFrame, tiles: DataF
     return _rounds(placed, cut(rows(offers, OFFER)), cut(rows(stay, SETTLED)))
 
 
+def improved(arcs: DataFrame, own: DataFrame, offers: DataFrame, ceilings: DataFrame, tiles: DataFrame) -> DataFrame:
+    """query, node, cost of the nodes that get cheaper than the ceilings (node, cost) for each query, from its offers (query, node, cost)
+    outwards over the arcs (u, v, weight), of which some cost a query less (own: query, u, v, weight)."""
+    home = _home(tiles)
+    placed = _placed(arcs.select(F.lit("").alias("mode"), "u", "v", "weight"), home)
+    dealt = F.pmod(F.xxhash64("query"), F.lit(_dealt(placed, 1 << 30))).cast("int").alias("bucket")
+    rows = lambda part, prev, role: cut(part.join(home, "node").select("tile", F.lit("").alias("mode"), dealt, "query", "node", "cost", prev.alias("prev"), F.lit(role).alias("role")))
+    beside = rows(own.select("query", F.col("u").alias("node"), F.col("weight").alias("cost"), "v"), F.col("v"), OWN)
+    front = rows(offers.groupBy("query", "node").agg(F.min("cost").alias("cost")), F.lit(-1).cast("bigint"), OFFER)
+    high = cut(ceilings.join(home, "node").select("tile", F.lit("").alias("mode"), "node", "cost"))
+    return _rounds(placed, front, front.limit(0), beside, ceilings=high).select("query", "node", "cost")
+
+
 @dataclass
 class Overlay:
     """A network cut into tiles: home (node, tile), placed arcs, and hops (mode, entry, next, via, cost): the exact cost from a node where a

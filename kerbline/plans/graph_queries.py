@@ -94,7 +94,10 @@ def severance(spark, folder):
 
 
 def _kept(spark, folder: str) -> DataFrame:
-    rows, members = _candidates(spark, folder)
+    return _classified(spark, folder, *_candidates(spark, folder))
+
+
+def _classified(spark, folder: str, rows: DataFrame, members: DataFrame) -> DataFrame:
     ends = members.select("street", "cls", "run", F.explode(F.array("u", "v")).alias("id"))
     lights = grid.nodes(spark, folder).where("highway = 'traffic_signals'").select("id")
     return projects.classified(rows, ends.join(lights, "id", "left_semi").select("street", "cls", "run").distinct())
@@ -307,11 +310,11 @@ full0 AS (SELECT n.*, coalesce(saved_e12, 0)::HUGEINT AS saved_e12, coalesce(gai
 def _gained(spark, folder: str) -> DataFrame:
     """Candidates with what building each would save residents, and how many would gain a safe way."""
     rows, members = _candidates(spark, folder)
-    kept = cut(_kept(spark, folder))
+    kept = cut(_classified(spark, folder, rows, members))
     streets = members.join(kept.select("street", "cls", "run"), ["street", "cls", "run"], "left_semi").select("street", "cls", "run", "u", "v", "length")
     least = arcs(spark, folder).groupBy("u", "v").agg(F.min("weight").alias("weight"))
     pop = cut(spatial.share_population(grid.nodes(spark, folder), grid.blocks(spark, folder)))
-    gain = projects.accessibility(streets, least, access_costs(spark, folder), pop)
+    gain = projects.accessibility(streets, least, access_costs(spark, folder), pop, tiles_of(spark, folder))
     out = projects.measured(kept).join(gain, ["street", "cls", "run"], "left")
     return out.withColumns({"saved": F.coalesce("saved", num(0)), "gaining": F.coalesce("gaining", num(0)), "saved_e12": F.coalesce("saved_e12", F.lit(0).cast("decimal(38,0)")), "gaining_e6": F.coalesce("gaining_e6", F.lit(0))})
 
