@@ -62,6 +62,30 @@ def sites_to_audit(sites: DataFrame, most: int) -> DataFrame:
     return sites.withColumn("rank", rank).where("rank > 0").orderBy("rank", "id").limit(most)
 
 
+def image_worklist(streets: DataFrame, photos: DataFrame, most: int = 200, box: float = 0.0004) -> DataFrame:
+    """u, v, k, lon, lat, cls, name, photo, captured and viewer of the first `most` places to look at; the cap is the feature.
+
+    streets: u, v, k, cls, name, lon, lat (their middles), those without any record but the map's. Of the streets in a cell of about 100 m the
+    first counts. photo is the newest (the least id of equals) in a box of about 35 m about the place, null without any.
+    """
+    first = Window.partitionBy(F.floor(F.col("lon") / 0.0012), F.floor(F.col("lat") / 0.0009)).orderBy("u", "v", "k")
+    held = streets.where(F.col("cls").isin("path", *PAINTED)).withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    held = cut(held.orderBy("u", "v", "k").limit(most))
+    cells = lambda c: F.explode(F.sequence(F.floor((F.col(c) - box) / (2 * box)), F.floor((F.col(c) + box) / (2 * box))))
+    shots = photos.select("photo", "captured", F.col("lon").alias("plon"), F.col("lat").alias("plat")).withColumns({"_cx": F.floor(F.col("plon") / (2 * box)), "_cy": F.floor(F.col("plat") / (2 * box))})
+    met = held.withColumn("_cx", cells("lon")).withColumn("_cy", cells("lat")).join(shots, ["_cx", "_cy"])
+    near = met.where((F.abs(F.col("plon") - F.col("lon")) <= box) & (F.abs(F.col("plat") - F.col("lat")) <= box))
+    newest = near.groupBy("u", "v", "k").agg(F.max(F.struct("captured", (-F.col("photo")).alias("p"))).alias("m")).select("u", "v", "k", (-F.col("m.p")).alias("photo"), "m.captured")
+    viewer = F.format_string("lat=%.6f&lng=%.6f&z=17", "lat", "lon")
+    return held.join(newest, ["u", "v", "k"], "left").select("u", "v", "k", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "cls", "name", "photo", "captured", viewer.alias("viewer"))
+
+
+def listed_projects(rows: DataFrame, most: int = 20) -> DataFrame:
+    """place (from 1) and the columns of the projects (cid, score) that a page lists: the best scores, equal ones by id. The cap is the feature."""
+    best = rows.orderBy(F.desc("score"), "cid").limit(most)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "cid")))  # `most` rows
+
+
 def flagged(verdicts: DataFrame) -> DataFrame:
     """place (1 is first), name, verdict of the sites with changes or without markings: changed first, then by name. A
     place is its rank among its verdict plus the changed ones before, counted, so no task orders all rows."""

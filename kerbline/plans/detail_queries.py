@@ -188,3 +188,23 @@ def heat_cell_rings(spark, folder):
     """The outline of every cell with a node, as a polygon's coordinates."""
     at = grid.nodes(spark, folder).select(F.expr("cast(round((lon + 71.2D) * 1000000) as bigint) div 5000").alias("col"), F.expr("cast(round((lat - 42.3D) * 1000000) as bigint) div 5000").alias("row")).distinct()
     return at.select("col", "row", cell_ring(F.col("col"), F.col("row"), -71.2, 42.3, 0.005, 0.005).alias("ring"))
+
+
+@query("image_worklist", grid.sql(""", mid AS (SELECT e.u, e.v, e.k, e.cls, e.name, (a.lon + b.lon) / 2 AS lon, (a.lat + b.lat) / 2 AS lat FROM edge e JOIN node a ON a.id = e.u JOIN node b ON b.id = e.v WHERE e.cls IN ('path', 'separated', 'buffered', 'lane')),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY floor(lon / 0.0012::DOUBLE), floor(lat / 0.0009::DOUBLE) ORDER BY u, v, k) AS rn FROM mid) WHERE rn = 1 ORDER BY u, v, k LIMIT 200),
+shot AS (SELECT event_id AS photo, epoch_us(ts) AS captured, -71.2::DOUBLE + (event_id * 37 % 40) * 0.0012::DOUBLE + 0.0005 AS lon, 42.3::DOUBLE + (event_id * 91 % 50) * 0.0009::DOUBLE + 0.0002 AS lat FROM events)
+SELECT k.u, k.v, k.k, round(k.lon, 6) AS lon, round(k.lat, 6) AS lat, cls, name, arg_max(photo, {'c': captured, 'p': -photo}) AS photo, max(captured) AS captured, format('lat={:.6f}&lng={:.6f}&z=17', k.lat, k.lon) AS viewer FROM kept k LEFT JOIN shot s ON abs(s.lon - k.lon) <= 0.0004 AND abs(s.lat - k.lat) <= 0.0004 GROUP BY ALL"""))
+def image_worklist(spark, folder):
+    """Places to look at and the newest photo of each."""
+    at = grid.nodes(spark, folder).select("id", "lon", "lat")
+    e = grid.edges(spark, folder).join(at.select(F.col("id").alias("u"), F.col("lon").alias("alon"), F.col("lat").alias("alat")), "u").join(at.select(F.col("id").alias("v"), F.col("lon").alias("blon"), F.col("lat").alias("blat")), "v")
+    streets = e.select("u", "v", "k", "cls", "name", ((F.col("alon") + F.col("blon")) / 2).alias("lon"), ((F.col("alat") + F.col("blat")) / 2).alias("lat"))
+    n = F.col("event_id")
+    photos = grid.table(spark, folder, "events").select(n.alias("photo"), F.unix_micros(F.col("ts").cast("timestamp")).alias("captured"), (num(-71.2) + (n * 37 % 40) * num(0.0012) + num(0.0005)).alias("lon"), (num(42.3) + (n * 91 % 50) * num(0.0009) + num(0.0002)).alias("lat"))
+    return details.image_worklist(streets, photos)
+
+
+@query("listed_projects", "WITH p AS (SELECT p_partkey AS cid, (p_size * 7 % 23)::DOUBLE / 23 AS score FROM part) SELECT row_number() OVER (ORDER BY score DESC, cid) AS place, cid, score FROM p ORDER BY score DESC, cid LIMIT 20")
+def listed_projects(spark, folder):
+    rows = grid.table(spark, folder, "part").select(F.col("p_partkey").alias("cid"), ((F.col("p_size") * 7 % 23).cast("double") / 23).alias("score"))
+    return details.listed_projects(rows).select("place", "cid", "score")

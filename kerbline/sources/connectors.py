@@ -21,18 +21,26 @@ PAGE = 1000
 FEATURE = "geometry string, properties map<string,string>"
 
 
+#: What a request says it comes from; some services answer browsers only (option agent=browser).
+AGENTS = {"library": "kerbline/1.0 (street safety data)", "browser": "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/126.0 Safari/537.36"}
+
+
 def fetch(url: str, data: bytes | None = None, headers: dict[str, str] | None = None, timeout: float = 120.0) -> bytes:
-    request = urllib.request.Request(url, data=data, headers=headers or {})
+    request = urllib.request.Request(url, data=data, headers={"User-Agent": AGENTS["library"], **(headers or {})})
     with urllib.request.urlopen(request, timeout=timeout) as answer:
         return answer.read()
 
 
 def _fetcher(options: dict) -> object:
     name = options.get("fetcher")
-    if not name:
-        return fetch
-    module, function = name.split(":")
-    return getattr(importlib.import_module(module), function)
+    found = fetch
+    if name:
+        module, function = name.split(":")
+        found = getattr(importlib.import_module(module), function)
+    agent = options.get("agent")
+    if agent is None:
+        return found
+    return lambda url, data=None, headers=None: found(url, data, {"User-Agent": AGENTS[agent], **(headers or {})})
 
 
 def _text(value) -> str | None:

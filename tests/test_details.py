@@ -80,3 +80,16 @@ def test_a_trip_before_and_after_a_project(spark):
     tiles = spark.range(4).select(F.col("id").alias("node"), (F.col("id") % 2).alias("tile"))
     got = details.trip_whatif(edges, trips, tiles, F.col("cls") == "busy_street").first().asDict()
     assert got == {"trip": 9, "km_change": -0.6, "protected_change": 100, "n_upgraded": 2}
+
+
+def test_requests_say_what_they_come_from(spark):
+    from kerbline.sources import connectors
+
+    asked = connectors._fetcher({"agent": "browser", "fetcher": "tests.test_details:said"})
+    assert asked("http://x") == connectors.AGENTS["browser"] and asked("http://x", None, {"User-Agent": "own"}) == "own"
+    assert connectors._fetcher({"fetcher": "tests.test_details:said"}) is said
+    assert connectors._fetcher({}) is connectors.fetch
+
+
+def said(url, data=None, headers=None):
+    return (headers or {}).get("User-Agent")
