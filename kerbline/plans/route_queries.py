@@ -211,7 +211,21 @@ def route_option_costs(spark, folder):
     return found.select("trip", "option", F.round("cost", 3).alias("cost"))
 
 
-@query("route_options")
+#: Each option's path read back from its costs node by node (of equally cheap ways the least node before), then told as route_summary and route_grades tell it.
+_TOLD = f"""{_ODARC}, one AS (SELECT 'safest' AS option, u, v, k, weight, length, cls, climb, crash_factor, xpen, stress_mult FROM w
+  UNION ALL SELECT 'balanced', u, v, k, length * CASE WHEN road_busy AND cls = 'lane' THEN 5.0 WHEN road_busy AND cls = 'buffered' THEN 3.0 ELSE (SELECT older FROM mult WHERE mult.cls = w.cls) END * crash_factor + xpen * 0.6::DOUBLE, length, cls, climb, crash_factor, xpen, stress_mult FROM w
+  UNION ALL SELECT 'direct', u, v, k, length, length, cls, climb, crash_factor, xpen, stress_mult FROM w),
+street AS MATERIALIZED (SELECT option, u, v, arg_min({{'m': length, 'c': cls, 'up': climb, 'f': crash_factor, 'x': xpen, 's': stress_mult}}, {{'w': weight, 'k': k}}) AS x FROM one GROUP BY 1, 2, 3),
+before AS MATERIALIZED (SELECT s.option, s.trip, a.v, min(a.u) AS u FROM find s JOIN arc a ON a.option = s.option AND a.u = s.node JOIN find t ON t.option = s.option AND t.trip = s.trip AND t.node = a.v WHERE t.d > 0 AND s.d + a.weight = t.d GROUP BY 1, 2, 3),
+back(option, trip, u, v, n) AS (SELECT b.option, b.trip, b.u, b.v, 0 FROM before b JOIN od ON od.trip = b.trip AND od.target = b.v UNION ALL SELECT b.option, b.trip, b.u, b.v, x.n + 1 FROM back x JOIN before b ON b.option = x.option AND b.trip = x.trip AND b.v = x.u),
+shape AS (SELECT option, trip, list(u ORDER BY n) AS path FROM back GROUP BY 1, 2), kept AS (SELECT option, trip FROM shape QUALIFY row_number() OVER (PARTITION BY trip, path ORDER BY list_position(['safest', 'balanced', 'direct'], option)) = 1),
+figure AS (SELECT trip, option, sum(x.m) AS t, sum(x.up) AS c, coalesce(sum(x.m) FILTER (x.c IN ('path', 'separated', 'buffered')), 0) AS p, coalesce(sum(x.m) FILTER (x.c IN ('quiet_street', 'service')), 0) AS q, sum(x.m * x.s * x.f + x.x) / sum(x.m) AS mean FROM back JOIN kept USING (option, trip) JOIN street USING (option, u, v) GROUP BY 1, 2),
+told AS (SELECT *, floor(t + 0.5)::BIGINT AS meters FROM figure)
+SELECT trip, option, meters, floor(t / 1000 / 8 * 60 + 0.5)::BIGINT AS minutes, floor(c + 0.5)::BIGINT AS climb_m, floor(100 * p / t + 0.5)::BIGINT AS pct_protected, floor(100 * q / t + 0.5)::BIGINT AS pct_quiet,
+  CASE WHEN mean <= 1.6 THEN 'A' WHEN mean <= 2.4 THEN 'B' WHEN mean <= 4 THEN 'C' WHEN mean <= 8 THEN 'D' ELSE 'F' END AS grade, floor((meters / min(meters) OVER (PARTITION BY trip) - 1) * 100 + 0.5)::BIGINT AS detour_pct FROM told"""
+
+
+@query("route_options", grid.sql(f", {_TOLD}", recursive=True))
 def route_options(spark, folder):
     """trip, option, meters, minutes, grade, detour_pct of options that differ."""
     found = trips.options(weighed(spark, folder), grid.nodes(spark, folder), _trips(spark, folder), tiles_of(spark, folder), "young_kids")
