@@ -242,7 +242,20 @@ def walk_path_costs(spark, folder):
     return trips.walk_costs(arcs, _trips(spark, folder), tiles_of(spark, folder), (dims.WALK_FACTOR,)).select("trip", F.round("cost", 3).alias("cost"))
 
 
-@query("walk_within_budget")
+#: Six prices of walking, each path read back; the first at which a trip walks at most 300 m, else riding alone.
+_WITHIN = f"""{_WEIGHED}, {_OD}, price AS (SELECT 2.4::DOUBLE * pow(2, i) AS factor FROM range(6) r(i)), short AS MATERIALIZED (SELECT u, v, min(weight) AS ride, min(length) AS length FROM w GROUP BY 1, 2),
+arc AS MATERIALIZED (SELECT factor, u * 2 AS a, v * 2 AS b, ride AS weight FROM short, price UNION ALL SELECT factor, u * 2 + 1, v * 2 + 1, length * factor FROM short, price UNION ALL SELECT factor, id * 2, id * 2 + 1, 90.0 FROM node, price UNION ALL SELECT factor, id * 2 + 1, id * 2, 40.0 FROM node, price),
+find(factor, trip, node, d) USING KEY (factor, trip, node) AS (SELECT factor, trip, source * 2, 0.0::DOUBLE FROM od, price WHERE source <> target UNION SELECT s.factor, s.trip, a.b, min(s.d + a.weight) FROM find s JOIN arc a ON a.factor = s.factor AND a.a = s.node LEFT JOIN recurring.find r ON r.factor = s.factor AND r.trip = s.trip AND r.node = a.b WHERE r.d IS NULL OR s.d + a.weight < r.d GROUP BY 1, 2, 3),
+ends AS (SELECT f.factor, f.trip, arg_min(node, {{'d': d + CASE WHEN node % 2 = 1 THEN 40 ELSE 0 END, 'n': node}}) AS node, min(d + CASE WHEN node % 2 = 1 THEN 40 ELSE 0 END) AS cost FROM find f JOIN od USING (trip) WHERE node // 2 = target GROUP BY 1, 2),
+before AS MATERIALIZED (SELECT s.factor, s.trip, a.b, min(a.a) AS a FROM find s JOIN arc a ON a.factor = s.factor AND a.a = s.node JOIN find t ON t.factor = s.factor AND t.trip = s.trip AND t.node = a.b WHERE t.d > 0 AND s.d + a.weight = t.d GROUP BY 1, 2, 3),
+back(factor, trip, a, b) AS (SELECT b.factor, b.trip, b.a, b.b FROM before b JOIN ends e ON e.factor = b.factor AND e.trip = b.trip AND e.node = b.b UNION ALL SELECT b.factor, b.trip, b.a, b.b FROM back x JOIN before b ON b.factor = x.factor AND b.trip = x.trip AND b.b = x.a),
+walked AS (SELECT factor, trip, sum(length) AS m FROM back JOIN short ON u = a // 2 AND v = b // 2 WHERE a % 2 = 1 AND b % 2 = 1 GROUP BY 1, 2),
+priced AS (SELECT e.trip, e.factor, coalesce(m, 0) AS m, cost FROM ends e LEFT JOIN walked USING (factor, trip)), good AS (SELECT * FROM priced WHERE m <= 300 QUALIFY row_number() OVER (PARTITION BY trip ORDER BY factor) = 1),
+alone(trip, node, d) USING KEY (trip, node) AS (SELECT trip, source, 0.0::DOUBLE FROM od WHERE source <> target AND trip NOT IN (SELECT trip FROM good) UNION SELECT s.trip, a.v, min(s.d + a.ride) FROM alone s JOIN short a ON a.u = s.node LEFT JOIN recurring.alone r ON r.trip = s.trip AND r.node = a.v WHERE r.d IS NULL OR s.d + a.ride < r.d GROUP BY 1, 2)
+SELECT trip, factor, round(m, 1) AS walked_m, round(cost, 3) AS cost FROM good UNION ALL SELECT trip, NULL, 0.0, round(d, 3) FROM alone JOIN od USING (trip) WHERE node = target AND trip IN (SELECT trip FROM priced)"""
+
+
+@query("walk_within_budget", grid.sql(f", {_WITHIN}", recursive=True))
 def walk_within_budget(spark, folder):
     """trip, factor, walked_m, cost: the first walking price at which a trip walks at most 300 m."""
     arcs = weighed(spark, folder).select("u", "v", "k", F.col("weight").alias("ride"), "length")
