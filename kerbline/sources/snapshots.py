@@ -1,7 +1,7 @@
 """Folders that change in one step: every version is written beside the others, and a pointer names the one that counts.
 
 A version is whole before the pointer moves to it, so whoever reads meanwhile, or after a failed write, has the old one. Two
-kinds of versions share the layout: tables that Spark writes, and sets of files, one for each row, that the data source
+kinds of versions share the layout, for one writer of a folder at a time (what a failed write leaves behind goes at the next one's end): tables that Spark writes, and sets of files, one for each row, that the data source
 `file_snapshot` writes in its tasks with an index at commit.
 
     <folder>/CURRENT            the name of the version that counts
