@@ -10,6 +10,8 @@ from kerbline.functions.geo import cell, num, slippy_tile
 from kerbline.operators.projects import numbered
 
 SAMPLE_M = 35.0
+#: Parts of a metre: a multiple of all numbers up to 16 and of a million, so shares of streets are whole parts.
+PARTS = 720720 * 10**6
 
 
 def sample_lines(lines: DataFrame) -> DataFrame:
@@ -21,10 +23,16 @@ def sample_lines(lines: DataFrame) -> DataFrame:
 
 
 def stress_heat(samples: DataFrame, least_m: float = 30.0) -> DataFrame:
-    """Metre-weighted stress of every cell (col, row) with enough street, in three bands."""
-    per = samples.groupBy("col", "row").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("stress")).alias("s")).where(F.col("m") >= least_m)
-    mean = F.col("s") / F.col("m")
-    return per.select("col", "row", F.round("m", 3).alias("metres"), F.round(mean, 3).alias("stress"), F.when(mean <= 2, "low").when(mean <= 5, "medium").otherwise("high").alias("band"))
+    """Metre-weighted stress of every cell (col, row) with enough street, in three bands: whole parts of metres by whole
+    millionths of stress, so the sums are exact and a mean at a half rounds alike in any order of the samples."""
+    parts = F.round(F.col("m") * num(PARTS)).cast("decimal(20,0)")
+    stress = F.round(F.col("stress") * num(1e6)).cast("decimal(14,0)")
+    per = samples.groupBy("col", "row").agg(F.sum(parts).alias("m"), F.sum(parts * stress).alias("s")).where(F.col("m") >= F.lit(round(least_m * PARTS)))
+    metres = F.col("m").cast("double") / PARTS
+    mean = (F.col("s") / 10**6).cast("double") / PARTS / metres
+    at_most = lambda top: F.col("s") <= F.col("m") * F.lit(top * 10**6)
+    thousandths = lambda c: F.round(c * 1000) / 1000
+    return per.select("col", "row", thousandths(metres).alias("metres"), thousandths(mean).alias("stress"), F.when(at_most(2), "low").when(at_most(5), "medium").otherwise("high").alias("band"))
 
 
 def lane_heat(samples: DataFrame, least_m: float = 20.0) -> DataFrame:
