@@ -1,15 +1,17 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host come from a few templates. Some pages of each host are parsed and grouped by their structure; the
-trees of a group are aligned by simple tree matching (runs of like siblings folded into one repeated node with
-all its members). A matched node whose text is the same on all aligned pages is constant; every other one is a
-varying slot. A wrapper is the path of the container that the slots choose, with the template's texts:
+Pages of one host come from a few templates. All pages of each host are parsed and grouped by their structure: the skeletons
+of the distinct pages are counted, and by falling count one that is like none before it leads a kind. The tree of every page is
+aligned with that of its kind's leading page by simple tree matching (runs of like siblings folded into one repeated node with
+all its members). A matched node's text is constant if at least LEAST_SHARE of the kind's distinct pages, and two, have it there; every
+other one is a varying slot. A wrapper is the path of the container that the slots choose, with the template's texts:
 
 * The container starts as the whole page and goes down to a child that holds at least MOST of the text of varying
   slots (text of links and of marked parts aside), as long as what varies beside the child is no content: no running
   text such as headings, paragraphs, lists or tables, no part with a varying first-level heading, and no part with
   PART of the text or more.
 * The slots beside the container on the aligned pages are outside.
+* Paths that fewer than OFTEN of a kind's pages have, or where fewer vary, decide neither; what is there is kept.
 * A block (path and text) is template if at least LEAST_SHARE of the distinct pages that a wrapper reads have it, and
   LEAST_PAGES at least. This is counted over all pages, not a sample.
 
@@ -22,9 +24,8 @@ Template texts are left out of a page, but for headings: one that recurs in the
 with a part below the container whose texts, running ones among them, are all template. A page whose title (its
 first-level headings) and other headings are all template is one of many near copies and is read with its template texts, as these are its content.
 
-Wrappers are learned from at most SAMPLE distinct pages of a host (a documented bound), picked by hash in two
-salted steps, so no host's pages meet in one task. Wrappers are broadcast if they are under BROADCAST bytes
-together, and joined on the host otherwise.
+No host's pages meet in one task: they are aligned row by row and counted by slot. Only the skeletons of a host, one page for each, stream
+past its leaders in one. Leading pages and wrappers are broadcast if they are under BROADCAST bytes together, and joined on the host otherwise.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; a null url is a host of
 its own; repeated rows give the same text again; text outside any tag counts as a block; a page that is
@@ -38,15 +39,16 @@ import hashlib
 import json
 import re
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbline.plans.lineage import small
+
 from .cluster import cut, small_batches
 from .html_tree import BLOCKS, RAW, Node, clean, parse
 
-SAMPLE, SALTS, BROADCAST, LEAST_PAGES, LEAST_SHARE = 8, 64, 8 << 20, 3, 0.5
+BROADCAST, LEAST_PAGES, LEAST_SHARE, OFTEN = 8 << 20, 3, 0.5, 0.1
 MOST, PART, LIKE = 0.6, 0.05, 0.5
 _SKIPPED = RAW | frozenset("nav footer aside form button select option head svg canvas object audio video dialog menu".split())
 #: Names of parts that are not content. A class, role or id counts if it is one of these as a whole, or joined by hyphens from these and _FRAME alone.
@@ -256,25 +258,38 @@ def constants(trees: list[Slot]) -> list[set[int]]:
     return out
 
 
-def _weights(tree: Slot, constant: set[int], marks: bool) -> dict[tuple[str, ...], int]:
-    """Characters, links and marked parts aside, of the varying slots at and below each path of a page."""
-    weight: dict[tuple[str, ...], int] = {}
+def visited(tree: Slot, marks: bool) -> list[tuple[Slot, tuple[str, ...], int]]:
+    """(slot, path, characters of its own blocks but those of links) of the blocks of a folded tree, without what is below marked parts."""
+    out: list[tuple[Slot, tuple[str, ...], int]] = []
 
-    def walk(slot: Slot, path: tuple[str, ...], within: bool) -> int:
-        held = 0 if id(slot) in constant else sum(max(0, len(t) - links) for n in slot.nodes for t, links in own_blocks(n, marks))
+    def walk(slot: Slot, path: tuple[str, ...], within: bool):
+        out.append((slot, path, sum(max(0, len(t) - links) for n in slot.nodes for t, links in own_blocks(n, marks))))
         within = within or slot.nodes[0].tag in _ANCHORS
         for below in slot.below:
             if below.nodes[0].tag in BLOCKS:
                 under = path + (below.signature,)
                 if marks and _skipped(below.nodes[0], within):
-                    weight.setdefault(under, 0)
+                    out.append((below, under, 0))
                 else:
-                    held += walk(below, under, within)
-        weight[path] = weight.get(path, 0) + held
-        return held
+                    walk(below, under, within)
 
     walk(tree, (), False)
-    return weight
+    return out
+
+
+def rolled(own: list[tuple[tuple[str, ...], float]]) -> dict[tuple[str, ...], float]:
+    """What is at and below each path, from what is at each."""
+    out: dict[tuple[str, ...], float] = {}
+    for path, w in own:
+        out.setdefault(path, 0)
+        for n in range(len(path) + 1) if w else ():
+            out[path[:n]] = out.get(path[:n], 0) + w
+    return out
+
+
+def _weights(tree: Slot, constant: set[int], marks: bool) -> dict[tuple[str, ...], int]:
+    """Characters, links and marked parts aside, of the varying slots at and below each path of a page."""
+    return rolled([(path, 0 if id(slot) in constant else w) for slot, path, w in visited(tree, marks)])
 
 
 def chosen_container(weights: list[dict], marks: bool) -> tuple[tuple[str, ...], list[tuple[str, ...]]]:
@@ -283,6 +298,11 @@ def chosen_container(weights: list[dict], marks: bool) -> tuple[tuple[str, ...],
     for weight in weights:
         for path, w in weight.items():
             total[path] = total.get(path, 0) + w / max(1, weight[()]) / len(weights)
+    return descended(total, marks)
+
+
+def descended(total: dict[tuple[str, ...], float], marks: bool = True) -> tuple[tuple[str, ...], list[tuple[str, ...]]]:
+    """The container and the outside slots, from the share of varying text at and below each path."""
     titles = [p for p, w in total.items() if w and p[-1:] and p[-1].split(".")[0] == "h1"]
     here, outside = (), []
     while True:
@@ -326,7 +346,7 @@ def _alike(a: frozenset[str], b: frozenset[str]) -> float:
 
 
 def induce(pages: list[str], marks: bool = True) -> list[dict]:
-    """The wrappers of a host from some of its pages, one for each group of like pages, their templates still empty."""
+    """The wrappers of a few pages of a host in memory, one for each group of like pages, their templates still empty."""
     groups: list[list[tuple[frozenset[str], Slot]]] = []
     for page in dict.fromkeys(pages):
         root = parse(page)
@@ -425,32 +445,129 @@ def _printed(pages: DataFrame) -> DataFrame:
     return pages.where(F.length(html) > 0).select(host_of(F.col("url")).alias("host"), F.xxhash64(html).alias("print"), html.alias("html"))
 
 
-def containers(pages: DataFrame, distinct: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """host and wrapper (JSON), its template still empty, of every host with enough distinct pages (host, print) to align."""
-    rows = distinct.withColumn("draw", F.xxhash64("print", F.lit("wrapper")))
-    by_salt = Window.partitionBy("host", F.pmod("draw", F.lit(SALTS))).orderBy("draw")
-    few = rows.withColumn("n", F.row_number().over(by_salt)).where(F.col("n") <= sample).drop("n")
-    few = cut(few.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("draw"))).where(F.col("n") <= sample).select("host", "print"))
-    small = few.count() <= BROADCAST // 64
-    picked = _printed(pages).join(F.broadcast(few) if small else few, ["host", "print"]).dropDuplicates(["host", "print"])
-
-    def learn(key, frame):
-        found = induce(frame.sort_values("print")["html"].tolist())
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(found)]}, dtype=str) if found else pd.DataFrame({"host": pd.Series([], dtype=str), "wrapper": pd.Series([], dtype=str)})
-
-    return picked.groupBy("host").applyInPandas(learn, "host string, wrapper string")
-
-
 def _joined(pages: DataFrame, known: DataFrame, how: str) -> DataFrame:
     """Pages with their host's wrapper; wrappers are broadcast if they are counted to be small."""
     bytes_ = known.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
     return pages.join(F.broadcast(known) if bytes_ <= BROADCAST else known, "host", how)
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """host and wrapper (JSON, a list) of every host with pages to align; templates are counted over all pages."""
-    distinct = cut(_printed(pages).select("host", "print").distinct())
-    bare = cut(containers(pages, distinct, sample))
+def leaders(pages: DataFrame) -> DataFrame:
+    """host and wrapper (JSON, a list of skeleton and page) of the kinds of pages of every host.
+
+    The skeletons of all distinct pages are counted. By falling count, a skeleton that is like none before it leads a kind, and its
+    page of the smallest print is what the others are aligned with. Sorted rows stream past the leaders of one host.
+    """
+
+    def shapes(batches):
+        for batch in batches:
+            prints = [print_of(tuple(sorted(skeleton(parse(page)))), "") for page in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], ["host", "print", "shape"])
+
+    counted = _printed(pages).mapInArrow(shapes, "host string, print long, shape long").distinct().groupBy("host", "shape").agg(F.count("*").alias("n"), F.min("print").alias("print"))
+    counted = cut(counted)
+    first = _printed(pages).join(small(counted), ["host", "print"]).dropDuplicates(["host", "print"])
+    first = first.repartition("host").sortWithinPartitions("host", F.desc("n"), "shape").select("host", "html")
+
+    def lead(batches):
+        host, found = None, []
+        for batch in batches:
+            out: tuple[list, list] = [], []
+            for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name != host:
+                    host, found = name, []
+                shape = skeleton(parse(page))
+                if not any(_alike(shape, other) >= LIKE for other in found):
+                    found.append(shape)
+                    out[0].append(name)
+                    out[1].append(json.dumps({"number": len(found), "skeleton": sorted(shape), "page": page}))
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.string()) for o in out], ["host", "kind"])
+
+    kinds = first.mapInArrow(lead, "host string, kind string")
+    return kinds.groupBy("host").agg(F.concat(F.lit("["), F.array_join(F.collect_list("kind"), ", "), F.lit("]")).alias("wrapper"))
+
+
+class Kind:
+    """A kind of pages: the skeleton and the folded tree of its leading page, with the number of each slot."""
+
+    def __init__(self, number: int, shape: list[str], page: str):
+        self.number, self.shape, self.tree = number, frozenset(shape), Slot("#root", [parse(page)])
+        self.numbers = {id(slot): i for i, (slot, _, _) in enumerate(visited(self.tree, True))}
+
+    def rows(self, root: Node) -> list[tuple[int, str, int, int]]:
+        """(number of the slot or -1, path, print of its texts, millionths of the page's text) of the slots of a page aligned with the leading one."""
+        tree = Slot("#root", [root])
+        numbers = {id(b): self.numbers.get(id(a), -1) for a, b in align(self.tree, tree)[1]}
+        found = visited(tree, True)
+        whole = max(1, sum(w for _, _, w in found))
+        out, loose = [], {}
+        for slot, path, w in found:
+            number = numbers.get(id(slot), -1)
+            if number < 0:
+                loose[path] = loose.get(path, 0) + w
+            else:
+                out.append((number, "\n".join(path), print_of((), "\n".join(_own_texts(slot))) if w else 0, w * 10**6 // whole))
+        return out + [(-1, "\n".join(path), 0, w * 10**6 // whole) for path, w in loose.items()]
+
+
+def container_of(paths: list[str], have: list[int], vary: list[int], own: list[int], pages: int) -> tuple[tuple[str, ...], list[tuple[str, ...]]]:
+    """The container and the outside slots of a kind, from the counts of all its pages."""
+    often = OFTEN * pages
+    named = [tuple(p.split("\n")) if p else () for p in paths]
+    return descended(rolled([(p, w / 1e6 / pages if v >= often else 0) for p, h, v, w in zip(named, have, vary, own) if h >= often]))
+
+
+def containers(pages: DataFrame) -> DataFrame:
+    """host and wrapper (JSON), its template still empty, of every host with two distinct pages of a kind, from all its pages."""
+    kinds = cut(leaders(pages))
+
+    def kernel(batches):
+        read: dict[str, list[Kind]] = {}
+        for batch in batches:
+            for start in range(0, len(batch), 100):
+                part = batch.slice(start, 100)
+                at, number, out = [], [], []
+                for i, (page, wrapper) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                    if wrapper not in read:
+                        if len(read) >= 1000:
+                            read.clear()
+                        read[wrapper] = [Kind(k["number"], k["skeleton"], k["page"]) for k in json.loads(wrapper)]
+                    root = parse(page)
+                    shape = skeleton(root)
+                    kind = max(read[wrapper], key=lambda k: (_alike(shape, k.shape), -k.number))
+                    rows = kind.rows(root)
+                    at += [i] * len(rows)
+                    number += [kind.number] * len(rows)
+                    out += rows
+                at = pa.array(at, pa.int32())
+                columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, (pa.int32(), pa.string(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(number, pa.int32()), *columns], ["site", "print", "kind", "slot", "path", "texts", "share"])
+
+    rows = _joined(_printed(pages), kinds, "inner").select(F.xxhash64("host").alias("site"), "print", "html", "wrapper")
+    rows = cut(rows.mapInArrow(kernel, "site long, print long, kind int, slot int, path string, texts long, share long").repartition("site", "print").distinct())
+    totals = rows.where("slot = 0").groupBy("site", "kind").agg(F.count("*").alias("pages")).where("pages > 1")
+    texts = rows.where("slot >= 0").groupBy("site", "kind", "slot", "texts").agg(F.count("*").alias("n"))
+    constant = texts.join(totals, ["site", "kind"]).where((F.col("n") > 1) & (F.col("n") >= LEAST_SHARE * F.col("pages"))).select("site", "kind", "slot", "texts", F.lit(True).alias("constant"))
+    own = F.sum(F.when(F.col("constant"), 0).otherwise(F.col("share")))
+    held = rows.join(small(cut(constant)), ["site", "kind", "slot", "texts"], "left").groupBy("site", "print", "kind", "path").agg(own.alias("own"))
+    held = held.groupBy("site", "kind", "path").agg(F.count("*").alias("have"), F.sum(F.when(F.col("own") > 0, 1).otherwise(0)).alias("vary"), F.sum("own").alias("own"))
+    held = held.join(totals, ["site", "kind"]).where(F.col("have") >= OFTEN * F.col("pages"))
+    held = held.groupBy("site", "kind", "pages").agg(F.collect_list(F.struct("path", "have", "vary", "own")).alias("slots"))
+
+    @F.udf("string")
+    def chosen(slots, of, shape):
+        container, outside = container_of(*map(list, zip(*sorted(slots))), of)
+        return json.dumps({"container": container, "outside": outside, "skeleton": shape})
+
+    listed = F.explode(F.from_json("wrapper", "array<struct<number: int, skeleton: array<string>>>")).alias("k")
+    led = kinds.select("host", F.xxhash64("host").alias("site"), listed).select("host", "site", F.col("k.number").alias("kind"), F.col("k.skeleton").alias("skeleton"))
+    each = held.join(led, ["site", "kind"]).select("host", "kind", chosen("slots", "pages", "skeleton").alias("wrapper"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("kind", "wrapper"))), lambda k: k["wrapper"])
+    return each.groupBy("host").agg(F.concat(F.lit("["), F.array_join(in_order, ", "), F.lit("]")).alias("wrapper"))
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host and wrapper (JSON, a list) of every host with pages to align; all is counted over all pages."""
+    bare = cut(containers(pages))
 
     def kernel(batches):
         read: dict[str, list] = {}
@@ -495,10 +612,10 @@ def _read(read: dict[str, list], wrapper: str | None) -> list[dict] | None:
     return read.get(wrapper)
 
 
-def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every page."""
     small_batches(pages.sparkSession)
-    known = cut(wrappers(pages, sample))
+    known = cut(wrappers(pages))
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url")).alias("host"))
     rows = _joined(rows, known, "left").select("page_id", "url", "html", "wrapper")
 

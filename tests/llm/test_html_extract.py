@@ -210,3 +210,14 @@ def test_deeply_nested_pages_cost_their_length():
         html_extract.induce([f"<body>{'<div>' * n}{prose(i, 20)}</body>" for i in range(3)])
         took.append(time.perf_counter() - began)
     assert took[1] < 3.0
+
+
+def test_a_rare_template_of_a_large_host_has_a_wrapper_of_its_own(spark):
+    pages = [(i, "http://h/", f"<body><div class=main><h1>Title {i}</h1><p>{prose(i, 40)}</p></div></body>") for i in range(60)]
+    pages += [(i, "http://h/", page_of(i, f"<h1>Title {i}</h1><p>{prose(i, 200)}</p>")) for i in range(60, 64)]
+    assert texts(spark, pages) == {i: f"Title {i}\n{prose(i, 40 if i < 60 else 200)}" for i in range(64)}
+
+
+def test_parts_of_few_pages_decide_no_container(spark):
+    pages = [(i, "http://h/", page_of(i, f"<h1>Title {i}</h1><p>{prose(i, 200)}</p>").replace("</body>", f"<p>Erratum {i}</p></body>" if i in (3, 17) else "</body>")) for i in range(40)]
+    assert texts(spark, pages) == {i: f"Title {i}\n{prose(i, 200)}" + (f"\nErratum {i}" if i in (3, 17) else "") for i in range(40)}
