@@ -89,20 +89,22 @@ def read_archive(spark: SparkSession, folder: str, archive: str) -> DataFrame:
     opening = _opening(archive)
     rows = spark.read.option("lineSep", END * 2 + opening).text(folder)
     rows = rows.select(F.when(F.col("value").startswith(opening), F.substring("value", len(opening) + 1, 1 << 30)).otherwise(F.col("value")).alias("value"))
-    rows = rows.withColumn("head", F.substring_index("value", END * 2, 1)).withColumn("size", F.regexp_extract("head", r"(?m)^Content-Length: (\d+)", 1).cast("int"))
+    rows = rows.withColumn("head", F.substring_index("value", END * 2, 1))
+
+    def field(name: str, before: str = "", after: str = "", head: str = "lines") -> Column:
+        """What a line of a head holds, or null; a head starts and ends with a line end, and no value has one inside."""
+        begin, close = f"{END}{name}: {before}", after + END
+        found = F.substring_index(F.substring_index(head, begin, -1), close, 1)
+        return F.when(F.contains(head, F.lit(begin)) & ~F.contains(head, F.lit(begin + close)), found)
+
+    rows = rows.withColumn("lines", F.concat(F.lit(END), "head", F.lit(END))).withColumn("size", field("Content-Length").cast("int")).withColumn("type", field("WARC-Type"))
     past = F.octet_length("head") + 4 + F.col("size")
     left = F.octet_length("value") - past  # the last record of a file still has its two line ends
     rows = rows.withColumn("block", F.when(left.isin(0, 4), F.substr(F.col("value").cast("binary"), F.octet_length("head") + 5, F.col("size"))).otherwise(F.raise_error(F.lit("a record is not as long as its Content-Length"))))
-
-    def field(name: str, before: str = "", after: str = "") -> Column:
-        found = F.regexp_extract("head", rf"(?m)^{name}: {before}([^\r\n]*?){after}\r?$", 1)
-        return F.when(found != "", found)
-
-    rows = rows.withColumn("type", field("WARC-Type")).where("type IN ('response', 'revisit')")
-    http = F.substring_index(F.col("block").cast("string"), END * 2, 1)
-    return rows.withColumn("http", http).select(
+    rows = rows.where("type IN ('response', 'revisit')").withColumn("http", F.substring_index(F.col("block").cast("string"), END * 2, 1)).withColumn("http_lines", F.concat(F.lit(END), "http", F.lit(END)))
+    return rows.select(
         "type", field("WARC-Record-ID", "<urn:uuid:", ">").alias("record_id"), field("Page-ID").cast("bigint").alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Date").alias("date"),
-        field("WARC-Payload-Digest", "sha1:").alias("digest"), F.regexp_extract("http", r"(?m)^Content-Length: (\d+)", 1).cast("bigint").alias("bytes"), field("WARC-Refers-To", "<urn:uuid:", ">").alias("refers_id"),
+        field("WARC-Payload-Digest", "sha1:").alias("digest"), field("Content-Length", head="http_lines").cast("bigint").alias("bytes"), field("WARC-Refers-To", "<urn:uuid:", ">").alias("refers_id"),
         field("WARC-Refers-To-Target-URI").alias("refers_url"), field("WARC-Refers-To-Date").alias("refers_date"),
         F.when(F.col("type") == "response", F.substr("block", F.octet_length("http") + 5, F.octet_length("block")).cast("string")).alias("payload"),
     )
@@ -118,7 +120,7 @@ def resolve(heads: DataFrame, least: int = LEAST) -> DataFrame:
 
 def deduplicate(records: DataFrame, folder: str, archive: str, least: int = LEAST) -> None:
     """Writes records (as read_archive gives them) as an archive in which equal payloads are there once."""
-    revisits = cut(resolve(records.select(*FIELDS), least))
+    revisits = cut(resolve(cut(records.select(*FIELDS)), least))
     fresh = lambda c: F.regexp_replace(F.md5(F.concat(F.lit(archive), c)), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
     stay = records.join(small(revisits.select("record_id")), "record_id", "left_anti").withColumns({"record_id": fresh(F.col("record_id")), "date": _now()})
     turned = revisits.select(

@@ -58,6 +58,11 @@ def test_query_matches_a_plain_version(spark, tmp_path):
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain(rows)
 
 
+def test_lines_that_a_url_seems_to_hold_are_no_fields(spark, tmp_path):
+    rows = [(i, f"http://a/{i}{end}Page-ID: 99{end}WARC-Payload-Digest: sha1:{'0' * 40}", LONG if i < 3 else f"page {i}") for i, end in enumerate("\u2028\u2029\x85\u2028\x85")]
+    assert sorted((tuple(r) for r in warc.op12_warc(spark, write(spark, tmp_path, pages=table(spark, rows))).collect()), key=str) == plain(rows)
+
+
 def test_empty_table(spark, tmp_path):
     assert warc.op12_warc(spark, write(spark, tmp_path, pages=table(spark, []))).collect() == []
 
