@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .cluster import small_batches
 
-MARK, BLOCK, MEMO = "▁", 4096, 50_000
+MARK, BLOCK, MEMO, FITS = "▁", 4096, 150_000, 200_000
 _models: dict[str, "Codec"] = {}
 
 
@@ -85,8 +85,9 @@ class Codec:
         self.text = [None if i in self.byte_of else "" if i in self.control else p.replace(MARK, " ") for i, p in enumerate(self.piece)]
         self.longest = max(map(len, self.score))
         matcher = ahocorasick.Automaton()
-        for p in {*self.score, *(c for p in self.score for c in p)}:
-            matcher.add_word(p, p)
+        for p in self.score:
+            if len(p) > 1:  # single characters match everywhere and are put in at once
+                matcher.add_word(p, (len(p) - 1, p))
         matcher.make_automaton()
         self.matcher = matcher
         self.fits: dict[tuple[str, str], bool] = {}
@@ -110,7 +111,7 @@ class Codec:
         key = (last, piece)
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) >= 4 * MEMO:
+            if len(self.fits) >= FITS:
                 self.fits.clear()
             found = self.fits[key] = self.merged((last or "") + piece) == ([piece] if last is None else [last, piece])
         return found
@@ -118,15 +119,11 @@ class Codec:
     def _matches(self, text: str, block: int) -> list[list[str]]:
         """For each start in a block, the pieces that match there, shortest first."""
         lo = block * BLOCK
-        size = min(BLOCK, len(text) - lo)
-        out: list[list[str]] = [[] for _ in range(size)]
-        for end, p in self.matcher.iter(text[lo : lo + size + self.longest]):
-            start = end - len(p) + 1
-            if start < size:
-                out[start].append(p)
-        for i, found in enumerate(out):
-            if not found:
-                found.append(text[lo + i])
+        out = [[c] for c in text[lo : lo + BLOCK]]
+        size = len(out)
+        for end, (before, p) in self.matcher.iter(text[lo : lo + size + self.longest]):
+            if end - before < size:
+                out[end - before].append(p)
         return out
 
     def pieces_of(self, text: str) -> list[str]:
@@ -165,15 +162,13 @@ class Codec:
     def _pieces_of_word(self, text: str) -> list[str]:
         """The same for a short chunk: all matches at once, the bit field in one integer."""
         size = len(text)
-        here: list[list[str]] = [[] for _ in text]
-        for end, p in self.matcher.iter(text):
-            here[end - len(p) + 1].append(p)
+        here = [[c] for c in text]
+        for end, (before, p) in self.matcher.iter(text):
+            here[end - before].append(p)
         out: list[str] = []
         failed, at, last, fits = 0, 0, None, self.fits
         while at < size:
             matches = here[at]
-            if not matches and not failed >> at & 1:
-                matches = [text[at]]
             while matches:
                 piece = matches.pop()  # what was tried once at a place fails there for good
                 end = at + len(piece)
