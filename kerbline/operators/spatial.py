@@ -48,7 +48,7 @@ def line_segments(lines: DataFrame, line: str = "line") -> DataFrame:
 def points_near_lines(points: DataFrame, lines: DataFrame, key: list[str], line_key: str, radius: float) -> DataFrame:
     """The columns of key, line_key and d2 (the least) of every point (x, y) and line (line_key, line) within the radius, each pair once."""
     parts = line_segments(lines.select(line_key, "line"))
-    return points_near_segments(points.select(*key, "x", "y"), parts, radius).groupBy(*key, line_key).agg(F.min("d2").alias("d2"))
+    return points_near_segments(points.select(*key, "x", "y"), parts, radius, distance2=geo.offset_distance2).groupBy(*key, line_key).agg(F.min("d2").alias("d2"))
 
 
 def match_lines(edges: DataFrame, lines: DataFrame, radius: float = dims.FACILITY_RADIUS_M, max_angle: float = dims.FACILITY_MAX_ANGLE) -> DataFrame:
@@ -73,12 +73,12 @@ def nearest_line(points: DataFrame, lines: DataFrame, key: str, line_key: str, l
     return near.groupBy(key).agg(F.min(F.struct("d2", line_key)).alias("b")).select(key, f"b.{line_key}", "b.d2")
 
 
-def points_near_segments(points: DataFrame, segments: DataFrame, radius: float, size: float | None = None) -> DataFrame:
+def points_near_segments(points: DataFrame, segments: DataFrame, radius: float, size: float | None = None, distance2=geo.segment_distance2) -> DataFrame:
     """All pairs of a point (x, y) and a segment (ax, ay, bx, by) within the radius, with the squared distance d2."""
     size = size or max(4 * radius, 100.0)
     s = supercover(segments, radius, size)
     p = points.withColumn("_cx", F.floor(F.col("x") / size).cast("bigint")).withColumn("_cy", F.floor(F.col("y") / size).cast("bigint"))
-    d2 = geo.segment_distance2(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    d2 = distance2(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     return p.join(s, ["_cx", "_cy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop("_cx", "_cy")
 
 

@@ -100,3 +100,13 @@ def test_midpoints(spark):
     rows = spark.createDataFrame([(line,) for line in lines], f"line {LINE}")
     got = [r["m"] and (r["m"]["x"], r["m"]["y"]) for r in rows.select(geo.plane_midpoint(F.col("line")).alias("m")).collect()]
     assert got == [None, (1.0, 2.0), (0.0, 0.0), (10.0, 10.0)]
+
+
+def test_distances_from_lines_round_as_counted_from_their_start(spark):
+    """Both lines pass through the street's middle; SQL, which counts from a line's start, finds 874 nearer by a rounding."""
+    bent = lambda x: [(x, 0.0), (x + 190.0, 0.0), (x + 190.0, 195.0)]
+    lines = spark.createDataFrame([(46, "separated", bent(1393.0)), (874, "separated", bent(1396.0))], f"facility_id long, cls string, line {LINE}")
+    streets = spark.createDataFrame([(14, 15, 0, False, [(1372.0, 0.0), (1470.0, 0.0)]), (15, 16, 0, False, [(1470.0, 0.0), (1568.0, 0.0)])], f"u long, v long, k int, is_pathlike boolean, line {LINE}")
+    off = lambda m, x: (m - x) / 190.0 * 190.0 - (m - x)
+    assert all(off(m, 1393.0) ** 2 > off(m, 1396.0) ** 2 == 0 for m in (1421.0, 1519.0))
+    assert {(r["u"], r["facility_id"]) for r in spatial.match_lines(streets, lines).collect()} == {(14, 874), (15, 874)}
