@@ -182,9 +182,10 @@ def nearest_first(reports: DataFrame, marks: DataFrame, within: float) -> DataFr
 
 
 def near_pairs(places: DataFrame, lon_reach: float, lat_reach: float) -> DataFrame:
-    """keep_id, drop_id of places (id, lon, lat) closer than both reaches, the lower id kept."""
+    """keep_id, drop_id of places (id, lon, lat) closer than both reaches, the lower id kept. Spark's estimates know nothing of the rows that
+    explode makes, so the join is told not to broadcast a side."""
     around = lambda c, reach: F.explode(F.sequence(F.floor(F.col(c) / reach) - 1, F.floor(F.col(c) / reach) + 1))
     a = places.select(F.col("id").alias("keep_id"), F.col("lon").alias("alon"), F.col("lat").alias("alat")).withColumn("_cx", around("alon", lon_reach)).withColumn("_cy", around("alat", lat_reach))
     b = places.select(F.col("id").alias("drop_id"), F.col("lon").alias("blon"), F.col("lat").alias("blat"), F.floor(F.col("lon") / lon_reach).alias("_cx"), F.floor(F.col("lat") / lat_reach).alias("_cy"))
     near = (F.col("keep_id") < F.col("drop_id")) & (F.abs(F.col("alon") - F.col("blon")) < lon_reach) & (F.abs(F.col("alat") - F.col("blat")) < lat_reach)
-    return a.join(b, ["_cx", "_cy"]).where(near).select("keep_id", "drop_id")
+    return a.join(b.hint("merge"), ["_cx", "_cy"]).where(near).select("keep_id", "drop_id")

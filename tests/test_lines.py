@@ -110,3 +110,10 @@ def test_distances_from_lines_round_as_counted_from_their_start(spark):
     off = lambda m, x: (m - x) / 190.0 * 190.0 - (m - x)
     assert all(off(m, 1393.0) ** 2 > off(m, 1396.0) ** 2 == 0 for m in (1421.0, 1519.0))
     assert {(r["u"], r["facility_id"]) for r in spatial.match_lines(streets, lines).collect()} == {(14, 874), (15, 874)}
+
+
+def test_near_pairs_do_not_broadcast_the_rows_they_multiply(spark):
+    places = spark.range(1, 4).selectExpr("id", "CASE id WHEN 1 THEN 0D WHEN 2 THEN 0.0005D ELSE 0.01D END AS lon", "CASE id WHEN 2 THEN 0.0001D ELSE 0D END AS lat")
+    pairs = spatial.near_pairs(places, 0.0007, 0.0003)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2)]
