@@ -116,10 +116,10 @@ def recategorised(reports: DataFrame, answers: DataFrame) -> DataFrame:
     return reports.join(newest, "id", "left").withColumn("category", F.coalesce("said", "category")).drop("said")
 
 
-def detours(arcs: DataFrame, riders: DataFrame, places: DataFrame, tiles: DataFrame, mode: str = "kids") -> DataFrame:
+def detours(arcs: DataFrame, riders: DataFrame, places: DataFrame, tiles: DataFrame, mode: str = "kids", together: int | None = None) -> DataFrame:
     """rider, poi_id, cost: the place (poi_id, node) of the wanted kind that each rider (rider, node) gets to most cheaply."""
     starts = riders.select(F.lit(mode).alias("mode"), F.col("rider").alias("query"), "node", num(0).alias("cost"))
-    found = search.costs(arcs, starts, tiles).select(F.col("query").alias("rider"), "node", "cost")
+    found = search.costs(arcs, starts, tiles, together=together).select(F.col("query").alias("rider"), "node", "cost")
     return found.join(places.select("poi_id", "node"), "node").groupBy("rider").agg(F.min(F.struct("cost", "poi_id")).alias("b")).select("rider", "b.poi_id", "b.cost")
 
 

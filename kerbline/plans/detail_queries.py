@@ -11,7 +11,7 @@ from kerbline.functions.geo import chord_bearing, num
 from kerbline.operators import details, projects, spatial
 from kerbline.plans import grid
 from kerbline.plans.feature_queries import _SITE, _case, site_verdicts
-from kerbline.plans.graph_queries import _CAND, _CC, _SEV, _kept, arcs, tiles_of
+from kerbline.plans.graph_queries import TOGETHER, _CAND, _CC, _SEV, _kept, arcs, tiles_of
 from kerbline.plans.lineage import cut
 from kerbline.plans.network_queries import _WEIGHED, weighed
 from kerbline.plans.registry import query
@@ -162,7 +162,7 @@ def detours(spark, folder):
     n = grid.table(spark, folder, "part").count()
     places = grid.places(spark, folder).where("kind = 'playground'").select("poi_id", (F.col("poi_id") * 17 % n).alias("node"))
     riders = _trips(spark, folder).select(F.col("trip").alias("rider"), F.col("source").alias("node"))
-    return details.detours(arcs(spark, folder), riders, places, tiles_of(spark, folder)).select("rider", "poi_id", F.round("cost", 3).alias("cost"))
+    return details.detours(arcs(spark, folder), riders, places, tiles_of(spark, folder), together=TOGETHER).select("rider", "poi_id", F.round("cost", 3).alias("cost"))
 
 
 #: The cheapest path of each trip now and with every moderate street protected, read back node by node: of equally cheap ways the

@@ -36,3 +36,11 @@ def test_tiles_grow_so_that_rounds_stay_few(spark, tmp_path):
     part.write.parquet(f"{tmp_path}/part.parquet")
     tiles = tiles_of(spark, str(tmp_path)).groupBy("tile").count().collect()
     assert len(tiles) <= 25 and max(r["count"] for r in tiles) <= 40_000
+
+
+def test_neighbouring_tiles_are_settled_together(spark):
+    arcs = spark.range(12).select(F.lit("m").alias("mode"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1.0).alias("weight"))
+    tiles = spark.range(13).select(F.col("id").alias("node"), F.col("id").alias("tile"))
+    starts = spark.createDataFrame([("m", 0, 0, 0.0)], "mode string, query long, node long, cost double")
+    for together, rounds in ((100, 1), (5, 3)):
+        assert {r["node"]: r["cost"] for r in search.costs(arcs, starts, tiles, most_rounds=rounds, together=together).collect()} == {n: float(n) for n in range(13)}
