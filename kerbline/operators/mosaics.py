@@ -1,7 +1,7 @@
 """Crops of aerial imagery about sites, put together from the tiles under them.
 
-Sites meet tiles by an equi-join on tile keys, one row for each tile under a site's window, so adaptive execution can split a tile with very
-many sites. A task decodes a tile once for all its sites in a row and passes on only the patch that lies in the window; the patches of
+Sites are gathered by the tiles under their windows, up to some thousand in a row, and these rows meet tiles by an equi-join on tile keys, so
+adaptive execution can split a tile with very many sites. A row's tile is decoded once, and only the patches that lie in windows go on; the patches of
 a site, as many as tiles under it, are joined and placed. Pixels of missing or unreadable tiles stay black; a site without any tile has no crop.
 """
 
@@ -21,6 +21,8 @@ from kerbline.functions.geo import num
 from kerbline.sources import png
 
 TILE = 256
+#: Sites that are read from one decoding of a tile, about.
+SITES = 4096
 
 
 def pixel_of(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
@@ -42,18 +44,14 @@ _PATCH = "site long, dx int, dy int, width int, height int, pixels binary"
 
 def _patches(half: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, image = None, None
-        for batch in batches:
+        for row in (row for batch in batches for part in range(batch.num_rows) for row in batch.slice(part, 1).to_pylist()):
             out = []
-            for row in batch.to_pylist():
-                if (row["tile_x"], row["tile_y"]) != key:
-                    key = row["tile_x"], row["tile_y"]
-                    try:
-                        image = png.rgb(row["image"] or b"")
-                    except (ValueError, zlib.error, struct.error):
-                        image = None
-                if image is None:
-                    continue
+            try:
+                image = png.rgb(row["image"] or b"")
+            except (ValueError, zlib.error, struct.error):
+                continue
+            for site in row["sites"]:
+                row |= site
                 x0, y0 = row["cx"] - half, row["cy"] - half  # the window's corner, and the overlap with this tile
                 left, top = max(x0, row["tile_x"] * TILE), max(y0, row["tile_y"] * TILE)
                 right = min(row["cx"] + half, row["tile_x"] * TILE + min(TILE, image.shape[1]))
@@ -92,8 +90,11 @@ def crops(sites: DataFrame, tiles: DataFrame, half: int = 80) -> DataFrame:
     a row of nulls.
     """
     asked = sites.select(F.col("site").cast("bigint").alias("site"), "cx", "cy")
-    met = windows(asked.where("cx IS NOT NULL AND cy IS NOT NULL"), half).join(tiles.select("tile_x", "tile_y", "image"), ["tile_x", "tile_y"])
-    patches = met.select("site", "cx", "cy", "tile_x", "tile_y", "image").mapInArrow(_patches(half), _PATCH)
+    under = windows(asked.where("cx IS NOT NULL AND cy IS NOT NULL"), half)
+    per = under.groupBy("tile_x", "tile_y").agg(F.ceil(F.count("*") / SITES).alias("rows"))
+    dealt = under.join(per, ["tile_x", "tile_y"]).groupBy("tile_x", "tile_y", F.pmod(F.xxhash64("site"), "rows").alias("row")).agg(F.collect_list(F.struct("site", "cx", "cy")).alias("sites"))
+    met = dealt.join(tiles.select("tile_x", "tile_y", "image").hint("merge"), ["tile_x", "tile_y"])
+    patches = met.select("sites", "tile_x", "tile_y", "image").mapInArrow(_patches(half), _PATCH)
     parts = patches.groupBy("site").agg(F.collect_list(F.struct("dx", "dy", "width", "height", "pixels")).alias("parts"))
     whole = asked.select("site").join(parts, "site", "left").select("site", "parts")
     return whole.mapInArrow(_placed(half), "site long, width int, height int, crc long, image binary")

@@ -117,3 +117,13 @@ def test_crops_become_files(spark, tmp_path):
     snapshots.write_files(snapshots.crop_files(rows), str(tmp_path))
     got = {r["name"]: bytes(r["content"]) for r in snapshots.read_files(spark, str(tmp_path)).collect()}
     assert set(got) == {"0_2023.png", "0_2025.png"} and (png.decode(got["0_2025.png"]) == 9).all()
+
+
+def test_a_tile_is_decoded_once_for_all_its_sites(monkeypatch):
+    import pyarrow as pa
+
+    decoded, rgb = [], png.rgb
+    monkeypatch.setattr(mosaics.png, "rgb", lambda data: decoded.append(1) or rgb(data))
+    sites = [{"site": n, "cx": 20 + 30 * n, "cy": 40} for n in range(5)]
+    rows = pa.RecordBatch.from_pylist([{"sites": sites, "tile_x": 0, "tile_y": 0, "image": png.encode(np.full((256, 256, 3), 7, np.uint8))}])
+    assert sum(batch.num_rows for batch in mosaics._patches(12)(iter([rows]))) == 5 and len(decoded) == 1
